@@ -17,6 +17,7 @@ from postloom.functions.dates import date_or_today, day
 from postloom.functions.expr import is_blank
 from postloom.functions.results import stored_fields
 from postloom.functions.text import clearance_flag
+from postloom.operators.ingest import next_ids
 from postloom.operators.ranking import keep_first
 
 Rule = Callable[[Column, Column], Column]
@@ -157,11 +158,11 @@ POSTING_OWNER = ["id", "owning_user"]
 
 
 def history_rows(
-    events: DataFrame, status: str, note: str, on: Column
+    events: DataFrame, status: str, note: str, on: Column, first_id: int = 1
 ) -> DataFrame:
-    """First history rows for postings; ids come from the event, so reruns agree."""
+    """First history rows for postings."""
     return events.select(
-        F.xxhash64("id", F.lit(status), on).alias("id"),
+        next_ids(first_id).alias("id"),
         F.col("id").alias("applied_job_id"),
         F.lit(status).alias("status"),
         F.lit(note).alias("notes"),
@@ -174,7 +175,8 @@ def add_history(history: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def apply_to(
-    postings: DataFrame, history: DataFrame, requests: DataFrame, as_of: Column | str
+    postings: DataFrame, history: DataFrame, requests: DataFrame, as_of: Column | str,
+    first_id: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """Mark postings as applied and open their history; unknown ids and owners do nothing."""
     today = day(as_of)
@@ -182,7 +184,7 @@ def apply_to(
         *POSTING_OWNER, F.lit("applied").alias("review_status"), today.alias("applied_at")
     )
     known = postings.select(*POSTING_OWNER).join(change.select(*POSTING_OWNER), POSTING_OWNER)
-    opened = history_rows(known, "submitted", fv.APPLY_NOTE, today)
+    opened = history_rows(known, "submitted", fv.APPLY_NOTE, today, first_id)
     return update(postings, change, POSTING_OWNER), add_history(history, opened)
 
 
@@ -213,7 +215,7 @@ def undo_application(
 
 
 def manual_postings(
-    forms: DataFrame, as_of: Column | str, applied: bool
+    forms: DataFrame, as_of: Column | str, applied: bool, first_id: int = 1
 ) -> DataFrame:
     """Hand-entered postings as store rows, applied or saved."""
     there = set(forms.columns)
@@ -234,7 +236,7 @@ def manual_postings(
         else F.lit(False)
     )
     return forms.select(
-        F.xxhash64("job_url", "owning_user").alias("id"),
+        next_ids(first_id).alias("id"),
         text("job_url"),
         F.lit(fv.MANUAL_SITE).alias("site"),
         text("title"),
@@ -264,7 +266,7 @@ def manual_postings(
 
 
 def status_events(
-    history: DataFrame, feed: DataFrame, as_of: Column | str
+    history: DataFrame, feed: DataFrame, as_of: Column | str, first_id: int = 1
 ) -> DataFrame:
     """History after a feed of inserts, updates and deletes (``op`` I, U, D; ``seq`` orders it).
 
@@ -277,7 +279,7 @@ def status_events(
     )
     kept = delete(changed, keyed.where(F.col("op") == "D"), ["id"])
     added = dated.where((F.col("op") == "I") & (F.col("status") != "")).select(
-        F.xxhash64("applied_job_id", "status", "changed_at", "seq").alias("id"),
+        next_ids(first_id).alias("id"),
         "applied_job_id", "status", "notes", "changed_at",
     )
     return kept.select(*history.columns).unionByName(added, allowMissingColumns=True)

@@ -70,20 +70,24 @@ def marked_batch(incoming: DataFrame, stored: DataFrame, *order: Column) -> Data
     )
 
 
-def stored_rows(fresh: DataFrame, as_of: Column | str, first_id: Column | int = 0) -> DataFrame:
-    """New postings as rows of the store, with their defaults and the clearance flag of their text.
+def next_ids(first_id: int) -> Column:
+    """Row ids from ``first_id`` on, unique over all tasks without a shared counter; gaps are left.
 
-    Ids are made from the key, so a rerun gives the same ones without a counter that every task
-    would have to share.
+    They are given out while the rows are written, so a frame that carries them is written once and
+    read back, not evaluated twice.
     """
+    return F.lit(first_id) + F.monotonically_increasing_id()
+
+
+def stored_rows(fresh: DataFrame, as_of: Column | str, first_id: int = 1) -> DataFrame:
+    """New postings as rows of the store, with their defaults and the clearance flag of their text."""
     there = set(fresh.columns)
 
     def given(name: str, kind: str) -> Column:
         return (F.col(name) if name in there else F.lit(None)).cast(kind).alias(name)
 
     return fresh.select(
-        (F.xxhash64(*POSTING_KEY) if first_id == 0 else F.lit(first_id) + F.xxhash64(*POSTING_KEY))
-        .alias("id"),
+        next_ids(first_id).alias("id"),
         "job_url",
         given("site", "string"),
         "title",
