@@ -364,12 +364,10 @@ def zip_recruiter(cards: DataFrame, panes: DataFrame) -> DataFrame:
             "title",
             "company_name",
             F.coalesce(nonblank("direct_url"), F.col("job_url")).alias("job_url"),
-            F.when(
-                F.col("location_text") != "", places.plain_location("location_text")
-            ).alias("location"),
+            places.location(F.lit("USA"), F.col("location_text"), F.lit(None)).alias("location"),
             F.coalesce("description", F.lit("")).alias("description"),
             pay.zip_salary("salary_text").alias("compensation"),
-        )
+        ).where(F.col("job_url") != "")
     )
 
 
@@ -387,7 +385,7 @@ _MARRIOTT_BLOCKS = [
 def marriott_cards(pages: DataFrame, base_url: str = fv.MARRIOTT_BASE) -> DataFrame:
     """List items with a title link."""
     html, els, inside = F.col("html"), F.col("_els"), F.col("_in")
-    cards = _cards(pages, m.select(els, m.has("class", "word", "results-list__item")))
+    cards = _cards(pages, m.select(els, m.is_tag("li"), m.has("class", "word", "results-list__item")))
     head = m.first(inside, m.is_tag("h3"), m.has("class", "word", "results-list__item-title"))
     link = m.first(
         m.within(inside, head), m.is_tag("a"), m.has("class", "word", "results-list__item-title--link")
