@@ -100,7 +100,7 @@ def from_forms(forms: DataFrame) -> DataFrame:
         ).otherwise(base)
 
     places = F.filter(
-        F.transform(F.split(text("usajobs_l"), r"\R"), F.trim), lambda x: x != ""
+        F.transform(F.split(text("usajobs_l"), r"\R"), lambda x: F.trim(x)), lambda x: x != ""
     )
     kind = F.col("config_type")
     config = (

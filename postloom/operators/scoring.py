@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from postloom import fixed_values as fv
 from postloom import schemas
 from postloom.functions import results
 from postloom.functions.dates import day, first_token_date
 from postloom.functions.expr import is_blank, let, strip
+from postloom.functions.results import map_text
 from postloom.functions.text import redact, remove_pii
 from postloom.operators.ranking import keep_first
 
@@ -186,19 +186,21 @@ def sound_results(checked: DataFrame) -> DataFrame:
 
 def audit_rows(profiles: DataFrame, sections: DataFrame) -> DataFrame:
     """Résumé audits as one row per category with its section; categories not rated are skipped."""
-    parsed = F.from_json("ats_score", T.MapType(T.StringType(), schemas.CATEGORY_SCORE))
-    rows = profiles.select("profile_name", "owning_user", F.explode(F.map_entries(parsed)).alias("_e"))
+    rated = F.map_entries(map_text("ats_score"))
+    rows = profiles.select("profile_name", "owning_user", F.explode(rated).alias("_e"))
     return (
-        rows.where(F.col("_e.value").isNotNull())
-        .select(
+        rows.select(
             "profile_name",
             "owning_user",
             F.col("_e.key").alias("category"),
-            F.coalesce("_e.value.score", F.lit(0)).alias("score"),
-            F.coalesce("_e.value.analysis", F.lit("")).alias("analysis"),
+            F.from_json("_e.value", schemas.CATEGORY_SCORE).alias("_c"),
         )
+        .where(F.coalesce("_c.score", "_c.analysis").isNotNull())
         .join(F.broadcast(sections), "category")
+        .withColumn("score", F.coalesce("_c.score", F.lit(0)))
+        .withColumn("analysis", F.coalesce("_c.analysis", F.lit("")))
         .withColumn("band", results.audit_band("score"))
+        .drop("_c")
     )
 
 
