@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from postloom.plans import dashboard, pipeline, rules  # noqa: F401
+from postloom.plans import changes, dashboard, pipeline, rules, streams  # noqa: F401
 from postloom.plans.registry import ORACLES, QUERIES, runnable
 
 __all__ = ["ORACLES", "QUERIES", "runnable"]
