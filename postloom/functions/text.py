@@ -156,8 +156,9 @@ def unescape(c: Column | str) -> Column:
         rest = F.slice(parts, F.lit(2), F.size(parts))
         return F.concat(F.element_at(parts, 1), F.array_join(F.transform(rest, piece), ""))
 
-    c = col(c)
-    return F.when(c.contains("&"), let(F.split(c, "&"), decode)).otherwise(c)
+    return let(
+        col(c), lambda t: F.when(t.contains("&"), let(F.split(t, "&"), decode)).otherwise(t)
+    )
 
 
 def html_to_text(c: Column | str) -> Column:
