@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
@@ -39,8 +40,13 @@ def is_blank(c: Column | str) -> Column:
 
 def lookup(table: Mapping[str, object], key: Column) -> Column:
     """Value of ``key`` in a fixed table, null when absent."""
-    entries = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*entries), key)
+    return F.try_element_at(fixed_map(table), key)
+
+
+def fixed_map(table: Mapping[str, object]) -> Column:
+    """A fixed table as one constant map. Read from one JSON literal, which folds when planning."""
+    kind = "string" if all(isinstance(v, str) for v in table.values()) else "double"
+    return F.from_json(F.lit(json.dumps(dict(table), ensure_ascii=False)), f"map<string,{kind}>")
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postloom import fixed_values as fv
-from postloom.functions.expr import col, contains_any, let, strip, title_case
+from postloom.functions.expr import col, contains_any, fixed_map, let, strip, title_case
 
 
 def normalize_text(c: Column | str) -> Column:
@@ -20,7 +20,10 @@ def normalize_text(c: Column | str) -> Column:
 def emails(c: Column | str) -> Column:
     """Every email address in order of appearance; null for a null or empty text."""
     c = col(c)
-    return F.when(c != "", F.regexp_extract_all(c, F.lit(fv.EMAIL_PATTERN), 0))
+    found = F.when(
+        c.contains("@"), F.regexp_extract_all(c, F.lit(fv.EMAIL_PATTERN), 0)
+    ).otherwise(F.array().cast("array<string>"))
+    return F.when(c != "", found)
 
 
 def remove_pii(c: Column | str) -> Column:
@@ -35,16 +38,26 @@ def remove_pii(c: Column | str) -> Column:
         return F.concat(masked, F.lit("\n"), rest)
 
     text = F.when(col(c) == "", F.lit("")).otherwise(let(lines, rejoin))
-    for pattern, mask in (
-        (fv.PII_EMAIL_PATTERN, fv.PII_EMAIL_TEXT),
-        (fv.PII_PHONE_PATTERN, fv.PII_PHONE_TEXT),
-        (fv.PII_ANCHOR_PATTERN, "$1"),
-        (fv.PII_URL_PATTERN, fv.PII_URL_TEXT),
+    # each pattern needs one of these marks, and finding a mark is far cheaper than a failed match
+    for marks, pattern, mask in (
+        (["@"], fv.PII_EMAIL_PATTERN, fv.PII_EMAIL_TEXT),
+        ([], fv.PII_PHONE_PATTERN, fv.PII_PHONE_TEXT),
+        (["<a"], fv.PII_ANCHOR_PATTERN, "$1"),
+        (["http", "www"], fv.PII_URL_PATTERN, fv.PII_URL_TEXT),
     ):
-        text = F.regexp_replace(text, pattern, mask)
+        text = _replace_where(text, marks, pattern, mask)
     return text
 
 
+def _replace_where(text: Column, marks: list[str], pattern: str, mask: str) -> Column:
+    if not marks:
+        return F.regexp_replace(text, pattern, mask)
+    return let(
+        text,
+        lambda t: F.when(contains_any(t, marks), F.regexp_replace(t, pattern, mask)).otherwise(t),
+    )
+
+
 def redact(c: Column | str) -> Column:
     """Cut at the first line that starts with the benefits heading; drop blank and boilerplate lines."""
 
@@ -130,9 +143,7 @@ _TAG = r"(?s)<(?:/?[a-zA-Z](?:[^<>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
 
 def unescape(c: Column | str) -> Column:
     """Named and numeric character references to characters; unknown ones are kept."""
-    names = F.create_map(
-        *[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, chr(code))]
-    )
+    names = fixed_map({name: chr(code) for name, code in name2codepoint.items()})
 
     def from_code(number: Column) -> Column:
         wide = F.unhex(F.lpad(F.hex(number), 8, "0"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import postings as po
 from postloom.plans.registry import Source, query
-from postloom.session import shared_folder
+from postloom.session import shared_folder, spread
 from postloom.sources import exports, pages, payloads
 
 AS_OF = "2001-08-01"
@@ -55,7 +55,7 @@ _INDEED_COLUMNS = [
 
 @query("board_indeed", _INDEED_ROWS)
 def board_indeed(s: Source) -> DataFrame:
-    posts = payloads.indeed(s.sql(_INDEED))
+    posts = payloads.indeed(spread(s.sql(_INDEED), "payload_id"))
     return po.flat_postings(posts, "indeed").select(*_INDEED_COLUMNS)
 
 
@@ -82,7 +82,7 @@ FROM <<customer>> WHERE c_acctbal > 0"""
     '* one' || chr(10) || '* two' AS description FROM <<customer>> WHERE c_acctbal > 0""",
 )
 def board_workday(s: Source) -> DataFrame:
-    posts = payloads.workday(s.sql(_WORKDAY_LIST), s.sql(_WORKDAY_DETAIL))
+    posts = payloads.workday(spread(s.sql(_WORKDAY_LIST), "payload_id"), spread(s.sql(_WORKDAY_DETAIL)))
     return po.flat_postings(posts, "workday").select(
         "id", "title", "company", "job_url", "location", "job_type", "date_posted", "description"
     )
@@ -106,7 +106,7 @@ _ORACLE_DETAIL = """SELECT CAST(c_custkey AS STRING) AS job_id,
     'https://o.example.com/hcmUI/CandidateExperience/en/sites/CX/job/x' || CAST(c_custkey AS VARCHAR), 'only short' FROM <<customer>>""",
 )
 def board_oraclecloud(s: Source) -> DataFrame:
-    posts = payloads.oraclecloud(s.sql(_ORACLE_LIST), s.sql(_ORACLE_DETAIL))
+    posts = payloads.oraclecloud(spread(s.sql(_ORACLE_LIST), "payload_id"), spread(s.sql(_ORACLE_DETAIL)))
     return po.flat_postings(posts, "oraclecloud").select(
         "id", "title", "company", "location", "date_posted", "job_url", "description"
     )
@@ -129,7 +129,7 @@ _EIGHT_DETAIL = f"""SELECT CAST(c_custkey AS STRING) AS job_id, '{{"data":{{"job
     '## Role' || chr(10) || chr(10) || 'text' AS description FROM <<customer>>""",
 )
 def board_eightfold(s: Source) -> DataFrame:
-    posts = payloads.eightfold(s.sql(_EIGHT_LIST), s.sql(_EIGHT_DETAIL))
+    posts = payloads.eightfold(spread(s.sql(_EIGHT_LIST), "payload_id"), spread(s.sql(_EIGHT_DETAIL)))
     return po.flat_postings(posts, "eightfold").select(
         "id", "title", "company", "job_url", "date_posted", "job_type", "description"
     )
@@ -157,7 +157,7 @@ def board_usajobs(s: Source) -> DataFrame:
         """SELECT 'https://u.example.com/' || CAST(s_suppkey AS STRING) AS job_url,
         CASE WHEN s_suppkey % 5 = 0 THEN 'page text' ELSE '' END AS description FROM <<supplier>>"""
     )
-    return payloads.usajobs(s.sql(_USAJOBS), texts).select(
+    return payloads.usajobs(spread(s.sql(_USAJOBS), "payload_id"), texts).select(
         "id", "title", "job_url", "location.city", "location.state", "date_posted",
         "security_clearance", "compensation.min_amount", "compensation.interval", "description",
     )
@@ -183,7 +183,7 @@ _GOOGLE = f"""SELECT o_orderkey AS payload_id, 'AF_initDataCallback({{key: ds:1,
 def board_google(s: Source) -> DataFrame:
     from postloom.functions.places import display_location
 
-    posts = payloads.google(s.sql(_GOOGLE), AS_OF)
+    posts = payloads.google(spread(s.sql(_GOOGLE), "payload_id"), AS_OF)
     return posts.select(
         "id", "title", "company_name", "is_remote", "date_posted", "job_url",
         display_location(F.col("location")).alias("location"),
@@ -208,7 +208,7 @@ _GLASS = """SELECT o_orderkey AS payload_id, '{"data":{"jobListings":{"jobListin
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM <<orders>>) o WHERE rn = 1""",
 )
 def board_glassdoor(s: Source) -> DataFrame:
-    return payloads.glassdoor(s.sql(_GLASS), AS_OF).select(
+    return payloads.glassdoor(spread(s.sql(_GLASS), "payload_id"), AS_OF).select(
         "id", "title", "is_remote", "date_posted", "location.city", "company_url",
         "compensation.min_amount", "compensation.max_amount", "compensation.interval", "listing_type",
     )
@@ -238,7 +238,7 @@ _LI_DETAIL = """SELECT CAST(c_custkey AS STRING) AS job_id, '<div class="x show-
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM <<orders>>) o JOIN <<customer>> c ON o.o_custkey = c.c_custkey WHERE rn = 1""",
 )
 def board_linkedin(s: Source) -> DataFrame:
-    posts = pages.linkedin(s.sql(_LI_CARDS), s.sql(_LI_DETAIL))
+    posts = pages.linkedin(spread(s.sql(_LI_CARDS), "payload_id"), spread(s.sql(_LI_DETAIL)))
     return po.flat_postings(posts, "linkedin").select(
         "id", "title", "company", "job_url", "company_url", "location", "date_posted", "min_amount",
         "salary_source", "description", "is_remote", "job_level", "job_type", "job_url_direct",
@@ -259,7 +259,7 @@ _ZIP_PANES = """SELECT CAST(c_custkey AS STRING) AS job_id, '<div>' || CASE WHEN
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM <<orders>>) o WHERE rn = 1""",
 )
 def board_zip_recruiter(s: Source) -> DataFrame:
-    posts = pages.zip_recruiter(s.sql(_ZIP_CARDS), s.sql(_ZIP_PANES))
+    posts = pages.zip_recruiter(spread(s.sql(_ZIP_CARDS), "payload_id"), spread(s.sql(_ZIP_PANES)))
     return po.flat_postings(posts, "zip_recruiter").select(
         "id", "title", "company", "job_url", "min_amount", "max_amount", "interval", "description"
     )
@@ -286,7 +286,7 @@ _MA_DETAIL = """SELECT 'https://careers.marriott.com/x/job/H' || CAST(s_suppkey
     'hourly' AS "interval" FROM <<supplier>>""",
 )
 def board_marriott(s: Source) -> DataFrame:
-    posts = pages.marriott(s.sql(_MA_CARDS), s.sql(_MA_DETAIL))
+    posts = pages.marriott(spread(s.sql(_MA_CARDS), "payload_id"), spread(s.sql(_MA_DETAIL)))
     return po.flat_postings(posts, "marriott").select(
         "id", "title", "company", "job_url", "location", "date_posted", "description", "job_type",
         "is_remote", "emails", "min_amount", "max_amount", "interval",
@@ -314,7 +314,7 @@ def structured_descriptions(s: Source) -> DataFrame:
         .when(kind == 2, '<script type="application/ld+json">{broken</script>')
         .otherwise("")
     )
-    staged = s.table("pages").withColumn("html", F.concat(F.col("html"), script))
+    staged = spread(s.table("pages"), "page_id").withColumn("html", F.concat(F.col("html"), script))
     return staged.select("page_id", pages.structured_description("html").alias("description"))
 
 
@@ -334,7 +334,7 @@ def page_descriptions(s: Source) -> DataFrame:
         .when(kind == 1, F.concat(F.col("html"), first))
         .otherwise(F.concat(F.col("html"), F.lit('<div data-testid="job-description"><p>second</p></div>')))
     )
-    return pages.described(s.table("pages").withColumn("html", html)).select("page_id", "description")
+    return pages.described(spread(s.table("pages"), "page_id").withColumn("html", html)).select("page_id", "description")
 
 
 @query(
@@ -346,7 +346,7 @@ def greenhouse_descriptions(s: Source) -> DataFrame:
         F.lit('<div class="job__description a">one<div>x</div></div>'), F.col("html"),
         F.lit('<div class="job__description">'), F.col("page_id").cast("string"), F.lit("</div>"),
     )
-    found = pages.greenhouse_description(s.table("pages").withColumn("html", html))
+    found = pages.greenhouse_description(spread(s.table("pages"), "page_id").withColumn("html", html))
     return found.select("page_id", "description")
 
 
@@ -356,7 +356,7 @@ def greenhouse_descriptions(s: Source) -> DataFrame:
     CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links FROM <<pages>>""",
 )
 def page_headings(s: Source) -> DataFrame:
-    return pages.page_facts(s.table("pages")).select("page_id", "heading", "links")
+    return pages.page_facts(spread(s.table("pages"), "page_id")).select("page_id", "heading", "links")
 
 
 @query(
@@ -371,7 +371,7 @@ def unblocked_pages(s: Source) -> DataFrame:
         .otherwise(""),
         F.col("html"),
     )
-    return pages.unblocked(s.table("pages").withColumn("html", html)).select("page_id")
+    return pages.unblocked(spread(s.table("pages"), "page_id").withColumn("html", html)).select("page_id")
 
 
 # --- one frame, exports -----------------------------------------------------------------------------------
@@ -385,9 +385,9 @@ _WORKDAY_FLAT = """SELECT 'R' || CAST(c_custkey AS VARCHAR) AS id, 'workday' AS
     UNION ALL SELECT id, site, NULL, NULL, NULL FROM ({_WORKDAY_FLAT}) w""",
 )
 def unified_postings(s: Source) -> DataFrame:
-    indeed = po.flat_postings(payloads.indeed(s.sql(_INDEED)), "indeed")
+    indeed = po.flat_postings(payloads.indeed(spread(s.sql(_INDEED), "payload_id")), "indeed")
     workday = po.flat_postings(
-        payloads.workday(s.sql(_WORKDAY_LIST), s.sql(_WORKDAY_DETAIL)), "workday"
+        payloads.workday(spread(s.sql(_WORKDAY_LIST), "payload_id"), spread(s.sql(_WORKDAY_DETAIL))), "workday"
     ).drop("company_industry")
     return po.unify([indeed, workday]).select(
         "id", "site", "salary_source", "interval", "company_industry"

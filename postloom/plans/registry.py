@@ -28,13 +28,7 @@ class Source:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def view(self, name: str) -> DataFrame:
-        def expand(match: re.Match) -> str:
-            inner = match[1]
-            if inner in VIEWS:
-                return f"({_MARK.sub(expand, VIEWS[inner])})"
-            return f"parquet.`{self.folder}/{inner}.parquet`"
-
-        return self.spark.sql(_MARK.sub(expand, VIEWS[name]))
+        return self.sql(VIEWS[name])
 
     def sql(self, text: str) -> DataFrame:
         """Rows for a query's input, from SQL over ``<<table>>`` and ``<<view>>`` marks."""

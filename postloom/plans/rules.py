@@ -11,6 +11,7 @@ from postloom.functions import dates, jobtypes, pay, places, results, text, urls
 from postloom.operators import configs as co
 from postloom.operators import scoring as sc
 from postloom.plans.registry import Source, query
+from postloom.session import spread
 
 # --- text -----------------------------------------------------------------------------------------
 
@@ -37,7 +38,7 @@ _EMAILS = "regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]
     CASE WHEN text <> '' THEN len({_EMAILS}) END AS n_emails FROM <<documents>>""",
 )
 def text_emails(s: Source) -> DataFrame:
-    found = s.table("documents").select("doc_id", text.emails("text").alias("_e"))
+    found = spread(s.table("documents"), "doc_id").select("doc_id", text.emails("text").alias("_e"))
     return found.select(
         "doc_id", F.array_join("_e", ", ").alias("emails"), F.size("_e").cast("bigint").alias("n_emails")
     )
@@ -59,7 +60,7 @@ _LINES = "regexp_replace(regexp_replace(text, '\\r\\n|[\\n\\x0B\\f\\r\\x1C-\\x1E
     FROM (SELECT doc_id, text, {_LINES} AS t FROM <<documents>>) d""",
 )
 def remove_pii(s: Source) -> DataFrame:
-    return s.table("documents").select("doc_id", text.remove_pii("text").alias("text"))
+    return spread(s.table("documents"), "doc_id").select("doc_id", text.remove_pii("text").alias("text"))
 
 
 _PHRASES = " OR ".join(f"contains(x, '{p}')" for p in fv.REDACT_PHRASES)
@@ -74,7 +75,7 @@ _CUT = f"list_position(list_transform(lines, lambda x: starts_with(x, '{fv.REDAC
     FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM <<documents>>) d""",
 )
 def redact(s: Source) -> DataFrame:
-    return s.table("documents").select("doc_id", text.redact("text").alias("text"))
+    return spread(s.table("documents"), "doc_id").select("doc_id", text.redact("text").alias("text"))
 
 
 _CLEARED = """CASE WHEN regexp_matches(description, '(?i)\\b(current|active|required|requirement|requires)\\s+(?:\\S+\\s+){0,10}(security clearance|TS/SCI|public trust|secret|top.secret)\\b')
@@ -83,7 +84,7 @@ _CLEARED = """CASE WHEN regexp_matches(description, '(?i)\\b(current|active|requ
 
 @query("clearance_flag", f"SELECT id, {_CLEARED} AS required FROM <<clearance_texts>>")
 def clearance_flag(s: Source) -> DataFrame:
-    return s.view("clearance_texts").select(
+    return spread(s.view("clearance_texts"), "id").select(
         "id", text.clearance_flag("description", "title").alias("required")
     )
 
@@ -118,7 +119,7 @@ def label_job_types(s: Source) -> DataFrame:
         .when(F.col("source") == "src3", "Voll-zeit")
         .otherwise("unknown kind")
     )
-    return s.table("documents").select(
+    return spread(s.table("documents"), "doc_id").select(
         "doc_id", F.array_join(jobtypes.job_types(F.array(label), "other"), ", ").alias("job_type")
     )
 
@@ -143,7 +144,7 @@ def remote_flag(s: Source) -> DataFrame:
 )
 def refetch_quality(s: Source) -> DataFrame:
     fetched = F.substring(F.col("text"), F.lit(1), (500 + F.col("doc_id") % 1000).cast("int"))
-    return s.table("documents").select("doc_id", text.shorter_refetch(fetched, "text").alias("shorter"))
+    return spread(s.table("documents"), "doc_id").select("doc_id", text.shorter_refetch(fetched, "text").alias("shorter"))
 
 
 @query(
@@ -172,7 +173,7 @@ _PLAIN = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(
 
 @query("page_text", f"SELECT page_id, {_PLAIN} AS text FROM <<pages>>")
 def page_text(s: Source) -> DataFrame:
-    return s.table("pages").select("page_id", text.html_to_text("html").alias("text"))
+    return spread(s.table("pages"), "page_id").select("page_id", text.html_to_text("html").alias("text"))
 
 
 @query(
@@ -190,7 +191,7 @@ def blocked_pages(s: Source) -> DataFrame:
     kind = F.col("page_id") % 6
     title = F.when(kind == 1, "Just a moment").when(kind == 2, "403").otherwise("page")
     head = F.when(kind == 3, "<p>CAPTCHA").when(kind == 4, "Are you human").otherwise("")
-    return s.table("pages").select(
+    return spread(s.table("pages"), "page_id").select(
         "page_id", text.blocked_page(title, F.concat(head, F.col("html"))).alias("block")
     )
 
@@ -222,7 +223,7 @@ def _salary_sql(source: str, key: str) -> str:
 
 @query("salary_range", _salary_sql("<<salary_texts>>", "id"))
 def salary_range(s: Source) -> DataFrame:
-    found = s.view("salary_texts").select(
+    found = spread(s.view("salary_texts"), "id").select(
         "id",
         pay.salary_range("description").alias("_p"),
         pay.salary_range("description", annual=True).alias("_y"),
@@ -263,7 +264,7 @@ _DIGITS = "regexp_replace(amount, '[^-0-9.,]', '', 'g')"
       FROM (SELECT id, {_DIGITS} AS d FROM <<money_texts>>) x) y""",
 )
 def currency_numbers(s: Source) -> DataFrame:
-    return s.view("money_texts").select("id", pay.currency_number("amount").alias("amount"))
+    return spread(s.view("money_texts"), "id").select("id", pay.currency_number("amount").alias("amount"))
 
 
 @query(
@@ -428,7 +429,7 @@ def date_rules(s: Source) -> DataFrame:
 )
 def job_sources(s: Source) -> DataFrame:
     return (
-        s.view("posting_urls").select("id", urls.job_source("url").alias("_s")).select("id", "_s.*")
+        spread(s.view("posting_urls"), "id").select("id", urls.job_source("url").alias("_s")).select("id", "_s.*")
     )
 
 
@@ -440,7 +441,7 @@ def job_sources(s: Source) -> DataFrame:
     CASE WHEN contains(url, 'workday') THEN 'workday' ELSE 'generic' END AS route FROM <<pages>>""",
 )
 def url_facts(s: Source) -> DataFrame:
-    return s.table("pages").select(
+    return spread(s.table("pages"), "page_id").select(
         "page_id",
         urls.drop_query("url").alias("without_query"),
         urls.first_param("url", "page").alias("page_no"),
@@ -457,7 +458,7 @@ def url_facts(s: Source) -> DataFrame:
 )
 def oraclecloud_parts(s: Source) -> DataFrame:
     return (
-        s.view("posting_urls")
+        spread(s.view("posting_urls"), "id")
         .select(
             "id",
             urls.oraclecloud_parts("url").alias("_o"),
@@ -475,7 +476,7 @@ def oraclecloud_parts(s: Source) -> DataFrame:
     FROM <<posting_urls>> WHERE contains(url, '/careers?')""",
 )
 def site_configs(s: Source) -> DataFrame:
-    found = co.from_urls(s.view("posting_urls").withColumn("company_name", F.lit("Acme & Co")))
+    found = co.from_urls(spread(s.view("posting_urls"), "id").withColumn("company_name", F.lit("Acme & Co")))
     return found.where(F.col("config_type") == "eightfold").select(
         "id", "config_type", "config_key", "base_url", "config_json"
     )
@@ -581,7 +582,7 @@ _CURRENT = "coalesce(job_score_json->>'$.schema_version' = '1.0', false)"
 )
 def result_scores(s: Source) -> DataFrame:
     return (
-        s.view("results_json")
+        spread(s.view("results_json"), "id")
         .select("id", results.stored_fields("job_score_json").alias("_f"))
         .select("id", "_f.*")
     )
@@ -593,7 +594,7 @@ def result_scores(s: Source) -> DataFrame:
     ELSE job_score_json END AS job_score_json FROM <<results_json>>""",
 )
 def corrected_results(s: Source) -> DataFrame:
-    staged = s.view("results_json").withColumn("_f", results.stored_fields("job_score_json"))
+    staged = spread(s.view("results_json"), "id").withColumn("_f", results.stored_fields("job_score_json"))
     return staged.select(
         "id", results.corrected_json("job_score_json", F.col("_f")).alias("job_score_json")
     )
@@ -605,7 +606,7 @@ def corrected_results(s: Source) -> DataFrame:
     'Travel: ' || (job_score_json->>'$.job_requirements.travel_percentage') AS travel FROM <<results_json>>""",
 )
 def decision_travel(s: Source) -> DataFrame:
-    return s.view("results_json").select(
+    return spread(s.view("results_json"), "id").select(
         "id",
         results.decision("job_score_json").alias("decision"),
         results.travel("job_score_json").alias("travel"),
@@ -660,7 +661,7 @@ def weighted_scores(s: Source) -> DataFrame:
     WHEN 4 THEN answer END AS json FROM <<answers>>""",
 )
 def answer_json(s: Source) -> DataFrame:
-    return s.view("answers").select("id", results.answer_json("answer").alias("json"))
+    return spread(s.view("answers"), "id").select("id", results.answer_json("answer").alias("json"))
 
 
 @query(
@@ -671,7 +672,7 @@ def answer_faults(s: Source) -> DataFrame:
     from postloom import schemas
 
     checked = results.validated("answer", schemas.SCORE_RESULT, ["decision"])
-    return s.view("answers").withColumn("_c", checked).select("id", "_c.error")
+    return spread(s.view("answers"), "id").withColumn("_c", checked).select("id", "_c.error")
 
 
 @query(
@@ -729,7 +730,7 @@ def list_and_map_text(s: Source) -> DataFrame:
     FROM <<results_json>> WHERE job_score_json <> '{}'""",
 )
 def eligibility(s: Source) -> DataFrame:
-    return sc.eligibility_rows(s.view("results_json"))
+    return sc.eligibility_rows(spread(s.view("results_json"), "id"))
 
 
 @query(

@@ -163,34 +163,40 @@ def linkedin_cards(pages: DataFrame) -> DataFrame:
         .withColumn("_meta", m.within(inside, meta))
     )
     company, around = F.col("_company"), F.col("_meta")
+    staged = staged.withColumn(
+        "_text",
+        m.texts(
+            html,
+            m.first(inside, m.is_tag("span"), m.has("class", "word", "sr-only")),
+            company,
+            m.first(around, m.is_tag("span"), m.has("class", "word", "job-search-card__location")),
+            m.first(inside, m.is_tag("span"), m.has("class", "word", "job-search-card__salary-info")),
+        ),
+    )
+    title, company_name, place, salary = (F.get("_text", F.lit(i)) for i in range(4))
     rows = staged.select(
         "payload_id",
         "_pos",
         "job_id",
-        F.coalesce(
-            m.first_text(html, inside, m.is_tag("span"), m.has("class", "word", "sr-only")),
-            F.lit("N/A"),
-        ).alias("title"),
-        F.coalesce(F.when(company.isNotNull(), m.text_of(html, company)), F.lit("N/A")).alias(
-            "company_name"
-        ),
+        F.coalesce(title, F.lit("N/A")).alias("title"),
+        F.coalesce(company_name, F.lit("N/A")).alias("company_name"),
         F.coalesce(urls.drop_query(m.attr(company, "href")), F.lit("")).alias("company_url"),
-        m.first_text(
-            html, around, m.is_tag("span"), m.has("class", "word", "job-search-card__location")
-        ).alias("location_text"),
+        place.alias("location_text"),
         dates.plain_date(
             m.first_attr(
                 around, "datetime", m.is_tag("time"),
                 m.has("class", "word", "job-search-card__listdate"),
             )
         ).alias("date_posted"),
-        m.first_text(
-            html, inside, m.is_tag("span"), m.has("class", "word", "job-search-card__salary-info")
-        ).alias("salary_text"),
+        salary.alias("salary_text"),
     )
     return _distinct(rows, "job_id")
 
 
+def _headed(word: str) -> m.Test:
+    return lambda x: x["head"].contains(word)
+
+
 def linkedin_details(pages: DataFrame) -> DataFrame:
     """Detail pages (``job_id, html``): description, criteria list, logo, direct link."""
     html, els = F.col("html"), F.col("_els")
@@ -198,19 +204,23 @@ def linkedin_details(pages: DataFrame) -> DataFrame:
     block = m.first(els, m.is_tag("div"), m.has("class", "contains", "show-more-less-html__markup"))
     value = m.has("class", "word", "description__job-criteria-text")
 
+    heads = F.transform(
+        m.select(els, m.is_tag("h3")),
+        lambda h: F.struct(
+            m.text_of(html, h).alias("head"),
+            m.inner_html(html, m.first(m.after(els, h), m.is_tag("span"), value)).alias("value"),
+        ),
+    )
+    wanted = ["Employment type", "Seniority level", "Industries", "Job function"]
+
+    def values(listed: Column) -> Column:
+        raw = [F.get(F.filter(listed, _headed(w)), F.lit(0))["value"] for w in wanted]
+        return F.transform(F.array(*raw), lambda t: text.html_to_text(t))
+
+    staged = staged.withColumn("_criteria", let(heads, values))
+
     def criterion(heading: str) -> Column:
-        head = F.get(
-            F.filter(
-                els, lambda e: m.is_tag("h3")(e) & m.text_of(html, e).contains(heading)
-            ),
-            F.lit(0),
-        )
-        return let(
-            head,
-            lambda h: F.when(
-                h.isNotNull(), m.first_text(html, m.after(els, h), m.is_tag("span"), value)
-            ),
-        )
+        return F.get("_criteria", F.lit(wanted.index(heading)))
 
     apply_code = m.first(els, m.is_tag("code"), m.has("id", "equals", "applyUrl"))
     kind = F.replace(F.lower(criterion("Employment type")), F.lit("-"), F.lit(""))
