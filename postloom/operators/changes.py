@@ -18,6 +18,7 @@ from postloom.functions.expr import is_blank
 from postloom.functions.results import stored_fields
 from postloom.functions.text import clearance_flag
 from postloom.operators.ingest import next_ids
+from postloom.operators.keys import absent
 from postloom.operators.ranking import keep_first
 
 Rule = Callable[[Column, Column], Column]
@@ -55,15 +56,16 @@ def apply_changes(
     """The target after the changes. Both sides have at most one row per key.
 
     Matched rows follow the rule of each column the changes carry; other columns stay. Unmatched
-    changes are added when ``insert`` is set and dropped otherwise.
+    changes are added when ``insert`` is set and dropped otherwise. This is a left join and a union
+    rather than a full join, so that a small set of changes leaves the target where it is: a full join
+    always shuffles both sides.
     """
     rules = dict(rules or {})
     changed = [c for c in changes.columns if c not in keys and c in target.columns]
     new = changes.select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in changed], F.lit(True).alias("_change")
     )
-    old = target.withColumn("_target", F.lit(True))
-    joined = old.join(new, list(keys), "full" if insert else "left")
+    joined = target.join(new, list(keys), "left")
 
     def value(name: str) -> Column:
         kind = target.schema[name].dataType
@@ -73,13 +75,21 @@ def apply_changes(
         merged = rules.get(name, default)(before, after)
         return (
             F.when(F.col("_change").isNull(), before)
-            .when(F.col("_target").isNull(), after)
             .otherwise(merged)
             .cast(kind)
             .alias(name)
         )
 
-    return joined.select(*[value(c) for c in target.columns])
+    updated = joined.select(*[value(c) for c in target.columns])
+    if not insert:
+        return updated
+    added = absent(changes, target, keys).select(
+        *[
+            (F.col(c) if c in changes.columns else F.lit(None)).cast(target.schema[c].dataType).alias(c)
+            for c in target.columns
+        ]
+    )
+    return updated.unionByName(added)
 
 
 def update(
@@ -95,8 +105,7 @@ def delete(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame
 
 def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add rows whose key is free; the first of equal keys is not defined, so pass unique rows."""
-    fresh = rows.join(target.select(*keys), list(keys), "left_anti")
-    return target.unionByName(fresh, allowMissingColumns=True)
+    return target.unionByName(absent(rows, target, keys), allowMissingColumns=True)
 
 
 # --- users, profiles, configurations, cache ------------------------------------------------------

@@ -11,6 +11,7 @@ from postloom import fixed_values as fv
 from postloom.functions.dates import date_or_today, day
 from postloom.functions.expr import strip
 from postloom.functions.text import clearance_flag
+from postloom.operators.keys import absent, known
 from postloom.operators.ranking import keep_first
 
 POSTING_KEY = ["job_url", "owning_user"]
@@ -41,14 +42,13 @@ def distinct_postings(incoming: DataFrame, *order: Column) -> DataFrame:
 
 def new_postings(incoming: DataFrame, stored: DataFrame, *order: Column) -> DataFrame:
     """First arrivals that the owner does not have yet. Only the key columns of the store are read."""
-    return distinct_postings(incoming, *order).join(
-        stored.select(*POSTING_KEY), POSTING_KEY, "left_anti"
-    )
+    taken = known(stored, incoming, POSTING_KEY)
+    return distinct_postings(incoming, *order).join(taken, POSTING_KEY, "left_anti")
 
 
 def unseen_anywhere(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Postings whose url nobody has: the boards' early skip."""
-    return incoming.join(stored.select("job_url"), "job_url", "left_anti")
+    return absent(incoming, stored, ["job_url"])
 
 
 def marked_batch(incoming: DataFrame, stored: DataFrame, *order: Column) -> DataFrame:
@@ -60,7 +60,7 @@ def marked_batch(incoming: DataFrame, stored: DataFrame, *order: Column) -> Data
     """
     first = (
         distinct_postings(incoming.select(*POSTING_KEY, "arrival_id"), *order)
-        .join(stored.select(*POSTING_KEY), POSTING_KEY, "left_anti")
+        .join(known(stored, incoming, POSTING_KEY), POSTING_KEY, "left_anti")
         .select("arrival_id", F.lit(True).alias("is_new"))
     )
     return (

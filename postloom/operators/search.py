@@ -148,10 +148,12 @@ def search_applied(
     exclude: Sequence[str] = (),
 ) -> DataFrame:
     """Applied postings of an owner by keyword and newest status."""
-    mine = postings.where(F.col("owning_user") == owner)
+    mine = postings.where((F.col("owning_user") == owner) & (F.col("review_status") == "applied"))
     if keyword:
         mine = mine.where(matches_keyword(keyword))
-    out = applied_with_status(mine, history)
+    # one owner's events are a small part of the history: leave the rest out before ranking it
+    asked = mine.select(F.col("id").alias("applied_job_id"))
+    out = applied_with_status(mine, history.join(asked, "applied_job_id", "left_semi"))
     if _wanted(status):
         out = out.where(F.col("current_status_latest") == status)
     if exclude:

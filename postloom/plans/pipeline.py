@@ -95,9 +95,9 @@ FROM (SELECT DISTINCT owning_user, desired_role, title, score FROM ({_CACHE_JOIN
 
 def _all_scores(s: Source) -> DataFrame:
     probes = s.view("title_probes").select("owning_user", "desired_role", "title").distinct()
-    looked = ti.cache_lookup(probes, s.view("title_score_cache"))
-    fresh = ti.score_misses(ti.misses(looked), keyword_scorer)
-    return ti.all_scores(ti.resolved(looked), fresh)
+    as_of = F.lit(AS_OF).cast("date")
+    scores, _ = ti.score_titles(probes, s.view("title_score_cache"), keyword_scorer, as_of)
+    return scores
 
 
 @query("score_misses", f"SELECT * FROM ({_SCORED}) x WHERE score IS NOT NULL")

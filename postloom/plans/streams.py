@@ -33,13 +33,10 @@ def _land(s: Source, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
 def stream_ingest(s: Source) -> DataFrame:
     incoming = s.view("incoming_postings")
     root, stream = _land(s, incoming, "ingest")
-    base = s.view("job_details").select(
-        F.lit(None).cast("bigint").alias("arrival_id"),
-        "job_url", "owning_user", "site", "title", "date_posted",
-    )
-    ingest.open_sink(s.spark, f"{root}/store", base)
+    ingest.open_sink(s.spark, f"{root}/store", incoming.schema)
     job = ingest.ingest(
-        stream, f"{root}/store", f"{root}/checkpoint", [F.asc("arrival_id")], ["chef"]
+        stream, f"{root}/store", f"{root}/checkpoint", [F.asc("arrival_id")], ["chef"],
+        base=s.view("job_details"),
     )
     job.awaitTermination()
     stored = s.spark.read.parquet(f"{root}/store").where(F.col("batch") >= 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,13 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so a lost executor costs one read."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write the rows to the shared folder and go on from there.
+
+    What made them runs once, however often they are used, and a lost executor costs one read.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -23,9 +23,9 @@ def _batch_path(sink: str, batch: int) -> str:
     return f"{sink.rstrip('/')}/batch={batch}"
 
 
-def open_sink(spark: SparkSession, sink: str, base: DataFrame) -> None:
-    """Make sure the sink can be read: the postings held so far are its part -1."""
-    base.write.mode("ignore").parquet(_batch_path(sink, -1))
+def open_sink(spark: SparkSession, sink: str, schema: T.StructType) -> None:
+    """Make sure the sink can be read before its first batch: part -1 has the columns and no rows."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(_batch_path(sink, -1))
 
 
 def stored_before(spark: SparkSession, sink: str, batch: int) -> DataFrame:
@@ -39,12 +39,14 @@ def ingest(
     order: Sequence[Column],
     reject_words: Sequence[str] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    base: DataFrame | None = None,
 ) -> StreamingQuery:
     """Save the new postings of every landed batch and stop when all files are done.
 
     A batch is compared with the parts below its own number and replaces its own part, so a batch
     that is run again after a failure neither sees its first attempt nor adds to it. The comparison
-    reads only the key columns of the store.
+    reads only the key columns of the store. ``base`` is a store from before the stream began; it is
+    read where it is, not copied.
     """
     words = F.array(*[F.lit(w) for w in reject_words]) if reject_words else None
 
@@ -54,7 +56,10 @@ def ingest(
             rows = prepare(rows)
         if words is not None:
             rows = ti.drop_rejected(rows, words)
-        fresh = ig.new_postings(rows, stored_before(spark, sink, batch), *order)
+        held = stored_before(spark, sink, batch).select(*ig.POSTING_KEY)
+        if base is not None:
+            held = held.unionByName(base.select(*ig.POSTING_KEY))
+        fresh = ig.new_postings(rows, held, *order)
         fresh.write.mode("overwrite").parquet(_batch_path(sink, batch))
 
     return (
