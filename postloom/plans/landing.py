@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postloom.operators import postings as po
 from postloom.plans.registry import Source, query
 from postloom.session import shared_folder, spread
-from postloom.sources import exports, pages, payloads
+from postloom.sources import boards, exports, pages, payloads
 
 AS_OF = "2001-08-01"
 _DAY_MS = 86400000
@@ -385,11 +385,11 @@ _WORKDAY_FLAT = """SELECT 'R' || CAST(c_custkey AS VARCHAR) AS id, 'workday' AS
     UNION ALL SELECT id, site, NULL, NULL, NULL FROM ({_WORKDAY_FLAT}) w""",
 )
 def unified_postings(s: Source) -> DataFrame:
-    indeed = po.flat_postings(payloads.indeed(spread(s.sql(_INDEED), "payload_id")), "indeed")
-    workday = po.flat_postings(
-        payloads.workday(spread(s.sql(_WORKDAY_LIST), "payload_id"), spread(s.sql(_WORKDAY_DETAIL))), "workday"
-    ).drop("company_industry")
-    return po.unify([indeed, workday]).select(
+    landed = {
+        "indeed": (spread(s.sql(_INDEED), "payload_id"),),
+        "workday": (s.sql(_WORKDAY_LIST), s.sql(_WORKDAY_DETAIL)),
+    }
+    return boards.flatten_all(landed).select(
         "id", "site", "salary_source", "interval", "company_industry"
     )
 

@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # do not record a call site for every Column; large expressions are built several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -1,7 +1,6 @@
 """Plans: what is pushed down, what is combined before a shuffle, and what never happens."""
 
 import __spark_entry__ as entry
-import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import search as se
@@ -51,13 +50,3 @@ def test_store_side_of_the_duplicate_check_is_narrow(source):
 def test_page_keeps_only_its_rows(source):
     found = se.search_postings(source.view("job_details"), "FURNITURE", "2001-08-01")
     assert "TakeOrderedAndProject" in plan(se.page(found, se.posting_order("score"), 2))
-
-
-STREAMS = {"stream_ingest", "stream_usage", "stream_hourly_usage", "csv_round_trip"}
-
-
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - STREAMS))
-def test_no_cross_join_and_no_forced_broadcast_of_data(spark, folder, name):
-    text = plan(entry.queries()[name](spark, folder))
-    assert "CartesianProduct" not in text
-    assert "BroadcastNestedLoopJoin" not in text
