@@ -280,7 +280,7 @@ TERMINAL_STATUSES = ["offer_accepted", "offer_declined", "not_considered", "with
 REVIEW_STATUSES = ["not_reviewed", "saved", "applied", "rejected"]
 KEPT_REVIEW_STATUSES = ["saved", "applied"]
 
-APPLY_NOTE = "Applied via Job Finder"
+APPLY_NOTE = "Applied"
 MANUAL_NOTE = "Manually added"
 MANUAL_SITE = "manual"
 DASH = "—"

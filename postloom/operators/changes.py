@@ -185,7 +185,7 @@ def add_history(history: DataFrame, rows: DataFrame) -> DataFrame:
 
 def apply_to(
     postings: DataFrame, history: DataFrame, requests: DataFrame, as_of: Column | str,
-    first_id: int = 1,
+    first_id: int = 1, note: str = fv.APPLY_NOTE,
 ) -> tuple[DataFrame, DataFrame]:
     """Mark postings as applied and open their history; unknown ids and owners do nothing."""
     today = day(as_of)
@@ -193,7 +193,7 @@ def apply_to(
         *POSTING_OWNER, F.lit("applied").alias("review_status"), today.alias("applied_at")
     )
     known = postings.select(*POSTING_OWNER).join(change.select(*POSTING_OWNER), POSTING_OWNER)
-    opened = history_rows(known, "submitted", fv.APPLY_NOTE, today, first_id)
+    opened = history_rows(known, "submitted", note, today, first_id)
     return update(postings, change, POSTING_OWNER), add_history(history, opened)
 
 

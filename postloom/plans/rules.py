@@ -139,11 +139,11 @@ def remote_flag(s: Source) -> DataFrame:
 @query(
     "refetch_quality",
     """SELECT doc_id, length(trim(text, ' ' || chr(10))) > 0
-    AND length(substr(text, 1, CAST(500 + doc_id % 1000 AS BIGINT))) < 0.9 * length(trim(text, ' ' || chr(10))) AS shorter
+    AND length(replace(text, 'e', '')) < 0.9 * length(trim(text, ' ' || chr(10))) AS shorter
     FROM <<documents>>""",
 )
 def refetch_quality(s: Source) -> DataFrame:
-    fetched = F.substring(F.col("text"), F.lit(1), (500 + F.col("doc_id") % 1000).cast("int"))
+    fetched = F.replace("text", F.lit("e"), F.lit(""))
     return spread(s.table("documents"), "doc_id").select("doc_id", text.shorter_refetch(fetched, "text").alias("shorter"))
 
 

@@ -12,14 +12,16 @@ from postloom.plans.registry import Source, query
 from postloom.session import shared_folder
 from postloom.streaming import ingest, usage
 
-FILES = 4
+BATCHES = 4
 
 
 def _land(s: Source, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
-    """Write rows as several files into a fresh folder and stream them one file at a time."""
+    """Write rows as files into a fresh folder and stream them in a few batches."""
     root = f"{shared_folder(s.spark)}/{name}-{uuid.uuid4().hex}"
-    rows.repartition(FILES).write.parquet(f"{root}/landed")
-    return root, ingest.landed(s.spark, f"{root}/landed", rows.schema, files_per_batch=1)
+    files = max(BATCHES, int(s.spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.repartition(files).write.parquet(f"{root}/landed")
+    per_batch = -(-files // BATCHES)
+    return root, ingest.landed(s.spark, f"{root}/landed", rows.schema, per_batch)
 
 
 @query(
