@@ -303,6 +303,13 @@ def edited_fields(forms: DataFrame) -> DataFrame:
     )
 
 
+def edit_postings(postings: DataFrame, forms: DataFrame) -> DataFrame:
+    """Postings after edit forms. A form states every field it has, so a blank one clears the column."""
+    return apply_changes(
+        postings, edited_fields(forms), POSTING_OWNER, default=take_new, insert=False
+    )
+
+
 # --- retention ---------------------------------------------------------------------------------------
 
 

@@ -223,6 +223,25 @@ def edited_fields(s: Source) -> DataFrame:
     return ch.edited_fields(forms).select("id", "min_amount")
 
 
+@query(
+    "edit_postings",
+    """SELECT j.id, j.owning_user, CASE WHEN m.id IS NULL THEN j.title ELSE '' END AS title,
+    CASE WHEN m.id IS NULL THEN j.min_amount WHEN m.amount = 'n/a' OR contains(m.amount, '$') OR contains(m.amount, 'EUR') THEN NULL
+      ELSE CAST(m.amount AS DOUBLE) END AS min_amount, CASE WHEN m.id IS NULL THEN j.applied_at END AS applied_at, j.review_status
+    FROM <<job_details>> j LEFT JOIN <<money_texts>> m ON j.id = m.id AND j.owning_user = 'FURNITURE'""",
+)
+def edit_postings(s: Source) -> DataFrame:
+    jobs = s.view("job_details").select(
+        "id", "owning_user", "title", "min_amount", "applied_at", "review_status"
+    )
+    forms = s.view("money_texts").select(
+        "id", F.lit("FURNITURE").alias("owning_user"), F.lit("").alias("title"),
+        F.col("amount").alias("min_amount"), F.col("amount").alias("max_amount"),
+        F.lit("").alias("applied_at"),
+    )
+    return ch.edit_postings(jobs, forms)
+
+
 @query("expired_postings", f"SELECT * FROM <<job_details>> WHERE NOT {_KEPT}")
 def expired_postings(s: Source) -> DataFrame:
     return _dated(s).where(ch.is_expired(AS_OF, 60)).drop("date_created")
