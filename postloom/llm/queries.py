@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postloom.llm import covering
+from postloom.llm import covering, piecebpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,3 +31,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @_query("op7_covering_simhash")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return covering.near_duplicates(_table(spark, folder, "documents"))
+
+
+def _tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    coded = piecebpe.encode_decode(docs, piecebpe.read_ranks(ranks_path), pattern)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@_query("op10_piece_bpe")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return _tokens(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
