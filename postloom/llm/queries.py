@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import covering, piecebpe
+from postloom.llm import covering, hashtree, piecebpe
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +47,8 @@ def _tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return _tokens(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@_query("op2_hash_tree")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return hashtree.shard(_table(spark, folder, "documents"), hashtree.tree(8), hashtree.tree(9))
