@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import covering, hashtree, piecebpe
+from postloom.llm import covering, hashtree, piecebpe, supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op2_hash_tree")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return hashtree.shard(_table(spark, folder, "documents"), hashtree.tree(8), hashtree.tree(9))
+
+
+@_query("op4_weak_supervision")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    judged = supervision.label(_table(spark, folder, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "quality")
