@@ -85,7 +85,7 @@ def near_fingerprints(distinct: DataFrame, radius: int = 3) -> DataFrame:
     )
     # a hash of table and kept bits is the bucket; two that fall together are only held against each other
     rows = distinct.select("bits", tables.alias("t")).select(F.xxhash64("t.table", "t.kept").alias("bucket"), "bits")
-    dealt = cells(rows, "bucket", F.col("bits"), CHUNK)
+    dealt = cells(rows, ["bucket"], F.col("bits"), CHUNK)
     return by_run(dealt, ["bucket", "cell_a", "cell_b"], _links(radius), "a long, b long")
 
 

@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from postloom.session import cut_lineage
 
 
-def cells(rows: DataFrame, key: str, member: Column, chunk: int) -> DataFrame:
+def cells(rows: DataFrame, keys: list[str], member: Column, chunk: int) -> DataFrame:
     """Rows of the buckets that have two members or more, dealt to cells of two chunks at most.
 
     Adds ``part`` (the member's chunk), ``cell_a`` and ``cell_b``: a row with part p is in the cells
     (min(p, o), max(p, o)) of all chunks o of its bucket. Members of one bucket with different parts
     meet in one cell; those of the same part meet in (p, p) and again beside every other part.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    sized = rows.join(sizes, key)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sized = rows.join(sizes, keys)
     parts = F.ceil(F.col("_n") / chunk).cast("int")
     dealt = sized.select(
         *rows.columns, parts.alias("_parts"), F.pmod(F.xxhash64(member, F.lit("part")), parts).cast("int").alias("part")

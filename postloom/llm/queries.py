@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import covering, hashtree, piecebpe, supervision
+from postloom.llm import capfilters, covering, hashtree, piecebpe, supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -59,3 +59,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     judged = supervision.label(_table(spark, folder, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return judged.select("doc_id", *counts, "base_failed", "kept", "quality")
+
+
+@_query("op1_cap_filters")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return capfilters.near_duplicates(_table(spark, folder, "embeddings"))
