@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import capfilters, covering, hashtree, piecebpe, supervision
+from postloom.llm import capfilters, covering, hashtree, paragraphs, piecebpe, supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op1_cap_filters")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return capfilters.near_duplicates(_table(spark, folder, "embeddings"))
+
+
+@_query("op3_paragraph_minhash")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return paragraphs.repeats(_table(spark, folder, "documents"))
