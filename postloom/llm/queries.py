@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import capfilters, covering, hashtree, paragraphs, piecebpe, supervision
+from postloom.llm import (
+    capfilters,
+    covering,
+    hashtree,
+    line_sql,
+    paragraphs,
+    piecebpe,
+    supervision,
+    templates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +78,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op3_paragraph_minhash")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return paragraphs.repeats(_table(spark, folder, "documents"))
+
+
+@_query("op6_log_templates", line_sql.DROPPED_LINES)
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    marked = templates.with_dropped(_table(spark, folder, "documents"))
+    return marked.select(
+        "doc_id",
+        F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(templates.cut(F.col("text"), F.col("_dropped")), 256).alias("kept_sha256"),
+    )
