@@ -13,6 +13,7 @@ from postloom.llm import (
     covering,
     hashtree,
     line_sql,
+    mixing,
     paragraphs,
     piecebpe,
     supervision,
@@ -89,3 +90,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
         F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
         F.sha2(templates.cut(F.col("text"), F.col("_dropped")), 256).alias("kept_sha256"),
     )
+
+
+#: Wanted shares of tokens, and the domain whose tokens stay as they are.
+WEIGHTS, ANCHOR = {"clean": 0.98, "junk": 0.01, "toxic": 0.01}, "clean"
+
+
+@_query("op9_soft_mixing")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    labels = mixing.domain_of(_table(spark, folder, "labels"))
+    rates = mixing.mix(_table(spark, folder, "documents"), labels, WEIGHTS, ANCHOR)
+    shares = [F.round(f"p_{d}", 6).alias(f"p_{d}") for d in sorted(WEIGHTS)]
+    return rates.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
