@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -18,7 +19,9 @@ from postloom.llm import (
     piecebpe,
     supervision,
     templates,
+    warc,
 )
+from postloom.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +105,19 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     rates = mixing.mix(_table(spark, folder, "documents"), labels, WEIGHTS, ANCHOR)
     shares = [F.round(f"p_{d}", 6).alias(f"p_{d}") for d in sorted(WEIGHTS)]
     return rates.select("doc_id", "tokens", *shares, F.round("rate", 6).alias("rate"), "copies")
+
+
+@_query(
+    "op5_warc_writer",
+    """WITH facts AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    first AS (SELECT payload_digest, min(page_id) AS page FROM facts GROUP BY payload_digest)
+    SELECT f.page_id, f.payload_bytes, f.payload_digest,
+      CASE WHEN f.payload_bytes >= 100 AND f.page_id > r.page THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN f.payload_bytes >= 100 AND f.page_id > r.page THEN r.page END AS refers_to
+    FROM facts f JOIN first r USING (payload_digest)""",
+)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    archive = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write(_table(spark, folder, "pages"), archive)
+    return warc.read(manifest, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
