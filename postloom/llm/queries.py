@@ -17,6 +17,7 @@ from postloom.llm import (
     mixing,
     paragraphs,
     piecebpe,
+    prefixfree,
     supervision,
     templates,
     warc,
@@ -121,3 +122,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     archive = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     manifest = warc.write(_table(spark, folder, "pages"), archive)
     return warc.read(manifest, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op8_prefix_free_parsing")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    cut = prefixfree.remove_repeats(_table(spark, folder, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
