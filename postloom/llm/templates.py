@@ -29,7 +29,7 @@ def _mask(token: Column) -> Column:
 
 
 def _lines(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
-    """``doc_id``, ``text_key``, ``line``, ``tokens`` and ``leaf`` of every line with tokens enough."""
+    """``doc_id``, ``text_key``, ``line``, ``written`` and ``leaf`` of every line with tokens enough."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_key"),
@@ -38,7 +38,7 @@ def _lines(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
     parsed = rows.withColumn("tokens", _tokens(F.col("written"))).where(F.size("tokens") >= least_tokens)
     leading = [_mask(F.get("tokens", F.lit(i))) for i in range(depth)]
     leaf = F.xxhash64(F.size("tokens"), *leading)
-    return parsed.select("doc_id", "text_key", "line", "tokens", leaf.alias("leaf"))
+    return parsed.select("doc_id", "text_key", "line", "written", leaf.alias("leaf"))
 
 
 def recurring_lines(
@@ -53,7 +53,8 @@ def recurring_lines(
     """
     lines = _lines(docs, depth, least_tokens)
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_texts).select("leaf")
-    masked = F.array_join(F.transform("tokens", _mask), " ").alias("masked")
+    # a line goes to the join as it is written, which is far shorter than an array of its tokens
+    masked = F.array_join(F.transform(_tokens(F.col("written")), _mask), " ").alias("masked")
     met = lines.join(leaves, "leaf").select("doc_id", "text_key", "line", "leaf", masked)
     met = cut_lineage(met, "lines")
 
