@@ -53,14 +53,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``doc_id`` and ``bits`` (the fingerprint as a signed long) of every row."""
+    """``doc_id``, ``text_key`` (a hash of the text) and ``bits`` (the fingerprint as a signed long) of every row."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         found = np.array([fingerprint(t, width) for t in texts], dtype=np.uint64)
         return pd.Series(found.view(np.int64))
 
-    return docs.select("doc_id", of("text").alias("bits"))
+    key = F.xxhash64("text").alias("text_key")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), key, of("text").alias("bits"))
 
 
 def _links(radius: int):
@@ -93,14 +94,8 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
-
-    ``component_id`` is the smallest ``doc_id`` that links of at most ``radius`` differing bits reach.
-    Texts that are null, empty or without words have fingerprint zero and link like any other. Equal
-    texts are one node of the graph; repeated rows stay repeated. A null ``doc_id`` keeps its row and is
-    never the smallest. An empty table gives no rows. Other columns of ``docs`` are ignored.
-    """
+def _grouped(docs: DataFrame, radius: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and for each distinct one its ``root`` and ``component_id``."""
     prints = cut_lineage(fingerprints(docs, width), "prints")
     first = prints.groupBy("bits").agg(F.min("doc_id").alias("first_id"))
     roots = components(near_fingerprints(first.select("bits"), radius))
@@ -109,6 +104,34 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     )
     nodes = cut_lineage(nodes, "nodes")
     named = nodes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(nodes.join(named, "root").select("bits", "component_id"), "bits").select(
+    return prints, nodes.join(named, "root").select("bits", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """One row per document: ``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``.
+
+    ``component_id`` is the smallest ``doc_id`` that links of at most ``radius`` differing bits reach.
+    Texts that are null, empty or without words have fingerprint zero and link like any other. Equal
+    texts are one node of the graph; repeated rows stay repeated. A null ``doc_id`` keeps its row and is
+    never the smallest. An empty table gives no rows. Other columns of ``docs`` are ignored.
+    """
+    prints, nodes = _grouped(docs, radius, width)
+    return prints.join(nodes, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
+    """One document of each group of ``near_duplicates``, with all its columns: the one of smallest ``doc_id``.
+
+    Rows without an id come last; of rows repeated whole one stays.
+    """
+    prints, nodes = _grouped(docs, radius, width)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    # first for each fingerprint, then for each group, so that a large group is small before it meets
+    first = prints.groupBy("bits").agg(F.min(order).alias("first")).join(nodes.select("bits", "root"), "bits")
+    kept = first.groupBy("root").agg(F.min("first").alias("first"))
+    kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.col("_text_key") == kept["_key"])
+    marked = docs.withColumn("_text_key", F.xxhash64("text"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)

@@ -47,7 +47,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return covering.near_duplicates(_table(spark, folder, "documents"))
 
 
-def _tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     coded = piecebpe.encode_decode(docs, piecebpe.read_ranks(ranks_path), pattern)
     return coded.select(
         "doc_id",
@@ -60,7 +60,7 @@ def _tokens(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 @_query("op10_piece_bpe")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return _tokens(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    return tokens(_table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 @_query("op2_hash_tree")

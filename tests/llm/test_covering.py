@@ -70,3 +70,12 @@ def test_equals_brute_force(docs, monkeypatch):
 
 def test_empty_table(docs):
     assert covering.near_duplicates(docs([])).collect() == []
+
+
+def test_keeps_one_of_each_group(docs):
+    rows = [(5, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (9, "other words stand here now"), (None, "a b c d e f")]
+    rows += [(None, "nobody knows this text at all"), (7, None), (6, ""), (3, "a second text of id three, unlike all")]
+    kept = covering.keep_one(docs(rows))
+    assert kept.columns == docs([]).columns
+    expected = [(3, rows[1][1]), (3, rows[-1][1]), (6, ""), (9, rows[3][1]), (None, rows[5][1])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)

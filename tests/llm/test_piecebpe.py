@@ -44,7 +44,7 @@ def test_pieces_alone_find_the_merges(ranks, theirs):
 def test_rows(spark, docs, theirs, monkeypatch):
     monkeypatch.setattr(piecebpe, "ROWS", 2)
     rows = [(1, "Hello there, wörld"), (1, "Hello there, wörld"), (2, None), (3, ""), (None, "x"), ((1 << 60) + 1, "y z" * 40000)]
-    got = queries._tokens(docs(rows), PATH, public_tokenizers.PATTERN)
+    got = queries.tokens(docs(rows), PATH, public_tokenizers.PATTERN)
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     expected = []
     for i, t in rows:
@@ -52,4 +52,4 @@ def test_rows(spark, docs, theirs, monkeypatch):
         text = ",".join(map(str, ids)).encode()
         expected.append((i, len(ids), hashlib.sha256(text).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
-    assert queries._tokens(docs([]), PATH, public_tokenizers.PATTERN).collect() == []
+    assert queries.tokens(docs([]), PATH, public_tokenizers.PATTERN).collect() == []

@@ -1,0 +1,78 @@
+import hashlib
+import random
+from collections import Counter
+
+import corpus_pipeline
+import public_tokenizers
+import test_covering
+import test_templates
+import tiktoken
+
+from postloom.llm import mixing, piecebpe, queries, supervision
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus():
+    rng = random.Random(21)
+    stock = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}ord" for i in range(400)]
+    rows = []
+    for i in range(150):
+        body = [" ".join(rng.choice(stock) for _ in range(rng.randrange(8, 30))) + "." for _ in range(rng.randrange(4, 9))]
+        body.insert(rng.randrange(3), f"Copyright {1990 + i % 30} all rights reserved here.")
+        rows.append((i, "\n".join(body)))
+    rows += [(200 + i, rows[i % 5][1]) for i in range(20)]
+    rows += [(300 + i, rows[7][1].replace("word", "wird", i % 2)) for i in range(6)]
+    rows += [(400 + i, " ".join("%%%" + rng.choice(stock) for _ in range(80))) for i in range(8)]
+    rows += [(410, None), (411, ""), (412, "too short"), (413, "again and again " * 60)]
+    return rows
+
+
+def test_stages_equal_brute_force(spark, tmp_path):
+    rows = corpus()
+    full = [(i, t, "en", "s", None if t is None else len(t)) for i, t in rows]
+    spark.createDataFrame(full, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, int(i % 10 != 3), 0) for i, _ in rows if i % 2]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, given, held = docs.columns, rows, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "tokens":
+            break
+        assert docs.columns == columns
+        held.append(name)
+        found = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "quality":
+            kept = {r.doc_id for r in supervision.label(before).where("kept").collect()}
+            assert sorted(found) == sorted((i, t) for i, t in given if i in kept)
+            assert kept.isdisjoint(range(400, 414)) and len(kept) >= 170
+        elif name == "lines":
+            assert sorted(found, key=str) == test_templates.slow(sorted(given), least=5)
+            assert sum("Copyright" in t for _, t in found) < 20
+        elif name == "near_copies":
+            keep = {i for i, _, c in test_covering.slow(sorted(given)) if i == c}
+            assert sorted(found) == sorted((i, t) for i, t in given if i in keep)
+        elif name == "mixture":
+            rates = mixing.mix(before, mixing.domain_of(spark.read.parquet(f"{tmp_path}/labels.parquet")), queries.WEIGHTS, queries.ANCHOR)
+            copies = {r.doc_id: r.copies for r in rates.collect()}
+            assert Counter(found) == Counter({(i, t): copies[i] for i, t in given if copies[i]})
+        given = found
+
+    ranks = piecebpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    expected = []
+    for i, t in given:
+        ids = theirs.encode_ordinary(t)
+        expected.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+    assert sorted(map(tuple, docs.collect())) == sorted(expected)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(expected)
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
