@@ -246,7 +246,6 @@ CLEARANCE_TITLE_PATTERN = (
 
 REMOTE_WORDS = ["remote", "work from home", "wfh"]
 
-BLOCK_SNIPPET_CHARS = 3000
 BLOCK_CLOUDFLARE = "Cloudflare challenge"
 BLOCK_DENIED = "Access denied (403)"
 BLOCK_CAPTCHA = "CAPTCHA detected"

@@ -49,11 +49,14 @@ def apply_changes(
     target: DataFrame,
     changes: DataFrame,
     keys: Sequence[str],
+    order: Sequence[Column] | None,
     rules: Mapping[str, Rule] | None = None,
     default: Rule = take_new,
     insert: bool = True,
 ) -> DataFrame:
-    """The target after the changes. Both sides have at most one row per key.
+    """The target after the changes; of several changes for a key the first in ``order`` counts.
+
+    Without an order the changes must have one row per key by the way they are made.
 
     Matched rows follow the rule of each column the changes carry; other columns stay. Unmatched
     changes are added when ``insert`` is set and dropped otherwise. This is a left join and a union
@@ -61,6 +64,7 @@ def apply_changes(
     always shuffles both sides.
     """
     rules = dict(rules or {})
+    changes = latest(changes, keys, *order) if order else changes
     changed = [c for c in changes.columns if c not in keys and c in target.columns]
     new = changes.select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in changed], F.lit(True).alias("_change")
@@ -93,42 +97,50 @@ def apply_changes(
 
 
 def update(
-    target: DataFrame, changes: DataFrame, keys: Sequence[str], **rules: Rule
+    target: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[Column] | None, **rules: Rule
 ) -> DataFrame:
     """Keyed column update; a null in the changes leaves the column alone."""
-    return apply_changes(target, changes, keys, rules, default=new_if_given, insert=False)
+    return apply_changes(target, changes, keys, order, rules, default=new_if_given, insert=False)
 
 
 def delete(target: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
     return target.join(gone.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add rows whose key is free; the first of equal keys is not defined, so pass unique rows."""
-    return target.unionByName(absent(rows, target, keys), allowMissingColumns=True)
+def insert_or_ignore(
+    target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[Column]
+) -> DataFrame:
+    """Add rows whose key is free; of several for one key the first in ``order``."""
+    added = latest(rows, keys, *order).select(*[c for c in rows.columns if c in target.columns])
+    return target.unionByName(absent(added, target, keys), allowMissingColumns=True)
 
 
 # --- users, profiles, configurations, cache ------------------------------------------------------
 
 
-def upsert_users(users: DataFrame, changes: DataFrame) -> DataFrame:
+def upsert_users(users: DataFrame, changes: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Refresh name and picture; keep an email that is already there."""
     return apply_changes(
-        users, changes, ["username"],
+        users, changes, ["username"], order,
         {"email": new_if_old_blank, "auth_provider": keep_old, "date_created": keep_old},
     )
 
 
-def upsert_profiles(profiles: DataFrame, changes: DataFrame) -> DataFrame:
-    return apply_changes(profiles, changes, ["owning_user", "profile_name"])
+def upsert_profiles(profiles: DataFrame, changes: DataFrame, order: Sequence[Column]) -> DataFrame:
+    return apply_changes(profiles, changes, ["owning_user", "profile_name"], order)
 
 
-def upsert_configs(configs: DataFrame, changes: DataFrame) -> DataFrame:
-    return apply_changes(configs, changes, ["config_key", "owning_user"])
+def upsert_configs(
+    configs: DataFrame, changes: DataFrame, order: Sequence[Column], as_of: Column | str | None = None
+) -> DataFrame:
+    """Changed and new configurations; ``date_updated`` is set where the table has it and ``as_of`` is given."""
+    if as_of is not None and "date_updated" in configs.columns:
+        changes = changes.withColumn("date_updated", day(as_of))
+    return apply_changes(configs, changes, ["config_key", "owning_user"], order)
 
 
-def upsert_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
-    return apply_changes(cache, rows, ["owning_user", "role_normalized", "title_normalized"])
+def upsert_cache(cache: DataFrame, rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    return apply_changes(cache, rows, ["owning_user", "role_normalized", "title_normalized"], order)
 
 
 def missing_users(profiles: DataFrame, configs: DataFrame, users: DataFrame) -> DataFrame:
@@ -194,13 +206,16 @@ def apply_to(
     )
     known = postings.select(*POSTING_OWNER).join(change.select(*POSTING_OWNER), POSTING_OWNER)
     opened = history_rows(known, "submitted", note, today, first_id)
-    return update(postings, change, POSTING_OWNER), add_history(history, opened)
+    return update(postings, change, POSTING_OWNER, None), add_history(history, opened)
 
 
 def undo_application(
     postings: DataFrame, history: DataFrame, requests: DataFrame, status: str = "not_reviewed"
 ) -> tuple[DataFrame, DataFrame]:
-    """Withdraw (``not_reviewed``) or move back (``saved``): history goes, applied fields are reset."""
+    """Withdraw (``not_reviewed``) or move back (``saved``): history goes, applied fields are reset.
+
+    History goes only with a posting that the request's owner has.
+    """
     hit = requests.select(*POSTING_OWNER).distinct().withColumn("_hit", F.lit(True))
     cleared = {
         "review_status": F.lit(status),
@@ -217,8 +232,9 @@ def undo_application(
         else F.col(c)
         for c in postings.columns
     ]
+    owned = postings.select(*POSTING_OWNER).join(hit.drop("_hit"), POSTING_OWNER)
     kept = history.join(
-        requests.select(F.col("id").alias("applied_job_id")).distinct(), "applied_job_id", "left_anti"
+        owned.select(F.col("id").alias("applied_job_id")).distinct(), "applied_job_id", "left_anti"
     )
     return joined.select(*columns), kept.select(*history.columns)
 
@@ -284,7 +300,7 @@ def status_events(
     dated = feed.withColumn("changed_at", date_or_today("changed_at", as_of))
     keyed = latest(dated.where(F.col("op").isin("U", "D")), ["id"], F.desc("seq"))
     changed = update(
-        history, keyed.where(F.col("op") == "U").select("id", "status", "notes", "changed_at"), ["id"]
+        history, keyed.where(F.col("op") == "U").select("id", "status", "notes", "changed_at"), ["id"], None
     )
     kept = delete(changed, keyed.where(F.col("op") == "D"), ["id"])
     added = dated.where((F.col("op") == "I") & (F.col("status") != "")).select(
@@ -303,10 +319,12 @@ def edited_fields(forms: DataFrame) -> DataFrame:
     )
 
 
-def edit_postings(postings: DataFrame, forms: DataFrame) -> DataFrame:
+def edit_postings(
+    postings: DataFrame, forms: DataFrame, order: Sequence[Column] | None = None
+) -> DataFrame:
     """Postings after edit forms. A form states every field it has, so a blank one clears the column."""
     return apply_changes(
-        postings, edited_fields(forms), POSTING_OWNER, default=take_new, insert=False
+        postings, edited_fields(forms), POSTING_OWNER, order, default=take_new, insert=False
     )
 
 
@@ -381,7 +399,7 @@ def write_back(postings: DataFrame, results: DataFrame) -> DataFrame:
         F.col("_fields.job_score").alias("job_score"),
         F.col("_fields.security_clearance_required").alias("security_clearance_required"),
     )
-    return update(postings, change, ["id"])
+    return update(postings, change, ["id"], None)
 
 
 # --- schema changes -----------------------------------------------------------------------------------

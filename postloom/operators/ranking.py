@@ -31,9 +31,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
 
 
 def board_slice(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], wanted: int, offset: int = 0,
-    cap: int | None = None,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], wanted: int, offset: int = 0
 ) -> DataFrame:
-    """The wanted results of every board search after an offset, never past the board's own cap."""
-    end = offset + wanted if cap is None else min(offset + wanted, cap)
-    return first_n(df, keys, order, max(end - offset, 0), offset)
+    """The wanted results of every board search after an offset."""
+    return first_n(df, keys, order, wanted, offset)

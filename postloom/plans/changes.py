@@ -24,20 +24,27 @@ _KEPT = f"""(review_status IN ('saved', 'applied') OR NOT (date_posted < DATE '{
     coalesce(c.picture_url, u.picture_url) AS picture_url,
     CASE WHEN u.username IS NULL THEN c.email WHEN c.username IS NULL THEN u.email WHEN u.email = '' THEN c.email ELSE u.email END AS email,
     coalesce(u.auth_provider, c.auth_provider) AS auth_provider
-    FROM <<users>> u FULL JOIN <<user_changes>> c ON u.username = c.username""",
+    FROM <<users>> u FULL JOIN (SELECT * FROM <<user_changes>> WHERE version = 2) c ON u.username = c.username""",
 )
 def upsert_users(s: Source) -> DataFrame:
-    return ch.upsert_users(s.view("users"), s.view("user_changes"))
+    return ch.upsert_users(s.view("users"), s.view("user_changes"), [F.desc("version")])
 
 
 @query(
     "insert_or_ignore_users",
     """SELECT username, email FROM <<users>> UNION ALL
-    SELECT username, email FROM <<user_changes>> c WHERE NOT EXISTS (SELECT 1 FROM <<users>> u WHERE u.username = c.username)""",
+    SELECT username, email FROM <<user_changes>> c WHERE version = 2 AND NOT EXISTS (SELECT 1 FROM <<users>> u WHERE u.username = c.username)""",
 )
 def insert_or_ignore_users(s: Source) -> DataFrame:
     users = s.view("users").select("username", "email")
-    return ch.insert_or_ignore(users, s.view("user_changes").select("username", "email"), ["username"])
+    changes = s.view("user_changes").select("username", "email", "version")
+    return ch.insert_or_ignore(users, changes, ["username"], [F.desc("version")])
+
+
+def _twice(changes: DataFrame, column: str) -> DataFrame:
+    """Every change as version 2, after an older one that must not count."""
+    old = changes.withColumn(column, F.lit("stale"))
+    return changes.withColumn("version", F.lit(2)).unionByName(old.withColumn("version", F.lit(1)))
 
 
 _CONFIG_CHANGES = """SELECT config_key, CASE WHEN config_type = 'usajobs' THEN 'NEW' ELSE owning_user END AS owning_user,
@@ -51,7 +58,7 @@ _CONFIG_CHANGES = """SELECT config_key, CASE WHEN config_type = 'usajobs' THEN '
     FROM <<scraper_configs>> c FULL JOIN ({_CONFIG_CHANGES}) n ON c.config_key = n.config_key AND c.owning_user = n.owning_user""",
 )
 def upsert_configs(s: Source) -> DataFrame:
-    return ch.upsert_configs(s.view("scraper_configs"), s.sql(_CONFIG_CHANGES))
+    return ch.upsert_configs(s.view("scraper_configs"), _twice(s.sql(_CONFIG_CHANGES), "config_json"), [F.desc("version")])
 
 
 @query(
@@ -67,7 +74,7 @@ def upsert_profiles(s: Source) -> DataFrame:
         F.col("c_mktsegment").alias("owning_user"),
         F.lit("new resume").alias("resume"),
     )
-    return ch.upsert_profiles(profiles, rich)
+    return ch.upsert_profiles(profiles, _twice(rich, "resume"), [F.desc("version")])
 
 
 _FRESH = """SELECT owning_user, 'role 1' AS role_normalized, lower(title) AS title_normalized, 'low' AS score
@@ -87,7 +94,7 @@ def upsert_cache(s: Source) -> DataFrame:
         "owning_user", F.lit("ROLE  1").alias("desired_role"), "title", F.lit("low").alias("score")
     )
     rows = ti.cache_rows(fresh, F.lit("2024-02-01").cast("date"))
-    return ch.upsert_cache(s.view("title_score_cache"), rows)
+    return ch.upsert_cache(s.view("title_score_cache"), rows, [F.asc("title_raw")])
 
 
 @query(
@@ -112,7 +119,7 @@ def keyed_update(s: Source) -> DataFrame:
         """SELECT j.id, j.owning_user, 'saved' AS review_status, CAST(NULL AS STRING) AS title
         FROM <<job_details>> j JOIN <<orders>> o ON j.id = o.o_orderkey WHERE o.o_orderpriority = '1-URGENT'"""
     )
-    return ch.update(jobs, urgent, ch.POSTING_OWNER)
+    return ch.update(jobs, _twice(urgent, "review_status"), ch.POSTING_OWNER, [F.desc("version")])
 
 
 _REQUESTS = """SELECT DISTINCT l_orderkey AS id, 'FURNITURE' AS owning_user FROM <<lineitem>> WHERE l_returnflag = 'R'"""
@@ -163,7 +170,8 @@ def move_to_saved(s: Source) -> DataFrame:
 
 @query(
     "withdrawn_history",
-    f"""SELECT * FROM <<applied_job_status_history>> h WHERE NOT EXISTS (SELECT 1 FROM ({_REQUESTS}) r WHERE r.id = h.applied_job_id)""",
+    f"""SELECT * FROM <<applied_job_status_history>> h WHERE NOT EXISTS (SELECT 1 FROM ({_REQUESTS}) r
+    JOIN <<job_details>> j ON j.id = r.id AND j.owning_user = r.owning_user WHERE r.id = h.applied_job_id)""",
 )
 def withdrawn_history(s: Source) -> DataFrame:
     return _undone(s)[1]
@@ -297,9 +305,11 @@ def backfill_clearance(s: Source) -> DataFrame:
 )
 def fill_missing_scores(s: Source) -> DataFrame:
     jobs = s.view("job_details")
-    scores = ti.unique_titles(ti.without_score(jobs)).where(F.col("title").contains("Data")).withColumn(
-        "score", F.lit("high")
-    )
+    found = ti.unique_titles(ti.without_score(jobs), "owning_user").where(F.col("title").contains("Data"))
+    scores = found.withColumn(
+        "role", F.explode(F.array(F.struct(F.lit("a").alias("desired_role"), F.lit("high").alias("score")),
+                                  F.struct(F.lit("b").alias("desired_role"), F.lit("low").alias("score"))))
+    ).select("owning_user", "title", "role.*")
     return ti.fill_missing_scores(jobs, scores).select("id", "title", "title_compatibility_score")
 
 

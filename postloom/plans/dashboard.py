@@ -380,7 +380,7 @@ def board_results(s: Source) -> DataFrame:
     jobs = s.view("job_details")
     keys = ["site", "search_term"]
     order = [F.desc("date_posted"), F.asc("id")]
-    kept = board_slice(jobs, keys, order, wanted=50, offset=10, cap=900)
+    kept = board_slice(jobs, keys, order, wanted=50, offset=10)
     place = kept.withColumn("rn", F.row_number().over(_board_window(keys, order)) + 10)
     return place.withColumn("rn", F.col("rn").cast("bigint"))
 

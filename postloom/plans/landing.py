@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.functions import text
 from postloom.operators import postings as po
 from postloom.plans.registry import Source, query
-from postloom.session import shared_folder, spread
+from postloom.session import shared_folder
 from postloom.sources import boards, exports, pages, payloads
 
 AS_OF = "2001-08-01"
@@ -55,7 +56,7 @@ _INDEED_COLUMNS = [
 
 @query("board_indeed", _INDEED_ROWS)
 def board_indeed(s: Source) -> DataFrame:
-    posts = payloads.indeed(spread(s.sql(_INDEED), "payload_id"))
+    posts = payloads.indeed(s.sql(_INDEED))
     return po.flat_postings(posts, "indeed").select(*_INDEED_COLUMNS)
 
 
@@ -70,7 +71,7 @@ _WORKDAY_DETAIL = """SELECT 'https://w.example.com' AS base_url, '/job/' || CAST
   || '","location":"' || CASE c_custkey % 2 WHEN 0 THEN 'USA, VA, Reston' ELSE 'Paris' END || '"'
   || CASE WHEN c_custkey % 5 = 0 THEN ',"externalUrl":"https://ext.example.com/' || CAST(c_custkey AS STRING) || '"' ELSE '' END
   || CASE WHEN c_custkey % 2 = 1 THEN ',"country":{"alpha2Code":"FR"}' ELSE '' END || '}}' AS payload
-FROM <<customer>> WHERE c_acctbal > 0"""
+FROM <<customer>>"""
 
 
 @query(
@@ -79,10 +80,10 @@ FROM <<customer>> WHERE c_acctbal > 0"""
     CASE WHEN c_custkey % 5 = 0 THEN 'https://ext.example.com/' || CAST(c_custkey AS VARCHAR) ELSE 'https://w.example.com/job/' || CAST(c_custkey AS VARCHAR) END AS job_url,
     CASE WHEN c_custkey % 2 = 0 THEN 'Reston, VA, USA' ELSE 'Paris, France' END AS location,
     CASE WHEN c_custkey % 3 = 0 THEN 'fulltime' ELSE 'other' END AS job_type, DATE '2001-07-01' + CAST(c_custkey % 9 AS INTEGER) AS date_posted,
-    '* one' || chr(10) || '* two' AS description FROM <<customer>> WHERE c_acctbal > 0""",
+    '* one' || chr(10) || '* two' AS description FROM <<customer>>""",
 )
 def board_workday(s: Source) -> DataFrame:
-    posts = payloads.workday(spread(s.sql(_WORKDAY_LIST), "payload_id"), spread(s.sql(_WORKDAY_DETAIL)))
+    posts = payloads.workday(s.sql(_WORKDAY_LIST), s.sql(_WORKDAY_DETAIL))
     return po.flat_postings(posts, "workday").select(
         "id", "title", "company", "job_url", "location", "job_type", "date_posted", "description"
     )
@@ -106,7 +107,7 @@ _ORACLE_DETAIL = """SELECT CAST(c_custkey AS STRING) AS job_id,
     'https://o.example.com/hcmUI/CandidateExperience/en/sites/CX/job/x' || CAST(c_custkey AS VARCHAR), 'only short' FROM <<customer>>""",
 )
 def board_oraclecloud(s: Source) -> DataFrame:
-    posts = payloads.oraclecloud(spread(s.sql(_ORACLE_LIST), "payload_id"), spread(s.sql(_ORACLE_DETAIL)))
+    posts = payloads.oraclecloud(s.sql(_ORACLE_LIST), s.sql(_ORACLE_DETAIL))
     return po.flat_postings(posts, "oraclecloud").select(
         "id", "title", "company", "location", "date_posted", "job_url", "description"
     )
@@ -129,7 +130,7 @@ _EIGHT_DETAIL = f"""SELECT CAST(c_custkey AS STRING) AS job_id, '{{"data":{{"job
     '## Role' || chr(10) || chr(10) || 'text' AS description FROM <<customer>>""",
 )
 def board_eightfold(s: Source) -> DataFrame:
-    posts = payloads.eightfold(spread(s.sql(_EIGHT_LIST), "payload_id"), spread(s.sql(_EIGHT_DETAIL)))
+    posts = payloads.eightfold(s.sql(_EIGHT_LIST), s.sql(_EIGHT_DETAIL))
     return po.flat_postings(posts, "eightfold").select(
         "id", "title", "company", "job_url", "date_posted", "job_type", "description"
     )
@@ -157,7 +158,7 @@ def board_usajobs(s: Source) -> DataFrame:
         """SELECT 'https://u.example.com/' || CAST(s_suppkey AS STRING) AS job_url,
         CASE WHEN s_suppkey % 5 = 0 THEN 'page text' ELSE '' END AS description FROM <<supplier>>"""
     )
-    return payloads.usajobs(spread(s.sql(_USAJOBS), "payload_id"), texts).select(
+    return payloads.usajobs(s.sql(_USAJOBS), texts).select(
         "id", "title", "job_url", "location.city", "location.state", "date_posted",
         "security_clearance", "compensation.min_amount", "compensation.interval", "description",
     )
@@ -183,7 +184,7 @@ _GOOGLE = f"""SELECT o_orderkey AS payload_id, 'AF_initDataCallback({{key: ds:1,
 def board_google(s: Source) -> DataFrame:
     from postloom.functions.places import display_location
 
-    posts = payloads.google(spread(s.sql(_GOOGLE), "payload_id"), AS_OF)
+    posts = payloads.google(s.sql(_GOOGLE), AS_OF)
     return posts.select(
         "id", "title", "company_name", "is_remote", "date_posted", "job_url",
         display_location(F.col("location")).alias("location"),
@@ -208,7 +209,7 @@ _GLASS = """SELECT o_orderkey AS payload_id, '{"data":{"jobListings":{"jobListin
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM <<orders>>) o WHERE rn = 1""",
 )
 def board_glassdoor(s: Source) -> DataFrame:
-    return payloads.glassdoor(spread(s.sql(_GLASS), "payload_id"), AS_OF).select(
+    return payloads.glassdoor(s.sql(_GLASS), AS_OF).select(
         "id", "title", "is_remote", "date_posted", "location.city", "company_url",
         "compensation.min_amount", "compensation.max_amount", "compensation.interval", "listing_type",
     )
@@ -238,7 +239,7 @@ _LI_DETAIL = """SELECT CAST(c_custkey AS STRING) AS job_id, '<div class="x show-
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM <<orders>>) o JOIN <<customer>> c ON o.o_custkey = c.c_custkey WHERE rn = 1""",
 )
 def board_linkedin(s: Source) -> DataFrame:
-    posts = pages.linkedin(spread(s.sql(_LI_CARDS), "payload_id"), spread(s.sql(_LI_DETAIL)))
+    posts = pages.linkedin(s.sql(_LI_CARDS), s.sql(_LI_DETAIL))
     return po.flat_postings(posts, "linkedin").select(
         "id", "title", "company", "job_url", "company_url", "location", "date_posted", "min_amount",
         "salary_source", "description", "is_remote", "job_level", "job_type", "job_url_direct",
@@ -259,7 +260,7 @@ _ZIP_PANES = """SELECT CAST(c_custkey AS STRING) AS job_id, '<div>' || CASE WHEN
     FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM <<orders>>) o WHERE rn = 1""",
 )
 def board_zip_recruiter(s: Source) -> DataFrame:
-    posts = pages.zip_recruiter(spread(s.sql(_ZIP_CARDS), "payload_id"), spread(s.sql(_ZIP_PANES)))
+    posts = pages.zip_recruiter(s.sql(_ZIP_CARDS), s.sql(_ZIP_PANES))
     return po.flat_postings(posts, "zip_recruiter").select(
         "id", "title", "company", "job_url", "min_amount", "max_amount", "interval", "description"
     )
@@ -286,7 +287,7 @@ _MA_DETAIL = """SELECT 'https://careers.marriott.com/x/job/H' || CAST(s_suppkey
     'hourly' AS "interval" FROM <<supplier>>""",
 )
 def board_marriott(s: Source) -> DataFrame:
-    posts = pages.marriott(spread(s.sql(_MA_CARDS), "payload_id"), spread(s.sql(_MA_DETAIL)))
+    posts = pages.marriott(s.sql(_MA_CARDS), s.sql(_MA_DETAIL))
     return po.flat_postings(posts, "marriott").select(
         "id", "title", "company", "job_url", "location", "date_posted", "description", "job_type",
         "is_remote", "emails", "min_amount", "max_amount", "interval",
@@ -296,9 +297,37 @@ def board_marriott(s: Source) -> DataFrame:
 # --- descriptions out of pages -----------------------------------------------------------------------------
 
 
+# the title of a page as it stands, in both forms; no quotes, which would end a JSON text
+_TITLE = """trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '"', ''))"""
+
+_TITLE_TEXT = f"""replace(replace(replace(regexp_replace({_TITLE}, '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
+
+
+def _title() -> Column:
+    return F.trim(F.replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), F.lit('"'), F.lit("")))
+
+
+def _markdown_sql(html: str) -> str:
+    """Markdown of a page in SQL, by the same patterns."""
+
+    def quoted(value: str) -> str:
+        return "'" + value.replace("'", "''").replace("$1", "\\1").replace("$2", "\\2") + "'"
+
+    out = (
+        f"regexp_replace(regexp_replace({html}, '(?is)<!--.*?-->|<!doctype[^>]*>|<script\\b[^>]*>.*?</script\\s*>"
+        "|<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '\\s+', ' ', 'g')"
+    )
+    for pattern, mark in text.markdown_steps():
+        out = f"regexp_replace({out}, {quoted(pattern.replace('*+', '*'))}, {quoted(mark)}, 'g')"
+    for name, sign in [("lt", "<"), ("gt", ">"), ("quot", '"'), ("nbsp", " "), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+        out = f"replace({out}, '&{name};', '{sign}')"
+    out = f"regexp_replace(regexp_replace({out}, '\\n[ \\t]+', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"trim({out}, ' ' || chr(9) || chr(10))"
+
+
 @query(
     "structured_descriptions",
-    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'about ' || CAST(page_id AS VARCHAR) WHEN 1 THEN 'bare' END AS description FROM <<pages>>""",
+    f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'about ' || {_TITLE} WHEN 1 THEN 'bare ' || {_TITLE} END AS description FROM <<pages>>""",
 )
 def structured_descriptions(s: Source) -> DataFrame:
     kind = F.col("page_id") % 4
@@ -306,47 +335,47 @@ def structured_descriptions(s: Source) -> DataFrame:
         F.when(
             kind == 0,
             F.concat(
-                F.lit('<script type="application/ld+json">{"description":"about '),
-                F.col("page_id").cast("string"), F.lit('"}</script>'),
+                F.lit('<script type="application/ld+json">{"description":"about '), _title(), F.lit('"}</script>')
             ),
         )
-        .when(kind == 1, '<script>{"jobLocation":"x","description":"bare"}</script>')
+        .when(kind == 1, F.concat(F.lit('<script>{"jobLocation":"x","description":"bare '), _title(), F.lit('"}</script>')))
         .when(kind == 2, '<script type="application/ld+json">{broken</script>')
         .otherwise("")
     )
-    staged = spread(s.table("pages"), "page_id").withColumn("html", F.concat(F.col("html"), script))
+    staged = s.table("pages").withColumn("html", F.concat(F.col("html"), script))
     return staged.select("page_id", pages.structured_description("html").alias("description"))
 
 
 @query(
     "page_descriptions",
-    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '# Job ' || CAST(page_id AS VARCHAR) || chr(10) || chr(10) || 'inner **text**'
-    ELSE 'second' END AS description FROM <<pages>>""",
+    f"""SELECT page_id, CASE WHEN page_id % 4 <> 1 THEN {_markdown_sql('html')}
+      ELSE '# Job ' || {_TITLE_TEXT} || chr(10) || chr(10) || 'inner **text**' END AS description FROM <<pages>>
+    UNION ALL SELECT -1 - page_id, '' FROM <<pages>> WHERE page_id < 2""",
 )
 def page_descriptions(s: Source) -> DataFrame:
     kind = F.col("page_id") % 4
     first = F.concat(
         F.lit('<div data-testid="job-description">no</div><div class="a show-more-less-html__markup"><div><h1>Job '),
-        F.col("page_id").cast("string"), F.lit("</h1></div><p>inner <b>text</b></p></div>"),
+        _title(), F.lit("</h1></div><p>inner <b>text</b></p></div>"),
     )
-    html = (
-        F.when(kind == 0, "<div> <!-- x --> </div>")
-        .when(kind == 1, F.concat(F.col("html"), first))
-        .otherwise(F.concat(F.col("html"), F.lit('<div data-testid="job-description"><p>second</p></div>')))
+    html = F.when(kind == 1, F.concat(F.col("html"), first)).otherwise(F.col("html"))
+    blank = s.table("pages").where("page_id < 2").select(
+        (-1 - F.col("page_id")).alias("page_id"), "url", F.lit("<div> <!-- x --> </div>").alias("html")
     )
-    return pages.described(spread(s.table("pages"), "page_id").withColumn("html", html)).select("page_id", "description")
+    staged = s.table("pages").withColumn("html", html).unionByName(blank)
+    return pages.described(staged).select("page_id", "description")
 
 
 @query(
     "greenhouse_descriptions",
-    """SELECT page_id, '<div class="job__description a">one<div>x</div></div><div class="job__description">' || CAST(page_id AS VARCHAR) || '</div>' AS description FROM <<pages>>""",
+    f"""SELECT page_id, '<div class="job__description a">one<div>x</div></div><div class="job__description">' || {_TITLE} || '</div>' AS description FROM <<pages>>""",
 )
 def greenhouse_descriptions(s: Source) -> DataFrame:
     html = F.concat(
         F.lit('<div class="job__description a">one<div>x</div></div>'), F.col("html"),
-        F.lit('<div class="job__description">'), F.col("page_id").cast("string"), F.lit("</div>"),
+        F.lit('<div class="job__description">'), _title(), F.lit("</div>"),
     )
-    found = pages.greenhouse_description(spread(s.table("pages"), "page_id").withColumn("html", html))
+    found = pages.greenhouse_description(s.table("pages").withColumn("html", html))
     return found.select("page_id", "description")
 
 
@@ -356,7 +385,7 @@ def greenhouse_descriptions(s: Source) -> DataFrame:
     CAST(len(regexp_extract_all(html, '<a href=')) AS INTEGER) AS links FROM <<pages>>""",
 )
 def page_headings(s: Source) -> DataFrame:
-    return pages.page_facts(spread(s.table("pages"), "page_id")).select("page_id", "heading", "links")
+    return pages.page_facts(s.table("pages")).select("page_id", "heading", "links")
 
 
 @query(
@@ -371,12 +400,12 @@ def unblocked_pages(s: Source) -> DataFrame:
         .otherwise(""),
         F.col("html"),
     )
-    return pages.unblocked(spread(s.table("pages"), "page_id").withColumn("html", html)).select("page_id")
+    return pages.unblocked(s.table("pages").withColumn("html", html)).select("page_id")
 
 
 # --- one frame, exports -----------------------------------------------------------------------------------
 
-_WORKDAY_FLAT = """SELECT 'R' || CAST(c_custkey AS VARCHAR) AS id, 'workday' AS site FROM <<customer>> WHERE c_acctbal > 0"""
+_WORKDAY_FLAT = """SELECT 'R' || CAST(c_custkey AS VARCHAR) AS id, 'workday' AS site FROM <<customer>>"""
 
 
 @query(
@@ -386,7 +415,7 @@ _WORKDAY_FLAT = """SELECT 'R' || CAST(c_custkey AS VARCHAR) AS id, 'workday' AS
 )
 def unified_postings(s: Source) -> DataFrame:
     landed = {
-        "indeed": (spread(s.sql(_INDEED), "payload_id"),),
+        "indeed": (s.sql(_INDEED),),
         "workday": (s.sql(_WORKDAY_LIST), s.sql(_WORKDAY_DETAIL)),
     }
     return boards.flatten_all(landed).select(

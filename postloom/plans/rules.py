@@ -11,7 +11,6 @@ from postloom.functions import dates, jobtypes, pay, places, results, text, urls
 from postloom.operators import configs as co
 from postloom.operators import scoring as sc
 from postloom.plans.registry import Source, query
-from postloom.session import spread
 
 # --- text -----------------------------------------------------------------------------------------
 
@@ -38,7 +37,7 @@ _EMAILS = "regexp_extract_all(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]
     CASE WHEN text <> '' THEN len({_EMAILS}) END AS n_emails FROM <<documents>>""",
 )
 def text_emails(s: Source) -> DataFrame:
-    found = spread(s.table("documents"), "doc_id").select("doc_id", text.emails("text").alias("_e"))
+    found = s.table("documents").select("doc_id", text.emails("text").alias("_e"))
     return found.select(
         "doc_id", F.array_join("_e", ", ").alias("emails"), F.size("_e").cast("bigint").alias("n_emails")
     )
@@ -60,7 +59,7 @@ _LINES = "regexp_replace(regexp_replace(text, '\\r\\n|[\\n\\x0B\\f\\r\\x1C-\\x1E
     FROM (SELECT doc_id, text, {_LINES} AS t FROM <<documents>>) d""",
 )
 def remove_pii(s: Source) -> DataFrame:
-    return spread(s.table("documents"), "doc_id").select("doc_id", text.remove_pii("text").alias("text"))
+    return s.table("documents").select("doc_id", text.remove_pii("text").alias("text"))
 
 
 _PHRASES = " OR ".join(f"contains(x, '{p}')" for p in fv.REDACT_PHRASES)
@@ -75,7 +74,7 @@ _CUT = f"list_position(list_transform(lines, lambda x: starts_with(x, '{fv.REDAC
     FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM <<documents>>) d""",
 )
 def redact(s: Source) -> DataFrame:
-    return spread(s.table("documents"), "doc_id").select("doc_id", text.redact("text").alias("text"))
+    return s.table("documents").select("doc_id", text.redact("text").alias("text"))
 
 
 _CLEARED = """CASE WHEN regexp_matches(description, '(?i)\\b(current|active|required|requirement|requires)\\s+(?:\\S+\\s+){0,10}(security clearance|TS/SCI|public trust|secret|top.secret)\\b')
@@ -84,7 +83,7 @@ _CLEARED = """CASE WHEN regexp_matches(description, '(?i)\\b(current|active|requ
 
 @query("clearance_flag", f"SELECT id, {_CLEARED} AS required FROM <<clearance_texts>>")
 def clearance_flag(s: Source) -> DataFrame:
-    return spread(s.view("clearance_texts"), "id").select(
+    return s.view("clearance_texts").select(
         "id", text.clearance_flag("description", "title").alias("required")
     )
 
@@ -119,7 +118,7 @@ def label_job_types(s: Source) -> DataFrame:
         .when(F.col("source") == "src3", "Voll-zeit")
         .otherwise("unknown kind")
     )
-    return spread(s.table("documents"), "doc_id").select(
+    return s.table("documents").select(
         "doc_id", F.array_join(jobtypes.job_types(F.array(label), "other"), ", ").alias("job_type")
     )
 
@@ -144,7 +143,7 @@ def remote_flag(s: Source) -> DataFrame:
 )
 def refetch_quality(s: Source) -> DataFrame:
     fetched = F.replace("text", F.lit("e"), F.lit(""))
-    return spread(s.table("documents"), "doc_id").select("doc_id", text.shorter_refetch(fetched, "text").alias("shorter"))
+    return s.table("documents").select("doc_id", text.shorter_refetch(fetched, "text").alias("shorter"))
 
 
 @query(
@@ -173,26 +172,26 @@ _PLAIN = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(
 
 @query("page_text", f"SELECT page_id, {_PLAIN} AS text FROM <<pages>>")
 def page_text(s: Source) -> DataFrame:
-    return spread(s.table("pages"), "page_id").select("page_id", text.html_to_text("html").alias("text"))
+    return s.table("pages").select("page_id", text.html_to_text("html").alias("text"))
 
 
 @query(
     "blocked_pages",
-    """SELECT page_id, CASE WHEN contains(h, 'cloudflare') OR contains(t, 'just a moment') THEN 'Cloudflare challenge'
+    f"""SELECT page_id, CASE WHEN contains(h, 'cloudflare') OR contains(t, 'just a moment') THEN 'Cloudflare challenge'
     WHEN contains(t, 'access denied') OR contains(t, '403') THEN 'Access denied (403)'
     WHEN contains(h, 'captcha') THEN 'CAPTCHA detected'
     WHEN contains(h, 'are you a robot') OR contains(h, 'are you human') THEN 'Bot detection page' END AS block
-    FROM (SELECT page_id, CASE page_id % 6 WHEN 1 THEN 'Just a moment' WHEN 2 THEN '403' ELSE 'page' END AS tt,
-      lower(CASE page_id % 6 WHEN 1 THEN 'Just a moment' WHEN 2 THEN '403' ELSE 'page' END) AS t,
-      lower(substr(CASE page_id % 6 WHEN 3 THEN '<p>CAPTCHA' WHEN 4 THEN 'Are you human' ELSE '' END || html, 1, 3000)) AS h
-      FROM <<pages>>) p""",
+    FROM (SELECT page_id, lower(CASE page_id % 6 WHEN 1 THEN 'Just a moment' WHEN 2 THEN '403' ELSE 'page' END) AS t,
+      lower({_PLAIN}) AS h
+      FROM (SELECT page_id, CASE page_id % 6 WHEN 3 THEN '<p>CAPTCHA</p>' ELSE '' END || html
+        || CASE page_id % 6 WHEN 4 THEN '<p>Are you human' ELSE '' END AS html FROM <<pages>>) m) p""",
 )
 def blocked_pages(s: Source) -> DataFrame:
     kind = F.col("page_id") % 6
     title = F.when(kind == 1, "Just a moment").when(kind == 2, "403").otherwise("page")
-    head = F.when(kind == 3, "<p>CAPTCHA").when(kind == 4, "Are you human").otherwise("")
-    return spread(s.table("pages"), "page_id").select(
-        "page_id", text.blocked_page(title, F.concat(head, F.col("html"))).alias("block")
+    head, tail = F.when(kind == 3, "<p>CAPTCHA</p>").otherwise(""), F.when(kind == 4, "<p>Are you human").otherwise("")
+    return s.table("pages").select(
+        "page_id", text.blocked_page(title, F.concat(head, F.col("html"), tail)).alias("block")
     )
 
 
@@ -223,7 +222,7 @@ def _salary_sql(source: str, key: str) -> str:
 
 @query("salary_range", _salary_sql("<<salary_texts>>", "id"))
 def salary_range(s: Source) -> DataFrame:
-    found = spread(s.view("salary_texts"), "id").select(
+    found = s.view("salary_texts").select(
         "id",
         pay.salary_range("description").alias("_p"),
         pay.salary_range("description", annual=True).alias("_y"),
@@ -264,7 +263,7 @@ _DIGITS = "regexp_replace(amount, '[^-0-9.,]', '', 'g')"
       FROM (SELECT id, {_DIGITS} AS d FROM <<money_texts>>) x) y""",
 )
 def currency_numbers(s: Source) -> DataFrame:
-    return spread(s.view("money_texts"), "id").select("id", pay.currency_number("amount").alias("amount"))
+    return s.view("money_texts").select("id", pay.currency_number("amount").alias("amount"))
 
 
 @query(
@@ -429,7 +428,7 @@ def date_rules(s: Source) -> DataFrame:
 )
 def job_sources(s: Source) -> DataFrame:
     return (
-        spread(s.view("posting_urls"), "id").select("id", urls.job_source("url").alias("_s")).select("id", "_s.*")
+        s.view("posting_urls").select("id", urls.job_source("url").alias("_s")).select("id", "_s.*")
     )
 
 
@@ -441,7 +440,7 @@ def job_sources(s: Source) -> DataFrame:
     CASE WHEN contains(url, 'workday') THEN 'workday' ELSE 'generic' END AS route FROM <<pages>>""",
 )
 def url_facts(s: Source) -> DataFrame:
-    return spread(s.table("pages"), "page_id").select(
+    return s.table("pages").select(
         "page_id",
         urls.drop_query("url").alias("without_query"),
         urls.first_param("url", "page").alias("page_no"),
@@ -458,7 +457,7 @@ def url_facts(s: Source) -> DataFrame:
 )
 def oraclecloud_parts(s: Source) -> DataFrame:
     return (
-        spread(s.view("posting_urls"), "id")
+        s.view("posting_urls")
         .select(
             "id",
             urls.oraclecloud_parts("url").alias("_o"),
@@ -476,7 +475,7 @@ def oraclecloud_parts(s: Source) -> DataFrame:
     FROM <<posting_urls>> WHERE contains(url, '/careers?')""",
 )
 def site_configs(s: Source) -> DataFrame:
-    found = co.from_urls(spread(s.view("posting_urls"), "id").withColumn("company_name", F.lit("Acme & Co")))
+    found = co.from_urls(s.view("posting_urls").withColumn("company_name", F.lit("Acme & Co")))
     return found.where(F.col("config_type") == "eightfold").select(
         "id", "config_type", "config_key", "base_url", "config_json"
     )
@@ -582,7 +581,7 @@ _CURRENT = "coalesce(job_score_json->>'$.schema_version' = '1.0', false)"
 )
 def result_scores(s: Source) -> DataFrame:
     return (
-        spread(s.view("results_json"), "id")
+        s.view("results_json")
         .select("id", results.stored_fields("job_score_json").alias("_f"))
         .select("id", "_f.*")
     )
@@ -594,7 +593,7 @@ def result_scores(s: Source) -> DataFrame:
     ELSE job_score_json END AS job_score_json FROM <<results_json>>""",
 )
 def corrected_results(s: Source) -> DataFrame:
-    staged = spread(s.view("results_json"), "id").withColumn("_f", results.stored_fields("job_score_json"))
+    staged = s.view("results_json").withColumn("_f", results.stored_fields("job_score_json"))
     return staged.select(
         "id", results.corrected_json("job_score_json", F.col("_f")).alias("job_score_json")
     )
@@ -606,7 +605,7 @@ def corrected_results(s: Source) -> DataFrame:
     'Travel: ' || (job_score_json->>'$.job_requirements.travel_percentage') AS travel FROM <<results_json>>""",
 )
 def decision_travel(s: Source) -> DataFrame:
-    return spread(s.view("results_json"), "id").select(
+    return s.view("results_json").select(
         "id",
         results.decision("job_score_json").alias("decision"),
         results.travel("job_score_json").alias("travel"),
@@ -661,7 +660,7 @@ def weighted_scores(s: Source) -> DataFrame:
     WHEN 4 THEN answer END AS json FROM <<answers>>""",
 )
 def answer_json(s: Source) -> DataFrame:
-    return spread(s.view("answers"), "id").select("id", results.answer_json("answer").alias("json"))
+    return s.view("answers").select("id", results.answer_json("answer").alias("json"))
 
 
 @query(
@@ -672,7 +671,7 @@ def answer_faults(s: Source) -> DataFrame:
     from postloom import schemas
 
     checked = results.validated("answer", schemas.SCORE_RESULT, ["decision"])
-    return spread(s.view("answers"), "id").withColumn("_c", checked).select("id", "_c.error")
+    return s.view("answers").withColumn("_c", checked).select("id", "_c.error")
 
 
 @query(
@@ -730,7 +729,7 @@ def list_and_map_text(s: Source) -> DataFrame:
     FROM <<results_json>> WHERE job_score_json <> '{}'""",
 )
 def eligibility(s: Source) -> DataFrame:
-    return sc.eligibility_rows(spread(s.view("results_json"), "id"))
+    return sc.eligibility_rows(s.view("results_json"))
 
 
 @query(

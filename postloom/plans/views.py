@@ -121,7 +121,7 @@ VIEWS["clearance_texts"] = """
 SELECT doc_id AS id,
        CASE doc_id % 6 WHEN 0 THEN 'Must have an active TS/SCI clearance. ' WHEN 1 THEN 'Current Secret clearance needed. '
             WHEN 2 THEN 'requires the ability to obtain public trust. ' WHEN 3 THEN 'Inactive secret garden. '
-            ELSE '' END || substr(text, 1, 200) AS description,
+            ELSE '' END || text AS description,
        CASE WHEN doc_id % 5 = 0 THEN 'Analyst with Secret clearance' ELSE 'Analyst' END AS title
 FROM <<documents>>
 """
@@ -171,20 +171,21 @@ FROM <<supplier>>
 """
 
 VIEWS["users"] = """
-SELECT c_name AS username,
+SELECT CASE WHEN c_acctbal > 0 THEN c_name ELSE 'Former ' || c_name END AS username,
        CASE WHEN c_custkey % 2 = 0 THEN '' ELSE 'Name ' || CAST(c_custkey AS STRING) END AS display_name,
        'pic' || CAST(c_nationkey AS STRING) AS picture_url,
        CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name || '@example.com' END AS email,
        CASE WHEN c_custkey % 2 = 0 THEN 'local' ELSE 'google-oauth' END AS auth_provider
 FROM <<customer>>
-WHERE c_acctbal > 0
 """
 
 VIEWS["user_changes"] = """
 SELECT c_name AS username, 'New ' || c_name AS display_name, 'newpic' AS picture_url,
-       'new' || CAST(c_custkey AS STRING) || '@example.org' AS email, 'local' AS auth_provider
+       'new' || CAST(c_custkey AS STRING) || '@example.org' AS email, 'local' AS auth_provider, 2 AS version
+FROM <<customer>>
+UNION ALL
+SELECT c_name, 'Old ' || c_name, 'oldpic', 'old' || CAST(c_custkey AS STRING) || '@example.org', 'local', 1
 FROM <<customer>>
-WHERE c_acctbal < 5000
 """
 
 VIEWS["resume_audits"] = """

@@ -57,16 +57,3 @@ def cut_lineage(df: DataFrame, name: str = "rows") -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows over all cores when the input comes in fewer splits than there are cores.
-
-    For costly work per row on a few small files, right after the scan (past a join or an aggregate the
-    question would run it). A large input has more splits than cores and is
-    passed on as it is, without a shuffle. ``keys`` should be unique, so that no part is large.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

@@ -82,7 +82,7 @@ def test_scorer_retries_and_drops_bad_entries(spark, cache):
     scores = {r["title"]: r["score"] for r in ti.all_scores(ti.resolved(looked), fresh).collect()}
     assert scores == {"Chef": "medium", "Data Analyst": "low"}
     rows = ti.cache_rows(fresh, F.lit("2024-02-01").cast("date"))
-    both = ch.upsert_cache(cache.withColumn("title_raw", F.lit("")).withColumn("source", F.lit("")), rows)
+    both = ch.upsert_cache(cache.withColumn("title_raw", F.lit("")).withColumn("source", F.lit("")), rows, [F.asc("title_raw")])
     assert both.count() == 3
 
 

@@ -347,3 +347,32 @@ def test_answers(one):
     assert one("bad", results.travel) is None
     assert one("bad", results.list_text) == []
     assert one('["a","b"]', results.list_text) == ["a", "b"]
+
+
+def test_long_runs_and_tags_take_linear_time(one, spark):
+    import random
+    import time
+
+    from postloom.sources import markup
+
+    rng = random.Random(3)
+    parts = ["a", "b.c", "@", ".", "-", "%", "com", "é", " ", "_x", "x@y.zz", "..", "@d.ee", "A|B"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 40))) for _ in range(3000)]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = frame.select(
+        F.regexp_extract_all("t", F.lit(fv.EMAIL_PATTERN), 0).alias("a"),
+        F.regexp_extract_all("t", F.lit(text._EMAIL), 0).alias("b"),
+        F.regexp_replace("t", fv.PII_EMAIL_PATTERN, fv.PII_EMAIL_TEXT).alias("c"),
+        F.regexp_replace("t", text._PII_EMAIL, f"$1{fv.PII_EMAIL_TEXT}").alias("d"),
+    ).collect()
+    assert sum(len(r.a) for r in plain) > 500
+    assert [(r.a, r.c) for r in plain] == [(r.b, r.d) for r in plain]
+    one("a@b.cc", text.emails, "string")
+    for run in ("a" * 200_000 + " x@y.com", "a." * 100_000 + " x@y.com"):
+        start = time.perf_counter()
+        assert one(run, text.emails) == ["x@y.com"]
+        assert "email@example.com" in one(run, text.remove_pii)
+        assert time.perf_counter() - start < 4
+    start = time.perf_counter()
+    assert len(markup._spans("<b>" * 20_000 + "</i>" * 20_000)) == 20_000
+    assert time.perf_counter() - start < 2
