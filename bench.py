@@ -36,6 +36,8 @@ HEADLINES = [
     "write_back",
     "board_indeed",
     "board_linkedin",
+    "board_zip_recruiter",
+    "board_marriott",
 ]
 
 

@@ -91,20 +91,22 @@ def board_workday(s: Source) -> DataFrame:
 
 # --- oraclecloud ----------------------------------------------------------------------------------------
 
-_ORACLE_LIST = """SELECT c_custkey AS payload_id, 'https://o.example.com' AS base_url, 'CX' AS site_number, c_name AS company_name,
+# two tenants share their requisition ids; every detail is landed twice, and only the first counts
+_ORACLE_LIST = """SELECT 2 * c_custkey + t AS payload_id, 'https://o' || CAST(t AS STRING) || '.example.com' AS base_url, 'CX' AS site_number, c_name AS company_name,
   '{"items":[{"TotalJobsCount":2,"requisitionList":[{"Id":"' || CAST(c_custkey AS STRING) || '","Title":"T","ShortDescriptionStr":"short","PrimaryLocation":"Vienna, VA, United States","PostedDate":"2001-07-01"},'
-  || '{"Id":"x' || CAST(c_custkey AS STRING) || '","ShortDescriptionStr":"only short","PrimaryLocation":"","PostedDate":"soon"}]}]}' AS payload FROM <<customer>>"""
-_ORACLE_DETAIL = """SELECT CAST(c_custkey AS STRING) AS job_id,
-  '{"items":[{"ExternalDescriptionStr":"<p>A</p>","ExternalQualificationsStr":"<p>Q' || CAST(c_nationkey AS STRING) || '</p>","CorporateDescriptionStr":""}]}' AS payload FROM <<customer>>"""
+  || '{"Id":"x' || CAST(c_custkey AS STRING) || '","ShortDescriptionStr":"only short","PrimaryLocation":"","PostedDate":"soon"}]}]}' AS payload FROM <<customer>> LATERAL VIEW explode(array(0, 1)) x AS t"""
+_ORACLE_DETAIL = """SELECT 4 * c_custkey + 2 * t + again AS payload_id, CAST(c_custkey AS STRING) AS job_id, 'https://o' || CAST(t AS STRING) || '.example.com' AS base_url, 'CX' AS site_number,
+  '{"items":[{"ExternalDescriptionStr":"<p>' || CASE WHEN again = 0 THEN 'A' || CAST(t AS STRING) ELSE 'later' END || '</p>","ExternalQualificationsStr":"<p>Q' || CAST(c_nationkey AS STRING) || '</p>","CorporateDescriptionStr":""}]}' AS payload
+  FROM <<customer>> LATERAL VIEW explode(array(0, 1)) x AS t LATERAL VIEW explode(array(0, 1)) y AS again"""
 
 
 @query(
     "board_oraclecloud",
     """SELECT CAST(c_custkey AS VARCHAR) AS id, 'T' AS title, c_name AS company, 'Vienna, VA, USA' AS location, DATE '2001-07-01' AS date_posted,
-    'https://o.example.com/hcmUI/CandidateExperience/en/sites/CX/job/' || CAST(c_custkey AS VARCHAR) AS job_url,
-    'A' || chr(10) || chr(10) || 'Q' || CAST(c_nationkey AS VARCHAR) || chr(10) || chr(10) || 'short' AS description FROM <<customer>>
+    'https://o' || t || '.example.com/hcmUI/CandidateExperience/en/sites/CX/job/' || CAST(c_custkey AS VARCHAR) AS job_url,
+    'A' || t || chr(10) || chr(10) || 'Q' || CAST(c_nationkey AS VARCHAR) || chr(10) || chr(10) || 'short' AS description FROM <<customer>>, (VALUES ('0'), ('1')) x(t)
     UNION ALL SELECT 'x' || CAST(c_custkey AS VARCHAR), '', c_name, 'USA', NULL,
-    'https://o.example.com/hcmUI/CandidateExperience/en/sites/CX/job/x' || CAST(c_custkey AS VARCHAR), 'only short' FROM <<customer>>""",
+    'https://o' || t || '.example.com/hcmUI/CandidateExperience/en/sites/CX/job/x' || CAST(c_custkey AS VARCHAR), 'only short' FROM <<customer>>, (VALUES ('0'), ('1')) x(t)""",
 )
 def board_oraclecloud(s: Source) -> DataFrame:
     posts = payloads.oraclecloud(s.sql(_ORACLE_LIST), s.sql(_ORACLE_DETAIL))
@@ -115,19 +117,20 @@ def board_oraclecloud(s: Source) -> DataFrame:
 
 # --- eightfold ---------------------------------------------------------------------------------------------
 
-_EIGHT_LIST = """SELECT c_custkey AS payload_id, 'https://e.example.com' AS base_url, c_name AS company_name,
-  '{"data":{"positions":[{"id":' || CAST(c_custkey AS STRING) || '},{"id":-1}]}}' AS payload FROM <<customer>>"""
-_EIGHT_DETAIL = f"""SELECT CAST(c_custkey AS STRING) AS job_id, '{{"data":{{"jobDescription":"<h2>Role</h2>text","postedTs":'
+_EIGHT_LIST = """SELECT 2 * c_custkey + t AS payload_id, 'https://e' || CAST(t AS STRING) || '.example.com' AS base_url, c_name AS company_name,
+  '{"data":{"positions":[{"id":' || CAST(c_custkey AS STRING) || '},{"id":-1}]}}' AS payload FROM <<customer>> LATERAL VIEW explode(array(0, 1)) x AS t"""
+_EIGHT_DETAIL = f"""SELECT CAST(c_custkey AS STRING) AS job_id, 'https://e' || CAST(t AS STRING) || '.example.com' AS base_url, 4 * c_custkey + 2 * t + again AS payload_id, '{{"data":{{"jobDescription":"<h2>Role</h2>' || CASE WHEN again = 0 THEN 'text' || CAST(t AS STRING) ELSE 'later' END || '","postedTs":'
   || CAST({_Y2000_MS // 1000} + 86400 * (c_custkey % 300) AS STRING) || ',"positionUrl":"/p/' || CAST(c_custkey AS STRING) || '","name":"N' || CAST(c_nationkey AS STRING)
-  || '","efcustomTextEmploymentType":' || CASE c_custkey % 3 WHEN 0 THEN '["Full-Time","Contract"]' WHEN 1 THEN '["Never"]' ELSE '[]' END || '}}}}' AS payload FROM <<customer>>"""
+  || '","efcustomTextEmploymentType":' || CASE c_custkey % 3 WHEN 0 THEN '["Full-Time","Contract"]' WHEN 1 THEN '["Never"]' ELSE '[]' END || '}}}}' AS payload
+  FROM <<customer>> LATERAL VIEW explode(array(0, 1)) x AS t LATERAL VIEW explode(array(0, 1)) y AS again"""
 
 
 @query(
     "board_eightfold",
     f"""SELECT CAST(c_custkey AS VARCHAR) AS id, 'N' || CAST(c_nationkey AS VARCHAR) AS title, c_name AS company,
-    'https://e.example.com/p/' || CAST(c_custkey AS VARCHAR) AS job_url, {_posted('c_custkey % 300')} AS date_posted,
+    'https://e' || t || '.example.com/p/' || CAST(c_custkey AS VARCHAR) AS job_url, {_posted('c_custkey % 300')} AS date_posted,
     CASE WHEN c_custkey % 3 = 0 THEN 'fulltime, contract' ELSE 'other' END AS job_type,
-    '## Role' || chr(10) || chr(10) || 'text' AS description FROM <<customer>>""",
+    '## Role' || chr(10) || chr(10) || 'text' || t AS description FROM <<customer>>, (VALUES ('0'), ('1')) x(t)""",
 )
 def board_eightfold(s: Source) -> DataFrame:
     posts = payloads.eightfold(s.sql(_EIGHT_LIST), s.sql(_EIGHT_DETAIL))
@@ -246,8 +249,10 @@ def board_linkedin(s: Source) -> DataFrame:
     )
 
 
-_ZIP_CARDS = """SELECT o_orderkey AS payload_id, '<main><article id="job-card-' || CAST(o_custkey AS STRING) || '"><h2><a href="/c/co/' || CAST(o_custkey AS STRING) || '">Dev ' || CAST(o_orderkey AS STRING)
-  || '</a></h2><a data-testid="job-card-company">Co</a><p>Reston</p><p>$120K - $' || CAST(130 + o_custkey % 50 AS STRING) || 'K/yr</p><p>$1</p></article></main>' AS html FROM <<orders>>"""
+# a card is shown twice on its page; pages of the second kind have a card without an id as well
+_ZIP_CARDS = """SELECT o_orderkey AS payload_id, '<main>' || repeat(card, 2) || '<article data-job-id=""><h2><a href="/c/none">No id</a></h2></article></main>' AS html
+FROM (SELECT o_orderkey, '<article ' || CASE o_orderkey % 2 WHEN 0 THEN 'id' ELSE 'data-job-id' END || '="job-card-' || CAST(o_custkey AS STRING) || '"><h2><a href="/c/co/' || CAST(o_custkey AS STRING) || '">Dev ' || CAST(o_orderkey AS STRING)
+  || '</a></h2><a data-testid="job-card-company">Co</a><p>Reston</p><p>$120K - $' || CAST(130 + o_custkey % 50 AS STRING) || 'K/yr</p><p>$1</p></article>' AS card FROM <<orders>>) c"""
 _ZIP_PANES = """SELECT CAST(c_custkey AS STRING) AS job_id, '<div>' || CASE WHEN c_custkey % 2 = 0 THEN '<a href="/jobs/' || CAST(c_custkey AS STRING) || '">go</a>' ELSE '' END
   || '<h2>Job description</h2><span>s</span><div><b>Do</b> it</div></div>' AS html FROM <<customer>>"""
 
@@ -257,7 +262,8 @@ _ZIP_PANES = """SELECT CAST(c_custkey AS STRING) AS job_id, '<div>' || CASE WHEN
     """SELECT CAST(o_custkey AS VARCHAR) AS id, 'Dev ' || CAST(o_orderkey AS VARCHAR) AS title, 'Co' AS company,
     'https://www.ziprecruiter.com/' || CASE WHEN o_custkey % 2 = 0 THEN 'jobs/' ELSE 'c/co/' END || CAST(o_custkey AS VARCHAR) AS job_url,
     120000.0::DOUBLE AS min_amount, CAST(1000 * (130 + o_custkey % 50) AS DOUBLE) AS max_amount, 'yearly' AS "interval", '**Do** it' AS description
-    FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM <<orders>>) o WHERE rn = 1""",
+    FROM <<orders>>
+    UNION ALL SELECT '', 'No id', '', 'https://www.ziprecruiter.com/c/none', NULL, NULL, NULL, '' FROM <<orders>> WHERE o_orderkey % 2 = 1""",
 )
 def board_zip_recruiter(s: Source) -> DataFrame:
     posts = pages.zip_recruiter(s.sql(_ZIP_CARDS), s.sql(_ZIP_PANES))

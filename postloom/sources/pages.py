@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from postloom import fixed_values as fv
 from postloom.functions import dates, jobtypes, pay, places, text, urls
 from postloom.functions.expr import let, nonblank, strip
-from postloom.operators.postings import as_posts
+from postloom.operators.postings import ARRIVAL, SEARCH, as_posts, searched
 from postloom.operators.ranking import keep_first
 from postloom.sources import markup as m
 
@@ -135,14 +135,33 @@ def _cards(pages: DataFrame, pick: Column) -> DataFrame:
     return (
         with_elements(pages)
         .withColumn("_cards", pick)
-        .select("payload_id", "html", "_els", F.posexplode("_cards").alias("_pos", "_card"))
+        .select(
+            "payload_id", *[c for c in SEARCH if c in pages.columns], "html", "_els",
+            F.posexplode("_cards").alias("_pos", "_card"),
+        )
         .withColumn("_in", m.within(F.col("_els"), F.col("_card")))
         .drop("_els")
     )
 
 
-def _distinct(cards: DataFrame, key: str) -> DataFrame:
-    return keep_first(cards, [key], F.asc("payload_id"), F.asc("_pos"))
+def _search(df: DataFrame) -> list[str]:
+    return [c for c in SEARCH if c in df.columns]
+
+
+def _distinct(cards: DataFrame, *keys: str) -> DataFrame:
+    """The first card of each key in a search."""
+    return keep_first(cards, [*_search(cards), *keys], *[F.asc(c) for c in ARRIVAL])
+
+
+def _one(details: DataFrame, key: str) -> DataFrame:
+    """One row of extracted details for each key: that of the page that landed first, where it says so."""
+    rest = [c for c in details.columns if c not in (key, "_landed")]
+    return keep_first(details, [key], *[F.asc(c) for c in ("_landed", *rest)]).drop("_landed")
+
+
+def _landed(pages: DataFrame) -> Column:
+    there = "payload_id" in pages.columns
+    return (F.col("payload_id") if there else F.lit(0)).cast("long").alias("_landed")
 
 
 def linkedin_cards(pages: DataFrame) -> DataFrame:
@@ -175,8 +194,8 @@ def linkedin_cards(pages: DataFrame) -> DataFrame:
     )
     title, company_name, place, salary = (F.get("_text", F.lit(i)) for i in range(4))
     rows = staged.select(
-        "payload_id",
-        "_pos",
+        *_search(staged),
+        *ARRIVAL,
         "job_id",
         F.coalesce(title, F.lit("N/A")).alias("title"),
         F.coalesce(company_name, F.lit("N/A")).alias("company_name"),
@@ -225,6 +244,7 @@ def linkedin_details(pages: DataFrame) -> DataFrame:
     apply_code = m.first(els, m.is_tag("code"), m.has("id", "equals", "applyUrl"))
     kind = F.replace(F.lower(criterion("Employment type")), F.lit("-"), F.lit(""))
     return staged.select(
+        _landed(pages),
         "job_id",
         F.coalesce(
             text.html_to_markdown(let(block, lambda e: m.outer_html(html, e))), F.lit("")
@@ -246,7 +266,7 @@ def linkedin(cards: DataFrame, details: DataFrame, base_url: str = fv.LINKEDIN_B
     """Search pages joined to detail pages; a card without details has no description."""
     joined = (
         linkedin_cards(cards)
-        .join(linkedin_details(details), "job_id", "left")
+        .join(_one(linkedin_details(details), "job_id"), "job_id", "left")
         .withColumn("location", places.linkedin_location("location_text"))
         .withColumn("description", F.coalesce("description", F.lit("")))
     )
@@ -262,12 +282,16 @@ def linkedin(cards: DataFrame, details: DataFrame, base_url: str = fv.LINKEDIN_B
                 "title", "description", places.display_location(F.col("location"))
             ).alias("is_remote"),
             text.emails("description").alias("emails"),
+            *searched(joined),
         )
     )
 
 
 def zip_cards(pages: DataFrame) -> DataFrame:
-    """Cards of list pages: the first selector that finds any is used for the page."""
+    """Cards of list pages: the first selector that finds any is used for the page.
+
+    A card repeats one of its page that has the same id; cards without an id repeat nothing.
+    """
     html, els, inside, card = F.col("html"), F.col("_els"), F.col("_in"), F.col("_card")
     options = [
         m.select(els, m.is_tag("article"), m.has("id", "starts", "job-card-")),
@@ -277,7 +301,7 @@ def zip_cards(pages: DataFrame) -> DataFrame:
     ]
     pick = F.coalesce(*[F.when(F.size(o) > 0, o) for o in options])
     card_id = F.coalesce(m.attr(card, "id"), m.attr(card, "data-job-id"), F.lit(""))
-    staged = _distinct(_cards(pages, pick).withColumn("card_id", card_id), "card_id")
+    staged = _cards(pages, pick).withColumn("card_id", card_id)
 
     def marked(name: str) -> m.Test:
         return m.has("data-testid", "equals", name)
@@ -307,9 +331,11 @@ def zip_cards(pages: DataFrame) -> DataFrame:
         F.transform(m.select(inside, m.is_tag("p")), lambda e: m.text_of(html, e)),
         lambda t: t.startswith("$"),
     )
-    return staged.select(
-        "payload_id",
-        "_pos",
+    # the fields go to the exchange, not the page
+    rows = staged.select(
+        *_search(staged),
+        *ARRIVAL,
+        "card_id",
         F.when(F.col("card_id").startswith("job-card-"), F.replace("card_id", F.lit("job-card-"), F.lit("")))
         .otherwise(F.lit(""))
         .alias("job_id"),
@@ -328,7 +354,9 @@ def zip_cards(pages: DataFrame) -> DataFrame:
             "location_text"
         ),
         F.coalesce(F.get(money, F.lit(0)), F.lit("")).alias("salary_text"),
-    ).where(F.col("title") != "")
+    ).withColumn("_own", F.when(F.col("card_id") == "", F.col("_pos")).otherwise(-1))
+    first = _distinct(rows, "payload_id", "card_id", "_own")
+    return first.drop("card_id", "_own").where(F.col("title") != "")
 
 
 def zip_panes(pages: DataFrame) -> DataFrame:
@@ -356,6 +384,7 @@ def zip_panes(pages: DataFrame) -> DataFrame:
         m.first(els, m.is_tag("div"), m.has("class", "contains", "whitespace-pre-line")),
     )
     return with_elements(pages).select(
+        _landed(pages),
         "job_id",
         F.coalesce(
             text.html_to_markdown(let(block, lambda e: m.outer_html(html, e))), F.lit("")
@@ -367,7 +396,7 @@ def zip_panes(pages: DataFrame) -> DataFrame:
 
 
 def zip_recruiter(cards: DataFrame, panes: DataFrame) -> DataFrame:
-    joined = zip_cards(cards).join(zip_panes(panes), "job_id", "left")
+    joined = zip_cards(cards).join(_one(zip_panes(panes), "job_id"), "job_id", "left")
     return as_posts(
         joined.select(
             F.col("job_id").alias("id"),
@@ -377,6 +406,7 @@ def zip_recruiter(cards: DataFrame, panes: DataFrame) -> DataFrame:
             places.location(F.lit("USA"), F.col("location_text"), F.lit(None)).alias("location"),
             F.coalesce("description", F.lit("")).alias("description"),
             pay.zip_salary("salary_text").alias("compensation"),
+            *searched(joined),
         ).where(F.col("job_url") != "")
     )
 
@@ -407,8 +437,8 @@ def marriott_cards(pages: DataFrame, base_url: str = fv.MARRIOTT_BASE) -> DataFr
     staged = cards.withColumn("_link", link).where(F.col("_link").isNotNull())
     href = m.attr(F.col("_link"), "href")
     return staged.select(
-        "payload_id",
-        "_pos",
+        *_search(staged),
+        *ARRIVAL,
         F.coalesce(
             nonblank(labelled("reference")), F.get(F.split(href, "/job/"), F.lit(1))
         ).alias("job_id"),
@@ -490,6 +520,7 @@ def marriott_details(pages: DataFrame) -> DataFrame:
     ]
     currency = F.coalesce(data("$.baseSalary.currency"), data("$.baseSalary.currencyCode"), F.lit("USD"))
     return staged.select(
+        _landed(pages),
         "job_url",
         F.coalesce("_ld_text", "_page_text").alias("description"),
         F.coalesce(dates.iso_date(data("$.datePosted")), dates.iso_date(day)).alias("date_posted"),
@@ -514,7 +545,7 @@ def marriott_details(pages: DataFrame) -> DataFrame:
 
 
 def marriott(cards: DataFrame, details: DataFrame) -> DataFrame:
-    joined = marriott_cards(cards).join(marriott_details(details), "job_url", "left")
+    joined = marriott_cards(cards).join(_one(marriott_details(details), "job_url"), "job_url", "left")
     return as_posts(
         joined.select(
             F.col("job_id").alias("id"),
@@ -523,6 +554,7 @@ def marriott(cards: DataFrame, details: DataFrame) -> DataFrame:
             F.when(
                 F.col("location_text").isNotNull(), places.marriott_location("location_text")
             ).alias("location"),
+            *searched(joined),
         )
     )
 

@@ -271,3 +271,36 @@ def test_exports(spark, tmp_path):
     exports.write_csv(quoted, str(tmp_path / "csv"))
     back = spark.read.option("header", True).option("escape", "\\").option("multiLine", True)
     assert back.csv(str(tmp_path / "csv")).first()["b"] == "1"
+
+
+def test_repeats_are_dropped_within_a_search_only(spark):
+    from postloom.sources import boards
+
+    def answer(*keys):
+        jobs = ",".join(f'{{"job":{{"key":"{k}","title":"t"}}}}' if k else '{"job":{"title":"no key"}}' for k in keys)
+        return f'{{"data":{{"jobSearch":{{"results":[{jobs}]}}}}}}'
+
+    landed = spark.createDataFrame(
+        [(1, "ann", "data", 7, answer("a", "b", "", "")), (2, "ann", "data", 7, answer("a")), (3, "bob", "data", 8, answer("a"))],
+        "payload_id long, owning_user string, search_term string, run_id long, payload string",
+    )
+    posts = boards.flatten("indeed", landed)
+    found = sorted((r.owning_user, r.run_id, r.payload_id, r._pos, r.id or "") for r in posts.collect())
+    assert found == [
+        ("ann", 7, 1, 0, "in-a"), ("ann", 7, 1, 1, "in-b"), ("ann", 7, 1, 2, ""), ("ann", 7, 1, 3, ""), ("bob", 8, 3, 0, "in-a"),
+    ]
+    assert "run_id" not in boards.flatten("indeed", landed.drop("owning_user", "search_term", "run_id")).columns
+
+
+def test_cards_without_an_id_stay(spark):
+    from postloom.sources import pages
+
+    card = '<article data-job-id=""><h2><a href="/j/{0}">Title {0}</a></h2></article>'
+    html = "<div>" + card.format(1) + card.format(2) + card.format(3).replace('id=""', 'id="7"') * 2 + "</div>"
+    landed = spark.createDataFrame([(n, html) for n in range(3)], "payload_id long, html string")
+    empty = spark.createDataFrame([], "payload_id long, job_id string, html string")
+    found = pages.zip_recruiter(landed, empty).groupBy("title").count().collect()
+    assert {r.title: r["count"] for r in found} == {"Title 1": 3, "Title 2": 3, "Title 3": 3}
+    plan = pages.zip_cards(landed)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("Exchange")]
+    assert "html#" not in above and "_in#" not in above
