@@ -196,20 +196,22 @@ def usage_summary(usage: DataFrame) -> DataFrame:
 # --- pipeline counters ---------------------------------------------------------------------------
 
 
-def save_counts(marked: DataFrame) -> DataFrame:
+def save_counts(totals: DataFrame) -> DataFrame:
     """Saved, without description and already stored, in one row.
 
-    ``marked`` carries ``is_new`` and ``has_description`` for every incoming posting.
+    ``totals`` has the keys of a batch (``ingest.key_totals``). A repeat inside the batch counts as
+    already stored, as it would be when its turn came.
     """
-    return marked.agg(
-        count_if(F.col("is_new")).alias("saved"),
+    saved = count_if(F.col("is_new"))
+    return totals.agg(
+        saved.alias("saved"),
         count_if(F.col("is_new") & ~F.col("has_description")).alias("no_description"),
-        count_if(~F.col("is_new")).alias("already_stored"),
+        (F.sum("rows") - saved).cast("bigint").alias("already_stored"),
     )
 
 
-def saved_by_board(marked: DataFrame) -> DataFrame:
-    return marked.where("is_new").groupBy("site").agg(count_rows().alias("saved"))
+def saved_by_board(totals: DataFrame) -> DataFrame:
+    return totals.where("is_new").groupBy("site").agg(count_rows().alias("saved"))
 
 
 def cache_counts(resolved: DataFrame) -> DataFrame:

@@ -51,22 +51,19 @@ def unseen_anywhere(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return absent(incoming, stored, ["job_url"])
 
 
-def marked_batch(incoming: DataFrame, stored: DataFrame, *order: Column) -> DataFrame:
-    """Every incoming posting with ``is_new`` and ``has_description``.
+def key_totals(incoming: DataFrame, stored: DataFrame, arrival: str = "arrival_id") -> DataFrame:
+    """One row for each incoming key: ``rows``, ``site`` and ``has_description`` of its first arrival, ``is_new``.
 
-    A repeat inside the batch counts as already stored, as it would be when its turn came. First
-    arrivals are found by an aggregate on the key and an id equality, so a url that fills the batch
-    is no large group.
+    The batch is combined by key before it moves, so a url that fills it is no large group, and the
+    store is asked for those keys only.
     """
-    first = (
-        distinct_postings(incoming.select(*POSTING_KEY, "arrival_id"), *order)
-        .join(known(stored, incoming, POSTING_KEY), POSTING_KEY, "left_anti")
-        .select("arrival_id", F.lit(True).alias("is_new"))
+    described = F.coalesce(strip("description") != "", F.lit(False)).alias("has_description")
+    keys = incoming.groupBy(*POSTING_KEY).agg(
+        F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("site", described), arrival).alias("_first")
     )
-    return (
-        incoming.join(first, "arrival_id", "left")
-        .withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-        .withColumn("has_description", F.coalesce(strip("description") != "", F.lit(False)))
+    taken = known(stored, keys, POSTING_KEY).distinct().withColumn("_taken", F.lit(True))
+    return keys.join(taken, POSTING_KEY, "left").select(
+        *POSTING_KEY, "rows", "_first.*", F.col("_taken").isNull().alias("is_new")
     )
 
 

@@ -156,11 +156,11 @@ def unseen_anywhere(s: Source) -> DataFrame:
     return ig.unseen_anywhere(s.view("incoming_postings"), s.view("job_details"))
 
 
-def _marked(s: Source) -> DataFrame:
+def _totals(s: Source) -> DataFrame:
     incoming = s.view("incoming_postings").withColumn(
         "description", F.when(F.col("arrival_id") % 7 == 0, " ").otherwise(F.col("title"))
     )
-    return ig.marked_batch(incoming, s.view("job_details"), F.asc("arrival_id"))
+    return ig.key_totals(incoming, s.view("job_details"))
 
 
 @query(
@@ -171,12 +171,12 @@ def _marked(s: Source) -> DataFrame:
       FROM <<incoming_postings>> i LEFT JOIN ({_NEW}) w ON i.arrival_id = w.arrival_id) x""",
 )
 def save_counts(s: Source) -> DataFrame:
-    return an.save_counts(_marked(s))
+    return an.save_counts(_totals(s))
 
 
 @query("saved_by_board", f"SELECT site, count(*) AS saved FROM ({_NEW}) n GROUP BY site")
 def saved_by_board(s: Source) -> DataFrame:
-    return an.saved_by_board(_marked(s))
+    return an.saved_by_board(_totals(s))
 
 
 @query(

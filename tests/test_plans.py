@@ -50,3 +50,12 @@ def test_store_side_of_the_duplicate_check_is_narrow(source):
 def test_page_keeps_only_its_rows(source):
     found = se.search_postings(source.view("job_details"), "FURNITURE", "2001-08-01")
     assert "TakeOrderedAndProject" in plan(se.page(found, se.posting_order("score"), 2))
+
+
+def test_save_counts_take_few_exchanges(source):
+    from postloom.plans.catalog import QUERIES
+
+    frame = QUERIES["save_counts"](source)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") + final.count("Exchange SinglePartition") <= 6
