@@ -469,16 +469,27 @@ def oraclecloud_parts(s: Source) -> DataFrame:
 
 @query(
     "site_configs",
-    """SELECT id, 'eightfold' AS config_type, 'acmeco' AS config_key, 'https://apply.example.com' AS base_url,
-    '{"company_name":"Acme & Co","base_url":"https://apply.example.com","pid":"' || CAST(id AS VARCHAR)
-      || '","location":"Reston, VA","sort_by":"new","filter_x":"' || regexp_extract(url, 'filter_x=(\\d+)', 1) || '"}' AS config_json
-    FROM <<posting_urls>> WHERE contains(url, '/careers?')""",
+    """SELECT id, config_type, 'acmeco' AS config_key, base_url, '{"company_name":"Acme & Co"' || CASE config_type
+      WHEN 'eightfold' THEN ',"base_url":"' || base_url || '","pid":"' || CAST(id AS VARCHAR)
+        || '","location":"Reston, VA","sort_by":"new","filter_x":"' || regexp_extract(url, 'filter_x=(\d+)', 1) || '"}'
+      WHEN 'workday' THEN ',"tenant_site":"acme/x","base_url":"' || base_url || '"}'
+      WHEN 'oraclecloud' THEN ',"siteNumber":"CX_' || CAST(id AS VARCHAR) || '","facetsList":"LOCATIONS;WORK","sortBy":"RELEVANCY","base_url":"' || base_url || '"}'
+      ELSE ',"base_url":"' || base_url || '","l":"Reston"}' END AS config_json
+    FROM (SELECT id, url, CASE id % 8 WHEN 3 THEN 'oraclecloud' WHEN 4 THEN 'workday' WHEN 5 THEN 'usajobs' ELSE 'eightfold' END AS config_type,
+      CASE id % 8 WHEN 5 THEN 'https://www.usajobs.gov' ELSE regexp_extract(url, '^(https://[^/]+)', 1) END AS base_url
+      FROM <<posting_urls>> WHERE id % 8 IN (3, 4, 5, 6)) u""",
 )
 def site_configs(s: Source) -> DataFrame:
-    found = co.from_urls(s.view("posting_urls").withColumn("company_name", F.lit("Acme & Co")))
-    return found.where(F.col("config_type") == "eightfold").select(
-        "id", "config_type", "config_key", "base_url", "config_json"
+    """All four kinds of boards; the tenant and the finder come with the traffic, so they are columns."""
+    kind = F.col("id") % 8
+    given = s.view("posting_urls").select(
+        "id",
+        F.when(kind == 5, "https://www.usajobs.gov/search/results/?k=engineer&l=Reston").otherwise(F.col("url")).alias("url"),
+        F.lit("Acme & Co").alias("company_name"),
+        F.when(kind == 4, "acme/x").alias("tenant_site"),
+        F.when(kind == 3, F.concat(F.lit("findReqs;siteNumber=CX_"), F.col("id").cast("string"), F.lit(",facetsList=LOCATIONS%3BWORK"))).alias("finder"),
     )
+    return co.from_urls(given).select("id", "config_type", "config_key", "base_url", "config_json")
 
 
 @query(
