@@ -71,7 +71,9 @@ def _featured(docs: DataFrame) -> DataFrame:
         F.size(F.array_remove(F.split(text, r"\s+"), "")).cast("long").alias("tokens"),
         F.concat(F.array(F.lit(ALWAYS)), features(text)).alias("words"),
     )
-    exploded = rows.select("row", "doc_id", "text_key", "tokens", F.explode("words").alias("word"))
+    # no array is empty; the plain explode would filter by its size, working the words out once more and, below a
+    # join, for every document
+    exploded = rows.select("row", "doc_id", "text_key", "tokens", F.explode_outer("words").alias("word"))
     return exploded.select("row", "doc_id", "text_key", "tokens", F.xxhash64("word").alias("feature"))
 
 
