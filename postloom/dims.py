@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from postloom import fixed_values as fv
 
 
-def job_type_aliases(spark: SparkSession) -> DataFrame:
-    rows = [(alias, name) for name, aliases in fv.JOB_TYPES.items() for alias in aliases]
-    return spark.createDataFrame(rows, "alias string, job_type string")
-
-
 def countries(spark: SparkSession) -> DataFrame:
     rows = [
         (key, code, names[0])
@@ -22,10 +17,6 @@ def countries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "country_key string, country string, name string")
 
 
-def pay_periods(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(fv.PAY_PERIODS.items()), "pay_period string, interval string")
-
-
 def statuses(spark: SparkSession) -> DataFrame:
     rows = [
         (i, code, label, code in fv.TERMINAL_STATUSES)

@@ -82,10 +82,6 @@ def final_score(c: Column | str) -> Column:
     return stored_fields(c)["job_score"]
 
 
-def clearance_required(c: Column | str) -> Column:
-    return stored_fields(c)["security_clearance_required"]
-
-
 def _last(text: Column, mark: str) -> Column:
     """1-based place of the last ``mark``, 0 when absent."""
     back = F.instr(F.reverse(text), mark)
@@ -192,11 +188,6 @@ def audit_band(c: Column | str) -> Column:
     return F.when(c >= 8, "high").when(c >= 5, "middle").otherwise("low")
 
 
-def decision_band(c: Column | str) -> Column:
-    word = F.upper(col(c))
-    return F.when(word == "PASS", "high").when(word == "CONDITIONAL", "middle").otherwise("low")
-
-
 def legacy_decision(score: Column | str) -> Column:
     c = col(score)
     return F.when(c < 0.5, "Fail").when(c < 0.7, "Conditional").otherwise("Pass")

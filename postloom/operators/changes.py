@@ -195,6 +195,12 @@ def add_history(history: DataFrame, rows: DataFrame) -> DataFrame:
     return history.unionByName(rows, allowMissingColumns=True).select(*history.columns)
 
 
+def manual_history(postings: DataFrame, as_of: Column | str, first_id: int = 1) -> DataFrame:
+    """First history rows of hand-entered applications, as they are stored with their ids."""
+    applied = postings.where(F.col("review_status") == "applied")
+    return history_rows(applied, "submitted", fv.MANUAL_NOTE, day(as_of), first_id)
+
+
 def apply_to(
     postings: DataFrame, history: DataFrame, requests: DataFrame, as_of: Column | str,
     first_id: int = 1, note: str = fv.APPLY_NOTE,
@@ -412,8 +418,3 @@ def add_column(df: DataFrame, name: str, kind: str, default: object = None) -> D
 
 def drop_column(df: DataFrame, name: str) -> DataFrame:
     return df.drop(name)
-
-
-def current_shape(df: DataFrame, required: Sequence[str]) -> bool:
-    """Whether a table has the columns of its present design; an older one is to be dropped."""
-    return set(required) <= set(df.columns)

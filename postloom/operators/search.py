@@ -97,12 +97,6 @@ def rule_matches(
     )
 
 
-LISTING_USER_COLUMNS = [
-    "username", "display_name", "picture_url", "email", "notes", "theme", "auth_provider",
-    "date_created",
-]
-
-
 def without_blobs(df: DataFrame) -> DataFrame:
     """Every column that is not binary."""
     return df.select(*[name for name, kind in df.dtypes if kind != "binary"])
@@ -243,4 +237,3 @@ def cards(postings: DataFrame) -> DataFrame:
         results.decision("job_score_json").alias("decision"),
         results.travel("job_score_json").alias("travel"),
     )
-

@@ -10,6 +10,7 @@ from postloom.operators import changes as ch
 from postloom.operators import search as se
 from postloom.operators import titles as ti
 from postloom.plans.registry import Source, query
+from postloom.session import cut_lineage
 
 AS_OF = "2001-08-01"
 _KEPT = f"""(review_status IN ('saved', 'applied') OR NOT (date_posted < DATE '{AS_OF}' - 60))"""
@@ -196,6 +197,22 @@ def manual_postings(s: Source) -> DataFrame:
     )
 
 
+@query(
+    "manual_history",
+    f"""SELECT 'https://m.example.com/' || CAST(o_orderkey AS VARCHAR) AS job_url, 'submitted' AS status, 'Manually added' AS notes,
+    DATE '{AS_OF}' AS changed_at FROM <<orders>>""",
+)
+def manual_history(s: Source) -> DataFrame:
+    forms = s.sql(
+        """SELECT 'https://m.example.com/' || CAST(o_orderkey AS STRING) AS job_url, 'FURNITURE' AS owning_user FROM <<orders>>"""
+    )
+    # ids are given once, by the write
+    stored = cut_lineage(ch.manual_postings(forms, AS_OF, applied=True, first_id=500), "manual")
+    history = ch.manual_history(stored, AS_OF)
+    named = stored.select(F.col("id").alias("applied_job_id"), "job_url")
+    return history.join(named, "applied_job_id").select("job_url", "status", "notes", "changed_at")
+
+
 _FEED = """SELECT CASE l_returnflag WHEN 'N' THEN 'I' WHEN 'R' THEN 'U' ELSE 'D' END AS op, l_orderkey * 10 + l_linenumber AS id,
   l_orderkey AS applied_job_id, 'offer' AS status, 'n' AS notes, min(l_partkey) AS seq,
   CASE WHEN l_returnflag = 'N' THEN CAST(NULL AS DATE) ELSE CAST(min(l_shipdate) AS DATE) END AS changed_at

@@ -471,7 +471,7 @@ def oraclecloud_parts(s: Source) -> DataFrame:
     "site_configs",
     """SELECT id, config_type, 'acmeco' AS config_key, base_url, '{"company_name":"Acme & Co"' || CASE config_type
       WHEN 'eightfold' THEN ',"base_url":"' || base_url || '","pid":"' || CAST(id AS VARCHAR)
-        || '","location":"Reston, VA","sort_by":"new","filter_x":"' || regexp_extract(url, 'filter_x=(\d+)', 1) || '"}'
+        || '","location":"Reston, VA","sort_by":"new","filter_x":"' || regexp_extract(url, 'filter_x=(\\d+)', 1) || '"}'
       WHEN 'workday' THEN ',"tenant_site":"acme/x","base_url":"' || base_url || '"}'
       WHEN 'oraclecloud' THEN ',"siteNumber":"CX_' || CAST(id AS VARCHAR) || '","facetsList":"LOCATIONS;WORK","sortBy":"RELEVANCY","base_url":"' || base_url || '"}'
       ELSE ',"base_url":"' || base_url || '","l":"Reston"}' END AS config_json

@@ -24,3 +24,18 @@ def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["keyword", "total", "high_compat", "medium_compat", "low_compat"]
     assert df.count() > 0
+
+
+def test_entry_works_without_the_corpus_operators(tmp_path):
+    """The folder and the pipeline may be gone."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = (
+        "import sys; sys.modules['postloom.llm'] = None; sys.modules['corpus_pipeline'] = None; "
+        "import __spark_entry__ as e; names = set(e.queries()); "
+        "assert 'keyword_quality' in names and not [n for n in names if n.startswith('op') and n[2:3].isdigit()]; "
+        "assert 'pipeline' not in names and names == set(e.oracle_sql())"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=True)
