@@ -33,7 +33,8 @@ def _lines(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_key"),
-        F.posexplode(F.split("text", "\n")).alias("line", "written"),
+        # the outer form, as the plain one splits each text once more to filter by the size
+        F.posexplode_outer(F.split("text", "\n")).alias("line", "written"),
     )
     parsed = rows.withColumn("tokens", _tokens(F.col("written"))).where(F.size("tokens") >= least_tokens)
     leading = [_mask(F.get("tokens", F.lit(i))) for i in range(depth)]
