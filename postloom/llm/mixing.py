@@ -32,6 +32,11 @@ class Settings:
     least_texts: int = 3
     #: Least likelihood-ratio statistic of a feature, so that words which differ by chance stay out.
     least_told: float = 30.0
+    #: Least log ratio of a feature's share in a domain to its share overall; smaller ones are left out, as many of
+    #: them add up in long texts.
+    least_weight: float = 0.7
+    #: Least share of a domain that a mark must be in for its absence to count.
+    least_cover: float = 0.02
     #: Weight of staying at rate 1, against meeting the targets.
     stay: float = 1e-4
     steps: int = 60
@@ -87,8 +92,9 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], settings: Sett
     """Weights of a naive Bayes model: ``feature`` and ``w0``, ``w1``, ... for the domains.
 
     Learned from the labelled sample, whose size is bounded; keeps the features that tell most about the
-    domain, if beyond chance. Only what a text has counts: absent words would count against short texts.
-    The row of ``ALWAYS`` holds the prior. At most ``settings.features`` + 1 rows of numbers.
+    domain, if beyond chance. The absence of a feature counts only against a domain that it marks: the
+    absence of ordinary words would count against short texts. The row of ``ALWAYS`` holds the prior and
+    the absence of all marks, which a mark's own weight takes back. At most ``settings.features`` + 1 rows of numbers.
     """
     # bounded by settings.labelled rows of an id and a name
     known = F.broadcast(sample(labels, settings.labelled))
@@ -108,7 +114,14 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], settings: Sett
         (s * (r * F.log(r / mean) + (1 - r) * F.log((1 - r) / (1 - mean))) for s, r in zip(share, rate, strict=True)),
         F.lit(0.0),
     )
-    apart = [F.log(r / mean).alias(f"w{k}") for k, r in enumerate(rate)]
+    ratio = [F.log(r / mean) for r in rate]
+    marks = [(x >= settings.least_weight) & (r >= settings.least_cover) for x, r in zip(ratio, rate, strict=True)]
+    absent = [F.when(m, F.log((1 - r) / (1 - mean))).otherwise(0.0) for m, r in zip(marks, rate, strict=True)]
+    apart = [
+        (F.when(F.abs(x) >= settings.least_weight, x).otherwise(0.0) - a).alias(f"w{k}")
+        for k, (x, a) in enumerate(zip(ratio, absent, strict=True))
+    ]
+    apart += [a.alias(f"a{k}") for k, a in enumerate(absent)]
     chosen = (
         counts.where((F.col("feature") != always) & (held_by >= settings.least_texts))
         .select("feature", told.alias("told"), *apart)
@@ -116,11 +129,12 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], settings: Sett
         .orderBy(F.desc("told"), "feature")
         .limit(settings.features)
     )
+    chosen = cut_lineage(chosen, "model")
     weights = [f"w{k}" for k in range(len(domains))]
-    base = docs.sparkSession.range(1).select(
-        always.alias("feature"), *[F.lit(math.log(x)).alias(w) for x, w in zip(share, weights, strict=True)]
+    base = chosen.agg(
+        *[(F.coalesce(F.sum(f"a{k}"), F.lit(0.0)) + math.log(x)).alias(w) for k, (x, w) in enumerate(zip(share, weights, strict=True))]
     )
-    return cut_lineage(chosen.select("feature", *weights).unionByName(base), "model")
+    return cut_lineage(chosen.select("feature", *weights).unionByName(base.withColumn("feature", always)), "model")
 
 
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
