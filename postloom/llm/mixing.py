@@ -126,6 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], settings: Sett
         counts.where((F.col("feature") != always) & (held_by >= settings.least_texts))
         .select("feature", told.alias("told"), *apart)
         .where(2 * whole * F.col("told") >= settings.least_told)
+        # a feature whose weights are all left out would only lengthen the join
+        .where(F.greatest(*[F.abs(x) for x in ratio], F.lit(0.0)) >= settings.least_weight)
         .orderBy(F.desc("told"), "feature")
         .limit(settings.features)
     )
