@@ -15,11 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from postloom.llm import paragraphs
 from postloom.llm.groups import by_run, cells, components, forest
 from postloom.session import cut_lineage
 
 SEED = 42
 CHUNK = 2048
+#: Distinct texts that are compared by their shingles in one piece.
+DOCUMENTS = 256
 
 
 def masks(radius: int, bits: int = 64) -> list[int]:
@@ -121,16 +124,64 @@ def near_duplicates(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFra
     )
 
 
-def keep_one(docs: DataFrame, radius: int = 3, width: int = 3) -> DataFrame:
-    """One document of each group of ``near_duplicates``, with all its columns: the one of smallest ``doc_id``.
+def _sketches(docs: DataFrame, width: int, threshold: float, recall: float, radius: int) -> DataFrame:
+    """``doc_id``, ``text_key``, the identity (``p1``, ``p2``) of the lower-case words, and ``bands`` of every row.
 
+    The bands are those of a MinHash signature and the covering tables of the fingerprint, all of shingles of
+    ``width`` words.
+    """
+    bands, rows = paragraphs.tune(threshold, recall)
+    kept = np.array(masks(radius), dtype=np.uint64)
+
+    @F.pandas_udf("p1 long, p2 long, bands array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = []
+        for text in texts:
+            words = _words(text)
+            tables = np.uint64(fingerprint(text, width)) & kept
+            keys = [xxhash.xxh64_intdigest(part.tobytes(), table) for table, part in enumerate(tables)]
+            near = paragraphs.band_keys(paragraphs.shingles(words, width), bands, rows)
+            found.append((*paragraphs.identity(words), np.concatenate([near, np.array(keys, dtype=np.uint64).view(np.int64)])))
+        return pd.DataFrame(found, columns=["p1", "p2", "bands"])
+
+    key = F.xxhash64("text").alias("text_key")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), key, of("text").alias("s")).select("doc_id", "text_key", "s.*")
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+def keep_one(
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.999, radius: int = 3
+) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one of smallest ``doc_id``.
+
+    A group is what links of Jaccard ``threshold`` or more reach, on the sets of ``width``-word shingles of the
+    lower-case words; each link is verified. Fingerprints of texts at that threshold differ in more bits than
+    covering tables can hold apart, so pairs are held against each other that meet in a covering table of
+    ``radius`` or in a MinHash band, tuned for ``recall`` at the threshold. Texts without words are one group.
     Rows without an id come last; of rows repeated whole one stays.
     """
-    prints, nodes = _grouped(docs, radius, width)
+    seen = cut_lineage(_sketches(docs, width, threshold, recall, radius), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    # first for each fingerprint, then for each group, so that a large group is small before it meets
-    first = prints.groupBy("bits").agg(F.min(order).alias("first")).join(nodes.select("bits", "root"), "bits")
-    kept = first.groupBy("root").agg(F.min("first").alias("first"))
+    classes = seen.groupBy("p1", "p2").agg(F.min(order).alias("first"), F.first("bands").alias("bands"))
+    nodes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([paragraphs.shingles(_words(t), width).view(np.int64) for t in texts])
+
+    def shingled(met: DataFrame) -> DataFrame:
+        wanted = nodes.join(met, "cid", "left_semi").select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"), "cid")
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
+        texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").join(wanted, same)
+        return texts.select("cid", "text").dropDuplicates(["cid"]).select("cid", shingles("text").alias("shingles"))
+
+    # shingles of whole texts are long, so cells are smaller than those of paragraphs
+    roots = paragraphs.alike(nodes, shingled, threshold, DOCUMENTS)
+    known = nodes.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    kept = known.groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
     same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.col("_text_key") == kept["_key"])
     marked = docs.withColumn("_text_key", F.xxhash64("text"))

@@ -11,7 +11,7 @@ once, so that the shingles of a pair are sent once and not for every band it sha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -82,7 +82,7 @@ def _paragraphs(text: str | None, least_words: int) -> Iterator[tuple[int, list[
             yield number, words
 
 
-def _identity(words: list[bytes]) -> tuple[int, int]:
+def identity(words: list[bytes]) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
@@ -103,7 +103,7 @@ def _occurrences(docs: DataFrame, least_words: int, width: int, bands: int, rows
                 for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     for number, words in _paragraphs(text, least_words):
                         keys = band_keys(shingles(words, width), bands, rows)
-                        found.append((doc, number, len(words), *_identity(words), keys))
+                        found.append((doc, number, len(words), *identity(words), keys))
                 if found:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kind.types, strict=True)], schema=kind)
 
@@ -125,7 +125,7 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, least_words: int, width: in
                 cids = {(w["p1"], w["p2"]): w["cid"] for w in wanted}
                 for _, words in _paragraphs(text, least_words):
                     # each once, and only from the row that holds it, should rows share an id
-                    cid = cids.pop(_identity(words), None)
+                    cid = cids.pop(identity(words), None)
                     if cid is not None:
                         out.append((cid, shingles(words, width).view(np.int64)))
             if out:
@@ -157,6 +157,26 @@ def _verify(threshold: float):
     return work
 
 
+def alike(
+    nodes: DataFrame, shingled: Callable[[DataFrame], DataFrame], threshold: float, chunk: int | None = None
+) -> DataFrame:
+    """``node`` and ``root`` of the nodes (``cid``, ``bands``) that links of Jaccard ``threshold`` or more reach.
+
+    ``shingled`` gets the ``cid`` of the nodes that meet in a band, and returns them with their ``shingles``.
+    """
+    banded = nodes.select(F.explode("bands").alias("bucket"), "cid")
+    sizes = banded.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("cid")).alias("mark"),
+        F.bit_xor(F.xxhash64("cid", F.lit("again"))).alias("mark2"),
+    )
+    once = sizes.where("members > 1").groupBy("members", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
+    dealt = cells(banded.join(once.select("bucket"), "bucket"), ["bucket"], F.col("cid"), chunk or CHUNK)
+    met = cut_lineage(dealt, "bands")
+    runs = met.select("bucket", "cell_a", "cell_b", "cid").join(shingled(met.select("cid").distinct()), "cid")
+    return components(by_run(runs, ["bucket", "cell_a", "cell_b"], _verify(threshold), "a long, b long"))
+
+
 def repeats(
     docs: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 40, recall: float = 0.999
 ) -> DataFrame:
@@ -180,19 +200,11 @@ def repeats(
     )
     nodes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
-    banded = nodes.select(F.explode("bands").alias("bucket"), "cid")
-    sizes = banded.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.bit_xor(F.xxhash64("cid")).alias("mark"),
-        F.bit_xor(F.xxhash64("cid", F.lit("again"))).alias("mark2"),
-    )
-    once = sizes.where("members > 1").groupBy("members", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
-    met = cut_lineage(cells(banded.join(once.select("bucket"), "bucket"), ["bucket"], F.col("cid"), CHUNK), "bands")
+    def shingled(met: DataFrame) -> DataFrame:
+        wanted = nodes.join(met, "cid", "left_semi").select("first.doc_id", "cid", "p1", "p2")
+        return _shingles_of(docs, wanted, least_words, width)
 
-    wanted = nodes.join(met.select("cid").distinct(), "cid", "left_semi")
-    wanted = wanted.select("first.doc_id", "cid", "p1", "p2")
-    runs = met.select("bucket", "cell_a", "cell_b", "cid").join(_shingles_of(docs, wanted, least_words, width), "cid")
-    roots = components(by_run(runs, ["bucket", "cell_a", "cell_b"], _verify(threshold), "a long, b long"))
+    roots = alike(nodes, shingled, threshold)
 
     known = nodes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "root", F.coalesce("root", "cid")

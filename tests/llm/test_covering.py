@@ -79,3 +79,36 @@ def test_keeps_one_of_each_group(docs):
     assert kept.columns == docs([]).columns
     expected = [(3, rows[1][1]), (3, rows[-1][1]), (6, ""), (9, rows[3][1]), (None, rows[5][1])]
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def grams(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_keeps_one_of_near_copies_that_differ_in_many_bits(docs):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(500)]
+    rows, far = [], 0
+    for g in range(30):
+        base = [rng.choice(words) for _ in range(rng.choice([60, 150, 400]))]
+        rows.append((10 * g, " ".join(base)))
+        for k in (1, 2):
+            w, edits = list(base), max(1, len(base) // rng.choice([60, 90, 200]))
+            for at in rng.sample(range(len(w)), edits):
+                w[at] = "changed"
+            rows.append((10 * g + k, " ".join(w)))
+        far += sum((covering.fingerprint(rows[-3][1]) ^ covering.fingerprint(t)).bit_count() > 3 for _, t in rows[-2:])
+    rows.append((999, " ".join(rows[0][1].upper().split()[:30])))
+    assert far > 10
+    group = {i: i for i, _ in rows}
+
+    def root(i):
+        return i if group[i] == i else root(group[i])
+
+    for (i, a), (j, b) in itertools.combinations(rows, 2):
+        x, y = grams(a), grams(b)
+        if len(x & y) >= 0.8 * len(x | y):
+            group[max(root(i), root(j))] = min(root(i), root(j))
+    kept = {r.doc_id for r in covering.keep_one(docs(rows)).collect()}
+    assert kept == {i for i in group if root(i) == i}
