@@ -1,12 +1,17 @@
 """Repeated paragraphs by MinHash banding.
 
-A paragraph is a line. Distinct paragraphs get a MinHash signature of their word shingles, cut into
+``repeats`` takes lines for paragraphs. Distinct paragraphs get a MinHash signature of their word shingles, cut into
 bands tuned for a wanted recall at the threshold; paragraphs that collide in a band are verified by the
 exact Jaccard similarity of their shingles, verified links give components, and all but the first
 occurrence of a component are removals.
 
 Equal paragraphs are one from the start. Bands that hold the same members as another band are compared
 once, so that the shingles of a pair are sent once and not for every band it shares.
+
+``passages`` takes pieces of whole texts, which run over line breaks and lie in lines of any length. A piece starts
+where the text itself says (the least shingle hash of a window, as in winnowing; Schleimer et al., 2003), so that a
+passage is cut alike wherever it stands. Pieces overlap and are told apart by their words: were pieces that are only
+alike linked, neighbours within one text would be repeats of each other.
 """
 
 from __future__ import annotations
@@ -157,6 +162,84 @@ def _verify(threshold: float):
     return work
 
 
+def _ordered(joined: bytes, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the shingles in their order, and where words start and end; ``width`` words at least."""
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh3_64_intdigest
+    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64), starts, ends
+
+
+def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Places that are the first least one of some ``window`` neighbouring hashes."""
+    if len(hashes) < window:
+        return np.empty(0, dtype=np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
+    return np.unique(np.arange(len(views)) + views.argmin(axis=1))
+
+
+def pieces(text: str | None, least: int, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line and number of the first word, and the identity (two longs a row), of the pieces of a text."""
+    lines = [line.split() for line in (text or "").encode().split(b"\n")]
+    words = [w for line in lines for w in line]
+    if len(words) < least:
+        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), np.empty((0, 2), dtype=np.int64)
+    joined = b" ".join(words)
+    hashes, starts, ends = _ordered(joined, words, width)
+    # every window that lies with its pieces in a passage of the least size gives one
+    at = anchors(hashes[: len(words) - length + 1], least - length + 1)
+    spans = zip(starts[at].tolist(), ends[at + length - 1].tolist(), strict=True)
+    same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:b]) for a, b in spans), dtype="<i8").reshape(-1, 2)
+    line = np.searchsorted(np.cumsum([len(x) for x in lines]), at, side="right")
+    return line.astype(np.int32), at.astype(np.int32), same
+
+
+def passages(docs: DataFrame, least: int = 50, length: int = 40, width: int = 5) -> DataFrame:
+    """Every occurrence of a piece of ``length`` words that has another occurrence, in whole texts.
+
+    Every passage of ``least`` words or more that stands in two places has one of its pieces reported in both,
+    however it is broken into lines; a longer one has pieces, which overlap, from its first to its last ten words
+    (``least`` - ``length``). Columns are those of ``repeats`` with ``word`` and ``first_word``, the numbers of the
+    first word in the text, from 0; ``paragraph`` is the line of that word. Words are parted by ASCII blanks. Null
+    and empty texts have no pieces; repeated rows and repeats within a document count as occurrences; a null
+    ``doc_id`` comes last in the order. An empty table gives no rows; other columns are ignored.
+    """
+    kind = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int32()), ("word", pa.int32()), ("p1", pa.int64()), ("p2", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [pieces(t, least, length, width) for t in part.column("text").to_pylist()]
+                sizes = [len(f[0]) for f in found]
+                if not sum(sizes):
+                    continue
+                ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                line, word, same = (np.concatenate(c) for c in zip(*found, strict=True))
+                columns = [ids, pa.array(line), pa.array(word), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy())]
+                yield pa.record_batch(columns, schema=kind)
+
+    cut = docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, paragraph int, word int, p1 long, p2 long")
+    seen = cut_lineage(cut, "pieces")
+    # half of the identity finds what may recur, so that little goes on to be told apart by the whole of it
+    again = seen.groupBy("p1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p1")
+    met = cut_lineage(seen.join(again, "p1"), "met")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "word", "paragraph")
+    groups = met.groupBy("p1", "p2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"))
+    return met.join(groups.where("n_occurrences > 1"), ["p1", "p2"]).select(
+        "doc_id",
+        "paragraph",
+        "word",
+        F.lit(length).alias("n_words"),
+        "n_occurrences",
+        F.col("first.doc_id").alias("first_doc_id"),
+        F.col("first.paragraph").alias("first_paragraph"),
+        F.col("first.word").alias("first_word"),
+        (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.word") == F.col("word"))).alias("kept"),
+    )
+
+
 def alike(
     nodes: DataFrame, shingled: Callable[[DataFrame], DataFrame], threshold: float, chunk: int | None = None
 ) -> DataFrame:

@@ -82,7 +82,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query("op3_paragraph_minhash")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
-    return paragraphs.repeats(_table(spark, folder, "documents"))
+    docs = _table(spark, folder, "documents")
+    # a whole line has no word to start at
+    whole = paragraphs.repeats(docs).withColumns({"word": F.lit(None).cast("int"), "first_word": F.lit(None).cast("int")})
+    found = paragraphs.passages(docs)
+    return whole.select(*found.columns).unionByName(found)
 
 
 @_query("op6_log_templates", line_sql.DROPPED_LINES)

@@ -75,3 +75,40 @@ def test_bands_reach_the_recall():
 
 def test_empty_table(docs):
     assert paragraphs.repeats(docs([])).collect() == []
+
+
+def test_passages_are_found_wherever_lines_break(docs):
+    rng = random.Random(13)
+    stock = [f"v{i}" for i in range(2000)]
+
+    def prose(n):
+        return [rng.choice(stock) for _ in range(n)]
+
+    def wrapped(words, size):
+        return "\n".join(" ".join(words[i : i + size]) for i in range(0, len(words), size))
+
+    texts = {}
+    for k in range(25):
+        passage = prose(50 + k)
+        texts[4 * k] = wrapped([*prose(30), *passage, *prose(9)], 7)
+        texts[4 * k + 1] = " ".join(prose(200)) + " " + " ".join(passage) + " " + " ".join(prose(300))
+        texts[4 * k + 2] = " ".join([*prose(45), *passage[:20]]) + "\n\n" + " ".join([*passage[20:], *prose(60)])
+        texts[4 * k + 3] = wrapped(prose(300), 50)
+    rows = [*texts.items(), (900, None), (901, ""), (902, "\n"), (903, "too short"), (None, texts[0]), (904, "again " * 300)]
+    found = paragraphs.passages(docs(rows)).collect()
+    told = {(r.doc_id, r.word) for r in found}
+    words = {i: (t or "").split() for i, t in rows}
+    seen = {}
+    for i, w in words.items():
+        for at in range(len(w) - 49):
+            seen.setdefault(tuple(w[at : at + 50]), []).append((i, at))
+    shared = [p for places in seen.values() if len(places) > 1 for p in places]
+    assert len({i for i, _ in shared}) == 77
+    assert all(any((i, at + d) in told for d in range(11)) for i, at in shared)
+    assert not {i for i, _ in told} & {4 * k + 3 for k in range(25)}
+    for r in found:
+        assert words[r.doc_id][r.word : r.word + 40] == words[r.first_doc_id][r.first_word : r.first_word + 40]
+        assert r.kept == ((r.doc_id, r.word) == (r.first_doc_id, r.first_word)) and r.n_words == 40 and r.n_occurrences > 1
+        line = dict(rows)[r.doc_id].split("\n")
+        assert sum(len(x.split()) for x in line[: r.paragraph]) <= r.word < sum(len(x.split()) for x in line[: r.paragraph + 1])
+    assert paragraphs.passages(docs([])).collect() == []
