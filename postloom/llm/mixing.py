@@ -43,6 +43,9 @@ class Settings:
     tolerance: float = 1e-4
     #: Steps between two writings of the rates.
     piece: int = 12
+    #: Rates this near a whole number are that number. It is for rounding error only: were small rates taken for none,
+    #: a domain whose documents all have one would have no tokens left.
+    snap: float = 1e-6
 
 
 def features(text: Column) -> Column:
@@ -228,7 +231,7 @@ def mix(
     fitted = fit_rates(soft, [total * weights[d] for d in domains], settings)
     named = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
     return fitted.select(
-        "doc_id", "text_key", "tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies")
+        "doc_id", "text_key", "tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id"), settings.snap).alias("copies")
     )
 
 

@@ -98,3 +98,17 @@ def test_empty_tables(spark, docs):
 def test_no_python_on_the_executors(spark):
     plan = queries.op9(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_realised_tokens_meet_the_targets_with_junk_at_a_third(spark, docs):
+    rng, rows = random.Random(8), []
+    for i in range(4500):
+        poor = i % 3 == 0
+        words = [rng.choice(WORDS) for _ in range(20)] + [rng.choice(["bad", "ugly"] if poor else ["fine", "nice"]) for _ in range(6)]
+        rows.append((i, " ".join(words), "poor" if poor else "good"))
+    weights = {"good": 0.98, "poor": 0.02}
+    rates = mixing.mix(docs([r[:2] for r in rows]), labels_of(spark, [(i, d) for i, _, d in rows]), weights, "good").toPandas()
+    assert rates["rate"][rates["p_poor"] > 0.9].median() < 0.05
+    got = {d: (rates["copies"] * rates["tokens"] * rates[f"p_{d}"]).sum() for d in weights}
+    assert abs(got["poor"] / sum(got.values()) - 0.02) < 0.012
+    assert abs(got["good"] / (rates["tokens"] * rates["p_good"]).sum() - 1) < 0.02
