@@ -43,7 +43,7 @@ def _lines(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, least_texts: int = 5, depth: int = 3, constant: float = 0.5, least_tokens: int = 3
+    docs: DataFrame, least_texts: int = 5, depth: int = 3, constant: float = 0.5, least_tokens: int = 3, share: float = 0.0
 ) -> DataFrame:
     """Lines to drop: ``doc_id``, ``text_key`` (hash of the whole text) and ``line`` (number from 0).
 
@@ -51,6 +51,10 @@ def recurring_lines(
     not make its lines boilerplate. A token is constant where ``least_texts`` lines of its leaf have it
     at its place, and a template needs a share ``constant`` of constant tokens; shorter lines than
     ``least_tokens`` tokens are left alone. The first line of a template by document id stays.
+
+    As a leaf grows, the values of a field come to be in ``least_texts`` lines each and look constant. With a
+    ``share``, a line also has the template of those constants that this share of the leaf's lines hold, and goes
+    if either template recurs; the first line of the wider one stays.
     """
     lines = _lines(docs, depth, least_tokens)
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_texts).select("leaf")
@@ -63,18 +67,24 @@ def recurring_lines(
     shapes = cut_lineage(shapes.withColumn("shape", F.monotonically_increasing_id()), "shapes")
     fields = shapes.select("leaf", "shape", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     common = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("lines"))
-    common = common.where((F.col("lines") >= least_texts) & (F.col("token") != ANY)).drop("lines")
-    held = fields.join(common.withColumn("known", F.lit(True)), ["leaf", "place", "token"], "left")
-    field = F.when(F.col("known"), F.col("token")).otherwise(F.lit(ANY))
-    templates = (
-        held.groupBy("shape", "leaf")
-        .agg(
-            F.sort_array(F.collect_list(F.struct("place", field.alias("field")))).alias("fields"),
-            F.count("known").alias("constants"),
-        )
-        .where(F.col("constants") >= constant * F.size("fields"))
-        .select("shape", F.xxhash64(F.array_join("fields.field", " "), F.lit("template")).alias("template"))
+    common = common.where((F.col("lines") >= least_texts) & (F.col("token") != ANY))
+    if share:
+        whole = shapes.groupBy("leaf").agg(F.sum("n").alias("all"))
+        common = common.join(whole, "leaf").withColumn("wide", F.when(F.col("lines") >= share * F.col("all"), True)).drop("all")
+    held = fields.join(common.drop("lines").withColumn("known", F.lit(True)), ["leaf", "place", "token"], "left")
+    rules = ["known", "wide"] if share else ["known"]
+    named = [F.when(F.col(r), F.col("token")).otherwise(F.lit(ANY)).alias(r) for r in rules]
+    forms = held.groupBy("shape", "leaf").agg(
+        F.sort_array(F.collect_list(F.struct("place", *named))).alias("fields"), *[F.count(r).alias(f"n_{r}") for r in rules]
     )
+    fit = [
+        F.when(
+            F.col(f"n_{r}") >= constant * F.size("fields"), F.xxhash64(F.array_join(f"fields.{r}", " "), F.lit("template"))
+        )
+        for r in rules
+    ]
+    either = F.array_distinct(F.array_compact(F.array(*fit)))
+    templates = forms.select("shape", F.explode(either).alias("template"))
 
     placed = met.join(shapes.select("leaf", "masked", "shape"), ["leaf", "masked"]).join(templates, "shape")
     placed = cut_lineage(placed.select("doc_id", "text_key", "line", "leaf", "template"), "placed")
@@ -87,7 +97,8 @@ def recurring_lines(
         & (F.col("first.text_key") == F.col("text_key"))
         & (F.col("first.line") == F.col("line"))
     )
-    return placed.join(again, ["leaf", "template"]).where(~stays).select("doc_id", "text_key", "line")
+    gone = placed.join(again, ["leaf", "template"]).where(~stays).select("doc_id", "text_key", "line")
+    return gone.distinct() if share else gone
 
 
 def with_dropped(docs: DataFrame, **settings) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import oracle
 from postloom.llm import templates
 
@@ -67,3 +68,23 @@ def test_empty_table(docs):
 
 def test_query_equals_sql(spark, folder):
     assert oracle.difference(spark, oracle.connect(folder), "op6_log_templates", folder) is None
+
+
+def test_boilerplate_goes_alike_however_often_it_stands(docs):
+    names = [f"{a}{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghij"]
+    left = {}
+    for n in (100, 10_000):
+        rng = random.Random(n)
+        rows = [(i, f"This page was posted by {rng.choice(names)} in p{rng.choice(names)[:2]} near t{rng.choice(names)[0]}\ntext {names[i % 200]}{names[i // 200]}") for i in range(n)]
+        kept = templates.drop_lines(docs(rows), share=corpus_pipeline.SHARE).collect()
+        left[n] = sum("posted" in r.text for r in kept)
+    assert all(1 <= n <= 4 for n in left.values())
+
+
+def test_a_rarer_line_of_a_large_leaf_goes_too(docs):
+    rng = random.Random(2)
+    rest = "all rights of this work stay with those who made it and lent it to us".split()
+    rows = [(i, "Now and then " + " ".join(f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{i % 7 * 'x'}" for _ in rest)) for i in range(900)]
+    rows += [(1000 + i, "Now and then " + " ".join(rest) + f"\n{chr(97 + i)} tail") for i in range(20)]
+    kept = templates.drop_lines(docs(rows), share=corpus_pipeline.SHARE).collect()
+    assert sum("all rights" in r.text for r in kept) == 1
