@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from postloom.llm import (
     capfilters,
+    collocations,
     covering,
     hashtree,
     line_sql,
     mixing,
     paragraphs,
+    phrase_sql,
     piecebpe,
     prefixfree,
     supervision,
@@ -132,3 +134,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cut = prefixfree.remove_repeats(_table(spark, folder, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query("op13_collocations", phrase_sql.COLLOCATIONS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"))
