@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from postloom.llm import (
     capfilters,
+    chat_sql,
+    chatwindows,
     collocations,
     covering,
     hashtree,
@@ -20,6 +22,7 @@ from postloom.llm import (
     phrase_sql,
     piecebpe,
     prefixfree,
+    repair,
     supervision,
     templates,
     warc,
@@ -136,6 +139,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@_query("op11_parallel_viterbi")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    return repair.summary(repair.damaged(rows), rows)
+
+
+@_query("op12_budgeted_windows", chat_sql.WINDOWS)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return chatwindows.digests(chatwindows.with_control_strings(_table(spark, folder, "conversations")))
+
+
 @_query("op13_collocations", phrase_sql.COLLOCATIONS)
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(_table(spark, folder, "documents"))
