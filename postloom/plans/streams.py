@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from postloom.operators.analytics import count_rows
 from postloom.plans.registry import Source, query
 from postloom.session import shared_folder
-from postloom.streaming import ingest, usage
+from postloom.streaming import ingest, lateness, usage
 
 BATCHES = 4
 
@@ -24,6 +25,23 @@ def _land(s: Source, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
     return root, ingest.landed(s.spark, f"{root}/landed", rows.schema, per_batch)
 
 
+def _landings(rows: DataFrame, root: str) -> Iterator[int]:
+    """Land the rows one ``landing`` after the other; what happens in between is up to the caller."""
+    for landing in range(BATCHES):
+        rows.where(F.col("landing") == landing).drop("landing").write.mode("append").parquet(f"{root}/landed")
+        yield landing
+
+
+def _admitted(s: Source, rows: DataFrame, name: str, ts: str, delay: str) -> Iterator[tuple[str, DataFrame]]:
+    """After every landing: the folder, and the stream of the rows that came in time."""
+    root = f"{shared_folder(s.spark)}/{name}-{uuid.uuid4().hex}"
+    kind = rows.drop("landing").schema
+    for _ in _landings(rows, root):
+        stream = ingest.landed(s.spark, f"{root}/landed", kind)
+        lateness.admit(stream, root, f"{root}/admit-checkpoint", ts, delay).awaitTermination()
+        yield root, lateness.on_time(s.spark, root, kind)
+
+
 @query(
     "stream_ingest",
     """SELECT job_url, owning_user, count(*) AS stored FROM (
@@ -35,16 +53,25 @@ def _land(s: Source, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
 def stream_ingest(s: Source) -> DataFrame:
     incoming = s.view("incoming_postings")
     root, stream = _land(s, incoming, "ingest")
-    ingest.open_sink(s.spark, f"{root}/store", incoming.schema)
+    # few buckets, as each is a folder and the batches are small
     job = ingest.ingest(
         stream, f"{root}/store", f"{root}/checkpoint", [F.asc("arrival_id")], ["chef"],
-        base=s.view("job_details"),
+        base=s.view("job_details"), buckets=8,
     )
     job.awaitTermination()
-    stored = s.spark.read.parquet(f"{root}/store").where(F.col("batch") >= 0)
+    stored = ingest.stored(s.spark, f"{root}/store", incoming.schema)
     return stored.groupBy("job_url", "owning_user").agg(count_rows().alias("stored"))
 
 
+def _in_time(view: str, ts: str, delay: str) -> str:
+    """The rows of a landed view, and whether they are late."""
+    return f"""SELECT l.*, coalesce({ts} <= m.due, false) AS late FROM <<{view}>> l JOIN (
+      SELECT landing, max(newest) OVER (ORDER BY landing ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL {delay} AS due
+      FROM (SELECT landing, max({ts}) AS newest FROM <<{view}>> GROUP BY landing) n) m ON l.landing = m.landing"""
+
+
+_DELAY = "2 days"
+_CALLS = _in_time("landed_usage", "log_ts", "2 DAY")
 _SUMS = """count(*) AS call_count, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
   CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,
   CAST(sum(cache_hit_tokens) AS BIGINT) AS cache_hit_tokens, CAST(sum(cache_miss_tokens) AS BIGINT) AS cache_miss_tokens,
@@ -52,29 +79,74 @@ _SUMS = """count(*) AS call_count, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_
 
 
 def _calls(s: Source) -> DataFrame:
-    return s.view("llm_usage_log").withColumn("timestamp", F.col("log_ts").cast("timestamp"))
+    return s.view("landed_usage").withColumn("timestamp", F.col("log_ts").cast("timestamp"))
 
 
 @query(
     "stream_usage",
-    f"SELECT run_id, call_type, {_SUMS} FROM <<llm_usage_log>> GROUP BY run_id, call_type",
+    f"SELECT run_id, call_type, {_SUMS} FROM ({_CALLS}) c WHERE NOT late GROUP BY run_id, call_type",
 )
 def stream_usage(s: Source) -> DataFrame:
-    root, stream = _land(s, _calls(s), "usage")
-    # files hold mixed times, so the delay covers the whole log and no row is late
-    totals = usage.running_usage(stream, delay="400 days")
-    usage.write_updates(totals, f"{root}/totals", f"{root}/checkpoint").awaitTermination()
-    return usage.current_totals(s.spark, f"{root}/totals")
+    """Running totals: updates of daily windows, whose state goes with the watermark."""
+    for root, stream in _admitted(s, _calls(s), "usage", "timestamp", _DELAY):
+        totals = usage.windowed_usage(stream, delay=_DELAY, width="1 day")
+        usage.write_updates(totals, f"{root}/totals", f"{root}/checkpoint").awaitTermination()
+    return usage.run_totals(usage.current_totals(s.spark, f"{root}/totals", totals.schema))
 
 
 @query(
     "stream_hourly_usage",
-    f"""SELECT date_trunc('hour', log_ts) AS window_start, run_id, call_type, {_SUMS}
-    FROM <<llm_usage_log>> GROUP BY ALL""",
+    f"""SELECT date_trunc('hour', log_ts) AS window_start, run_id, call_type, {_SUMS} FROM ({_CALLS}) c
+    WHERE NOT late AND date_trunc('hour', log_ts) + INTERVAL 1 HOUR <= (SELECT max(log_ts) FROM <<landed_usage>>) - INTERVAL 2 DAY
+    GROUP BY ALL""",
 )
 def stream_hourly_usage(s: Source) -> DataFrame:
-    root, stream = _land(s, _calls(s), "hourly")
-    totals = usage.hourly_usage(stream, delay="400 days")
-    usage.write_updates(totals, f"{root}/totals", f"{root}/checkpoint").awaitTermination()
-    keys = ["window_start", "run_id", "call_type"]
-    return usage.current_totals(s.spark, f"{root}/totals", keys).drop("window_end")
+    """Windows that are closed, each written once."""
+    for root, stream in _admitted(s, _calls(s), "hourly", "timestamp", _DELAY):
+        windows = usage.windowed_usage(stream, delay=_DELAY)
+        usage.write_closed(windows, f"{root}/closed", f"{root}/checkpoint").awaitTermination()
+    return s.spark.read.schema(windows.schema).parquet(f"{root}/closed").drop("window_end")
+
+
+@query(
+    "stream_late_usage",
+    f"""SELECT landing AS batch, run_id, count(*) AS late_calls, CAST(sum(total_tokens) AS BIGINT) AS total_tokens
+    FROM ({_CALLS}) c WHERE late GROUP BY landing, run_id""",
+)
+def stream_late_usage(s: Source) -> DataFrame:
+    """What came too late, from the side output."""
+    calls = _calls(s)
+    for root, _ in _admitted(s, calls, "late", "timestamp", _DELAY):
+        pass
+    late = lateness.late(s.spark, root, calls.drop("landing").schema)
+    return late.groupBy("batch", "run_id").agg(
+        count_rows().alias("late_calls"), F.sum("total_tokens").cast("bigint").alias("total_tokens")
+    )
+
+
+_POSTS = _in_time("landed_postings", "CAST(date_posted AS TIMESTAMP)", "60 DAY")
+
+
+@query(
+    "stream_distinct",
+    f"""WITH least AS (SELECT job_url, owning_user, landing, min(arrival_id) AS arrival_id FROM ({_POSTS}) p WHERE NOT late GROUP BY ALL),
+    kept AS (SELECT *, coalesce(arrival_id < min(arrival_id) OVER (PARTITION BY job_url, owning_user ORDER BY landing
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS change FROM least)
+    SELECT job_url, owning_user, min(arrival_id) AS arrival_id, count(*) FILTER (WHERE change) - 1 AS corrections
+    FROM kept GROUP BY job_url, owning_user""",
+)
+def stream_distinct(s: Source) -> DataFrame:
+    """The first posting of every url and owner; one that comes late with a smaller number corrects it."""
+    ingest.use_rocksdb(s.spark)
+    posts = s.view("landed_postings").withColumn("landed_at", F.col("date_posted").cast("timestamp"))
+    for root, stream in _admitted(s, posts, "distinct", "landed_at", "60 days"):
+        changes = ingest.first_postings(stream, "landed_at", keep_ms=20 * 366 * 86_400_000, delay="60 days")
+        job = (
+            changes.writeStream.format("parquet").option("path", f"{root}/changes").outputMode("append")
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        )
+        job.awaitTermination()
+    found = s.spark.read.schema(changes.schema).parquet(f"{root}/changes")
+    return found.groupBy("job_url", "owning_user").agg(
+        F.min("arrival_id").alias("arrival_id"), F.count("replaces").alias("corrections")
+    )

@@ -231,3 +231,31 @@ SELECT o_orderkey AS id,
             WHEN 2 THEN '$' || CAST(o_custkey AS STRING) || '/yr' WHEN 3 THEN 'n/a' ELSE '-' || CAST(o_custkey % 1000 AS STRING) || '.5' END AS amount
 FROM <<orders>>
 """
+
+# the month's calls in four landings, some one or two landings late
+VIEWS["landed_usage"] = """
+SELECT u.*, least(3, CASE WHEN extract(DAY FROM log_ts) <= 8 THEN 0 WHEN extract(DAY FROM log_ts) <= 16 THEN 1
+         WHEN extract(DAY FROM log_ts) <= 24 THEN 2 ELSE 3 END + CASE id % 19 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS landing
+FROM <<llm_usage_log>> u
+"""
+
+# the years' arrivals likewise; a url is found again and again, by smaller arrival numbers too
+VIEWS["landed_postings"] = """
+SELECT i.*, least(3, CASE WHEN extract(YEAR FROM date_posted) <= 1996 THEN 0 WHEN extract(YEAR FROM date_posted) <= 1998 THEN 1
+         WHEN extract(YEAR FROM date_posted) <= 2000 THEN 2 ELSE 3 END + CASE WHEN arrival_id % 7 = 0 THEN 1 ELSE 0 END) AS landing
+FROM <<incoming_postings>> i
+"""
+
+# the tables after a feed of edits, deletes and new rows
+VIEWS["changed_jobs"] = """
+SELECT id, owning_user, site, search_term, CASE WHEN id % 5 = 0 THEN 'high' ELSE title_compatibility_score END AS title_compatibility_score,
+       CASE WHEN id % 5 = 0 THEN 'saved' WHEN id % 7 = 0 THEN 'not_reviewed' ELSE review_status END AS review_status
+FROM <<job_details>> WHERE id % 13 <> 0
+UNION ALL SELECT -id, owning_user, 'newsite', 'kafka', 'high', 'not_reviewed' FROM <<job_details>> WHERE id % 17 = 0
+"""
+
+VIEWS["changed_usage"] = """
+SELECT id, log_ts, run_id, call_type, prompt_tokens, completion_tokens, total_tokens, cache_hit_tokens, cache_miss_tokens
+FROM <<llm_usage_log>> WHERE id % 9 <> 0
+UNION ALL SELECT -id, log_ts - INTERVAL 1 HOUR, run_id, call_type, 1, 1, 2, 0, 0 FROM <<llm_usage_log>> WHERE id % 23 = 0
+"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,20 +34,22 @@ def local_session(cores: int | str = "*", partitions: int = 8, **extra: str) ->
     return spark
 
 
+@lru_cache(maxsize=1)
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="postloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints.
 
-    A folder of this machine is used only when the session names none and runs in local mode; on a
-    cluster every executor must be able to reach it.
+    Only a session in local mode may name none; it has a folder of its own then, which all its tasks reach.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="postloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def cut_lineage(df: DataFrame, name: str = "rows") -> DataFrame:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from postloom.operators import ingest as ig
 from postloom.operators import titles as ti
+from postloom.streaming import parts
+
+#: Buckets of the stored keys. It is a property of a sink: a sink with keys keeps the number it began with.
+BUCKETS = 256
+_KEYS = T.StructType([*(T.StructField(k, T.StringType()) for k in ig.POSTING_KEY), T.StructField("bucket", T.IntegerType())])
 
 
 def landed(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
@@ -19,17 +24,36 @@ def landed(spark: SparkSession, path: str, schema: T.StructType, files_per_batch
     )
 
 
-def _batch_path(sink: str, batch: int) -> str:
-    return f"{sink.rstrip('/')}/batch={batch}"
+# --- the sink -----------------------------------------------------------------------------------
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*ig.POSTING_KEY), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _keys(rows: DataFrame, buckets: int) -> DataFrame:
+    return rows.select(*[F.col(k).cast("string").alias(k) for k in ig.POSTING_KEY], _bucket(buckets))
 
 
-def open_sink(spark: SparkSession, sink: str, schema: T.StructType) -> None:
-    """Make sure the sink can be read before its first batch: part -1 has the columns and no rows."""
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(_batch_path(sink, -1))
+def open_sink(spark: SparkSession, path: str, base: DataFrame | None = None, buckets: int = BUCKETS) -> None:
+    """Put the keys of a store from before the stream into the sink's buckets, once."""
+    if base is not None and not parts.live(spark, f"{path}/keys"):
+        parts.write(_keys(base, buckets).distinct(), f"{path}/keys", 0, by="bucket")
 
 
-def stored_before(spark: SparkSession, sink: str, batch: int) -> DataFrame:
-    return spark.read.parquet(sink).where(F.col("batch") < batch)
+def held_keys(spark: SparkSession, path: str, asked: DataFrame, batch: int, buckets: int = BUCKETS) -> DataFrame:
+    """Keys stored before a batch, from the buckets alone that the asked keys fall into.
+
+    The asked keys' buckets, ``buckets`` numbers at most, are found first; the others' files are not read.
+    """
+    wanted = [r["bucket"] for r in _keys(asked, buckets).select("bucket").distinct().collect()]
+    stored = parts.read(spark, f"{path}/keys", _KEYS, before=batch + 1)
+    return stored.where(F.col("bucket").isin(wanted)).drop("part_to")
+
+
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The postings that a stream has saved."""
+    return parts.read(spark, f"{path}/rows", schema).drop("part_to")
 
 
 def ingest(
@@ -40,27 +64,21 @@ def ingest(
     reject_words: Sequence[str] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     base: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Save the new postings of every landed batch and stop when all files are done.
 
-    A batch is compared with the parts below its own number and replaces its own part, so a batch
-    that is run again after a failure neither sees its first attempt nor adds to it. The comparison
-    reads only the key columns of the store. ``base`` is a store from before the stream began; it is
-    read where it is, not copied.
+    A batch is compared with the keys of earlier batches, of the buckets only that its own keys fall into, and
+    replaces its own parts of rows and keys: run again after a failure, it neither sees its first attempt nor adds to
+    it. Parts of earlier batches are merged before a batch is written. ``base`` is a store from before the stream
+    began; its keys are bucketed once, its rows stay where they are.
     """
     words = F.array(*[F.lit(w) for w in reject_words]) if reject_words else None
+    kind = stream.schema if prepare is None else prepare(stream.sparkSession.createDataFrame([], stream.schema)).schema
+    open_sink(stream.sparkSession, sink, base, buckets)
 
     def save(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        if prepare is not None:
-            rows = prepare(rows)
-        if words is not None:
-            rows = ti.drop_rejected(rows, words)
-        held = stored_before(spark, sink, batch).select(*ig.POSTING_KEY)
-        if base is not None:
-            held = held.unionByName(base.select(*ig.POSTING_KEY))
-        fresh = ig.new_postings(rows, held, *order)
-        fresh.write.mode("overwrite").parquet(_batch_path(sink, batch))
+        save_batch(rows if prepare is None else prepare(rows), sink, batch, order, words, kind, buckets)
 
     return (
         stream.writeStream.foreachBatch(save)
@@ -70,6 +88,90 @@ def ingest(
     )
 
 
+def save_batch(
+    rows: DataFrame,
+    sink: str,
+    batch: int,
+    order: Sequence[Column],
+    words: Column | None = None,
+    kind: T.StructType | None = None,
+    buckets: int = BUCKETS,
+) -> None:
+    """Save the new postings of one batch; see ``ingest``. Part 0 of the keys is the store from before."""
+    spark, kind = rows.sparkSession, kind or rows.schema
+    if words is not None:
+        rows = ti.drop_rejected(rows, words)
+    parts.merge(spark, f"{sink}/keys", _KEYS, batch + 1, by="bucket")
+    parts.merge(spark, f"{sink}/rows", kind, batch)
+    fresh = ig.new_postings(rows, held_keys(spark, sink, rows, batch, buckets), *order)
+    parts.write(fresh, f"{sink}/rows", batch)
+    written = spark.read.schema(kind).parquet(parts.path_of(f"{sink}/rows", (batch, batch)))
+    parts.write(_keys(written, buckets), f"{sink}/keys", batch + 1, by="bucket")
+
+
+# --- the stateful form ----------------------------------------------------------------------------
+
+
+class KeepFirst(StatefulProcessor):
+    """The posting of smallest arrival for each key, corrected when a smaller one comes later.
+
+    A key's state is its smallest arrival and when it was last seen. A timer set ``keep`` after that, in event time,
+    takes the state away; the key is new when it is seen again.
+    """
+
+    def __init__(self, columns: Sequence[str], arrival: str, ts: str, keep_ms: int) -> None:
+        self.columns, self.arrival, self.ts, self.keep_ms = list(columns), arrival, ts, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "arrival bigint, seen_ms bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        first, seen = None, 0
+        for row in rows:
+            seen = max(seen, int(row[self.ts].timestamp() * 1000))
+            if first is None or row[self.arrival] < first[self.arrival]:
+                first = row
+        before = self.held.get() if self.held.exists() else None
+        least, last = (None, None) if before is None else (before[0], before[1])
+        if last is None or seen > last:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(seen + self.keep_ms)
+        smaller = least is None or first[self.arrival] < least
+        self.held.update((first[self.arrival] if smaller else least, seen if last is None else max(seen, last)))
+        if smaller:
+            yield Row(**{c: first[c] for c in self.columns}, replaces=least)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def first_postings(stream: DataFrame, ts: str, keep_ms: int, delay: str, arrival: str = "arrival_id") -> DataFrame:
+    """Changes that keep the first posting of every url and owner: the stream's columns and ``replaces``.
+
+    ``replaces`` is the arrival that a row takes the place of, null for a key that was not known. State is one small
+    row for each key seen within ``keep_ms`` of event time. Rows later than ``delay`` are dropped by Spark; put
+    ``lateness.admit`` before, and they are counted. Needs the RocksDB state store (``use_rocksdb``).
+    """
+    kind = T.StructType([*stream.schema.fields, T.StructField("replaces", T.LongType())])
+    processor = KeepFirst(stream.columns, arrival, ts, keep_ms)
+    keyed = stream.withWatermark(ts, delay).groupBy(*ig.POSTING_KEY)
+    return keyed.transformWithState(processor, kind, "append", "EventTime")
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State with timers is kept in RocksDB; a setting of the session, read when a stream starts."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+
+
 def distinct_stream(stream: DataFrame, ts: str, delay: str = "1 day") -> DataFrame:
-    """Stateful form: the first of equal keys within the delay. A key seen longer ago passes again."""
+    """The first to come of equal keys within the delay. A key seen longer ago passes again."""
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(ig.POSTING_KEY))
