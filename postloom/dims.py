@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from postloom import fixed_values as fv
 
@@ -39,5 +38,5 @@ def resume_sections(spark: SparkSession) -> DataFrame:
 
 
 def with_dimension(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:
-    """Left join to one of the fixed tables above; they are always small enough to broadcast."""
-    return df.join(F.broadcast(dim), df[key] == dim[dim_key], "left").drop(dim[dim_key])
+    """Left join to one of the tables above; the planner sends it to all tasks by its own size check."""
+    return df.join(dim, df[key] == dim[dim_key], "left").drop(dim[dim_key])

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import json
+import uuid
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from postloom.functions.dates import day, first_token_date
 from postloom.functions.expr import is_blank, let, strip
 from postloom.functions.results import map_text
 from postloom.functions.text import redact, remove_pii
+from postloom.operators.ledger import answers, content_key
 from postloom.operators.ranking import keep_first
+from postloom.session import shared_folder
 
 PostingScorer = Callable[[str], tuple[str, dict]]
 
@@ -136,23 +139,22 @@ def prompt_parts(prompt: Column | str) -> Column:
 # --- scoring ----------------------------------------------------------------------------------------
 
 
-def score_postings(prompts: DataFrame, scorer: PostingScorer) -> DataFrame:
-    """Answers of the caller's scorer: ``(id, answer, usage)``. It may be slow, so rows are spread."""
+def score_postings(prompts: DataFrame, scorer: PostingScorer, ledger: str | None = None, batch: int = 20) -> DataFrame:
+    """Answers of the caller's scorer: ``(id, answer, usage)``. It may be slow, so prompts are spread.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers = [scorer(p) for p in frame["prompt"]]
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"],
-                    "answer": [a for a, _ in answers],
-                    "usage": [u or {} for _, u in answers],
-                }
-            )
+    Equal prompts are asked once. Answers are written to the ``ledger`` (a shared folder) after every ``batch``, so a task
+    that is retried asks only for what is missing there.
+    """
 
-    return prompts.select("id", "prompt").repartition("id").mapInPandas(
-        run, "id long, answer string, usage map<string,long>"
-    )
+    def ask(rows: list[dict]) -> list[str]:
+        return [json.dumps([answer, usage or {}]) for answer, usage in (scorer(r["prompt"]) for r in rows)]
+
+    folder = ledger or f"{shared_folder(prompts.sparkSession)}/ledger-{uuid.uuid4().hex}"
+    keyed = prompts.select("id", "prompt", content_key("prompt").alias("key"))
+    told = answers(keyed.select("key", "prompt"), ask, folder, batch)
+    pair = F.from_json(F.concat(F.lit('{"x":'), "answer", F.lit("}")), "x array<string>")["x"]
+    found = told.select("key", pair[0].alias("answer"), F.from_json(pair[1], "map<string,bigint>").alias("usage"))
+    return keyed.select("id", "key").join(found, "key").select("id", "answer", "usage")
 
 
 def check_answers(answers: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def audit_rows(profiles: DataFrame, sections: DataFrame) -> DataFrame:
             F.from_json("_e.value", schemas.CATEGORY_SCORE).alias("_c"),
         )
         .where(F.coalesce("_c.score", "_c.analysis").isNotNull())
-        .join(F.broadcast(sections), "category")
+        .join(sections, "category")
         .withColumn("score", F.coalesce("_c.score", F.lit(0)))
         .withColumn("analysis", F.coalesce("_c.analysis", F.lit("")))
         .withColumn("band", results.audit_band("score"))

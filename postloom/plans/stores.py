@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.operators import scoring
+from postloom.operators import ledger, ranking, scoring
 from postloom.plans.registry import Source, query
 from postloom.session import shared_folder
 from postloom.sources import exports, pages, tables
@@ -96,3 +96,41 @@ def posting_scores(s: Source) -> DataFrame:
     prompts = s.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))
     scored = scoring.score_postings(prompts, _measure)
     return scored.select("id", "answer", F.col("usage")["total_tokens"].alias("total_tokens"))
+
+
+@query(
+    "scores_resumed",
+    """SELECT doc_id AS id, '{"n":' || CAST(len(text) AS VARCHAR) || '}' AS answer, CAST(1 AS BIGINT) AS asked FROM <<documents>>""",
+)
+def scores_resumed(s: Source) -> DataFrame:
+    """Scoring that was broken off and began again: every text is asked about once, and the ledger says so."""
+    folder = _folder(s, "ledger")
+    prompts = s.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))
+    # the first attempt got as far as the texts of some languages
+    scoring.score_postings(prompts.join(s.table("documents").where("lang <> 'en'").select(F.col("doc_id").alias("id")), "id"), _measure, folder).count()
+    scored = scoring.score_postings(prompts, _measure, folder)
+    asked = ledger.entries(s.spark, folder).groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
+    keyed = prompts.select("id", ledger.content_key("prompt").alias("key")).join(asked, "key")
+    return scored.select("id", "answer").join(keyed.select("id", "asked"), "id")
+
+
+@query(
+    "newest_documents",
+    """SELECT CAST(item_id AS VARCHAR) AS item, item_id % 2 = 0 AS landed_last,
+      count(*) FILTER (WHERE item_id % 2 = 0) OVER () AS landed FROM <<benchmark>>""",
+)
+def newest_documents(s: Source) -> DataFrame:
+    """Files landed in two steps, newest first; the newest résumé is one of the second step."""
+    path = _folder(s, "newest")
+    items = s.table("benchmark").select("item_id", "text")
+    for odd in (1, 0):
+        items.where(F.col("item_id") % 2 == odd).write.mode("append").partitionBy("item_id").text(path)
+    item = F.regexp_extract("path", "item_id=([0-9]+)", 1)
+    listed = ranking.places(tables.files_newest_first(s.spark, path)).select(item.alias("item"), "place")
+    last = items.where("item_id % 2 = 0").select(F.count(F.lit(1)).alias("landed"))
+    newest = tables.newest_resume(s.spark, path).select((item.cast("long") % 2 == 0).alias("of_second"))
+    # both are one row
+    landed, of_second = last.first()[0], newest.first()[0]
+    return listed.select(
+        "item", ((F.col("place") < landed) & F.lit(of_second)).alias("landed_last"), F.lit(landed).cast("long").alias("landed")
+    )
