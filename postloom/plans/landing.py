@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom import schemas
 from postloom.functions import text
 from postloom.operators import postings as po
+from postloom.operators.run import Run, ingest_run
 from postloom.plans.registry import Source, query
 from postloom.session import shared_folder
-from postloom.sources import boards, exports, pages, payloads
+from postloom.sources import boards, exports, pages, payloads, runs
 
 AS_OF = "2001-08-01"
 _DAY_MS = 86400000
@@ -429,6 +431,84 @@ def unified_postings(s: Source) -> DataFrame:
     )
 
 
+# every payload is landed for two owners, who so share its urls
+_OWNED = """SELECT 2 * p.payload_id + o.n AS payload_id, {columns} CASE o.n WHEN 0 THEN 'ann' ELSE 'bob' END AS owning_user,
+  'term' AS search_term, 'run-1' AS run_id, p.payload FROM ({rows}) p LATERAL VIEW explode(array(0, 1)) o AS n"""
+_SAVED = f"""SELECT owning_user, site, job_url, title, CASE WHEN length(title) % 2 = 0 THEN 'high' ELSE 'low' END AS score
+  FROM (SELECT 'indeed' AS site, job_url, title FROM ({_INDEED_ROWS}) i
+    UNION ALL SELECT 'workday', CASE WHEN c_custkey % 5 = 0 THEN 'https://ext.example.com/' || CAST(c_custkey AS VARCHAR)
+      ELSE 'https://w.example.com/job/' || CAST(c_custkey AS VARCHAR) END, 'Title ' || CAST(c_nationkey AS VARCHAR) FROM <<customer>>) b,
+    (VALUES ('ann'), ('bob')) o(owning_user) WHERE owning_user = 'ann' OR NOT contains(lower(title), 'title 2')"""
+
+
+def _by_length(titles: list[str], role: str) -> list[dict[str, str]]:
+    return [{"job_title": t, "score": "low" if len(t) % 2 else "high"} for t in titles]
+
+
+def _landed_run(s: Source, root: str, number: int) -> DataFrame:
+    """One attempt of a run over what two boards landed; returns its record."""
+    landed = {
+        "indeed": (s.sql(_OWNED.format(columns="", rows=_INDEED)),),
+        "workday": (
+            s.sql(_OWNED.format(columns="p.base_url, p.company_name,", rows=_WORKDAY_LIST)), s.sql(_WORKDAY_DETAIL),
+        ),
+    }
+    profiles = s.spark.sql(
+        """SELECT * FROM VALUES ('p', 'ann', 1, 'Engineer', array('')), ('p', 'bob', 1, 'Engineer', array('title 2'))
+        AS t(profile_name, owning_user, is_default, desired_role_description, reject_job_titles)"""
+    )
+    none = {t: s.spark.createDataFrame([], schemas.STORE[n]) for t, n in (("cache", "title_score_cache"), ("stored", "job_details"))}
+    logs = s.spark.sql(
+        """SELECT 1L AS id, 'run-1' AS run_id, 'indeed' AS scraper, 'term' AS search_term, 0 AS jobs_found, true AS success
+        UNION ALL SELECT 2L, 'run-1', 'workday', 'term', 0, true"""
+    )
+
+    def work() -> Run:
+        incoming = po.with_arrivals(boards.flatten_all(landed))
+        store = runs.postings(s.spark, root, number, none["stored"])
+        cache = runs.newest(s.spark, root, number, "cache", none["cache"])
+        return ingest_run(incoming, store, profiles, cache, runs.newest(s.spark, root, number, "logs", logs), _by_length, AS_OF)
+
+    return runs.save(s.spark, root, number, work)
+
+
+@query("landed_to_saved", f"SELECT *, 1 AS copies FROM ({_SAVED}) v")
+def landed_to_saved(s: Source) -> DataFrame:
+    """Two boards, two owners: a run, the same run again, and a later run over the same payloads."""
+    root = f"{shared_folder(s.spark)}/runs-{uuid.uuid4().hex}"
+    for number in (0, 0, 1):
+        _landed_run(s, root, number)
+    saved = runs.postings(s.spark, root, 2)
+    keys = ["owning_user", "site", "job_url"]
+    return saved.groupBy(*keys).agg(
+        F.min("title").alias("title"), F.min("title_compatibility_score").alias("score"), F.count(F.lit(1)).cast("int").alias("copies")
+    )
+
+
+@query(
+    "landed_counts",
+    f"""WITH saved AS ({_SAVED})
+    SELECT 0 AS run, count(*) AS saved, CAST(0 AS BIGINT) AS already_stored, count(*) FILTER (WHERE site = 'indeed') AS indeed_found,
+      count(*) FILTER (WHERE site = 'workday') AS workday_found FROM saved
+    UNION ALL SELECT 1, 0, count(*), count(*) FILTER (WHERE site = 'indeed'), count(*) FILTER (WHERE site = 'workday') FROM saved""",
+)
+def landed_counts(s: Source) -> DataFrame:
+    """The records of the runs of ``landed_to_saved``, and the scrape logs after each; one that saves nothing leaves them."""
+    root = f"{shared_folder(s.spark)}/runs-{uuid.uuid4().hex}"
+    first, again, later = (_landed_run(s, root, number) for number in (0, 0, 1))
+    records = first.unionByName(again).distinct().unionByName(later).select("run", "saved", "already_stored")
+    found = [
+        runs.newest(s.spark, root, n + 1, "logs", s.spark.createDataFrame([], "scraper string, jobs_found int")).select(
+            F.lit(n).alias("run"), "scraper", F.col("jobs_found").cast("long").alias("jobs_found")
+        )
+        for n in (0, 1)
+    ]
+    logs = found[0].unionByName(found[1]).groupBy("run").agg(
+        *[F.sum(F.when(F.col("scraper") == b, F.col("jobs_found"))).alias(f"{b}_found") for b in ("indeed", "workday")]
+    )
+    return records.join(logs, "run")
+
+
 @query(
     "export_rows",
     """SELECT title, company, job_url AS url, strftime(date_posted, '%Y-%m-%d') AS date_posted, location,
