@@ -20,6 +20,7 @@ from postloom.functions.text import clearance_flag
 from postloom.operators.ingest import next_ids
 from postloom.operators.keys import absent
 from postloom.operators.ranking import keep_first
+from postloom.session import cut_lineage
 
 Rule = Callable[[Column, Column], Column]
 
@@ -126,17 +127,69 @@ def upsert_users(users: DataFrame, changes: DataFrame, order: Sequence[Column])
     )
 
 
-def upsert_profiles(profiles: DataFrame, changes: DataFrame, order: Sequence[Column]) -> DataFrame:
-    return apply_changes(profiles, changes, ["owning_user", "profile_name"], order)
+PROFILE = ["owning_user", "profile_name"]
+
+
+def _dated(changes: DataFrame, table: DataFrame, as_of: Column | str | None) -> DataFrame:
+    """The changes with the day they are made on, where the table has a column for it."""
+    there = as_of is not None and "date_updated" in table.columns
+    return changes.withColumn("date_updated", day(as_of).cast(table.schema["date_updated"].dataType)) if there else changes
+
+
+def upsert_profiles(
+    profiles: DataFrame, changes: DataFrame, order: Sequence[Column], as_of: Column | str | None = None
+) -> DataFrame:
+    """Changed and new profiles; ``date_updated`` is set where the table has it and ``as_of`` is given."""
+    return apply_changes(profiles, _dated(changes, profiles, as_of), PROFILE, order)
+
+
+def accepted_renames(profiles: DataFrame, forms: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``owning_user``, ``profile_name`` and ``new_name`` of the renames that can be done.
+
+    Of several forms for a profile the first in ``order`` counts. A new name must be free once all renames of the batch
+    are done: not that of a profile which stays, and of several that want one the first by its old name gets it.
+    """
+    asked = latest(forms.where(~is_blank("new_name")), PROFILE, *order).select(*PROFILE, "new_name")
+    known = asked.join(profiles.select(*PROFILE), PROFILE, "left_semi").where(F.col("new_name") != F.col("profile_name"))
+    done = cut_lineage(keep_first(known, ["owning_user", "new_name"], F.asc("profile_name")).select(*PROFILE, "new_name"), "renames")
+    left = done.count()
+    # a profile whose rename is refused keeps a name that another may have asked for, so this goes on to the chain's end
+    while True:
+        staying = profiles.select(*PROFILE).join(done, PROFILE, "left_anti")
+        taken = staying.select("owning_user", F.col("profile_name").alias("new_name"))
+        done = cut_lineage(done.join(taken, ["owning_user", "new_name"], "left_anti").select(*PROFILE, "new_name"), "renames")
+        before, left = left, done.count()
+        if left == before:
+            return done
+
+
+def edit_profiles(
+    profiles: DataFrame, forms: DataFrame, order: Sequence[Column], as_of: Column | str
+) -> tuple[DataFrame, DataFrame]:
+    """Profiles after edit forms, and the renames among them (``accepted_renames``).
+
+    A form names its profile and states every field it has, ``new_name`` among them. Where a new name is not free the
+    profile keeps its own and the other fields are taken. A profile that gave its name away to another is no clash.
+    """
+    edited = apply_changes(
+        profiles, _dated(forms.drop("new_name"), profiles, as_of), PROFILE, order, default=take_new, insert=False
+    )
+    renames = accepted_renames(profiles, forms, order)
+    return renamed(edited, renames), renames
+
+
+def renamed(rows: DataFrame, renames: DataFrame) -> DataFrame:
+    """Rows of any table that name a profile, with its new name."""
+    name = F.coalesce("new_name", "profile_name").alias("profile_name")
+    joined = rows.join(renames, PROFILE, "left")
+    return joined.select(*[name if c == "profile_name" else F.col(c) for c in rows.columns])
 
 
 def upsert_configs(
     configs: DataFrame, changes: DataFrame, order: Sequence[Column], as_of: Column | str | None = None
 ) -> DataFrame:
     """Changed and new configurations; ``date_updated`` is set where the table has it and ``as_of`` is given."""
-    if as_of is not None and "date_updated" in configs.columns:
-        changes = changes.withColumn("date_updated", day(as_of))
-    return apply_changes(configs, changes, ["config_key", "owning_user"], order)
+    return apply_changes(configs, _dated(changes, configs, as_of), ["config_key", "owning_user"], order)
 
 
 def upsert_cache(cache: DataFrame, rows: DataFrame, order: Sequence[Column]) -> DataFrame:

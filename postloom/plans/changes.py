@@ -64,18 +64,24 @@ def upsert_configs(s: Source) -> DataFrame:
 
 @query(
     "upsert_profiles",
-    """SELECT p.profile_name, p.owning_user, CASE WHEN c_acctbal > 5000 THEN 'new resume' ELSE p.resume END AS resume, p.location
-    FROM <<job_profiles>> p JOIN <<customer>> c ON p.profile_name = c.c_name
-    UNION ALL SELECT c_name || ' copy', c_mktsegment, 'new resume', NULL FROM <<customer>> WHERE c_acctbal > 5000""",
+    """SELECT profile_name, owning_user, CASE WHEN is_default = 1 THEN resume ELSE 'new resume' END AS resume, location,
+      CASE WHEN is_default = 1 THEN DATE '2024-01-01' ELSE DATE '2024-02-01' END AS date_updated FROM <<job_profiles>>
+    UNION ALL SELECT c_name || ' copy', c_mktsegment, 'new resume', NULL, DATE '2024-02-01' FROM <<customer>>
+    UNION ALL SELECT profile_name || ' other', owning_user, 'new resume', NULL, DATE '2024-02-01' FROM <<job_profiles>> WHERE is_default = 1""",
 )
 def upsert_profiles(s: Source) -> DataFrame:
-    profiles = s.view("job_profiles").select("profile_name", "owning_user", "resume", "location")
-    rich = s.table("customer").where("c_acctbal > 5000").select(
-        F.explode(F.array(F.col("c_name"), F.concat("c_name", F.lit(" copy")))).alias("profile_name"),
-        F.col("c_mktsegment").alias("owning_user"),
+    """Every profile is sent in, those of defaults under a name that is new, and a copy of each."""
+    held = s.view("job_profiles")
+    profiles = held.select(
+        "profile_name", "owning_user", "resume", "location", F.lit("2024-01-01").cast("date").alias("date_updated")
+    )
+    name = F.when(F.col("is_default") == 1, F.concat("profile_name", F.lit(" other"))).otherwise(F.col("profile_name"))
+    sent = held.select(
+        F.explode(F.array(name, F.concat("profile_name", F.lit(" copy")))).alias("profile_name"),
+        "owning_user",
         F.lit("new resume").alias("resume"),
     )
-    return ch.upsert_profiles(profiles, _twice(rich, "resume"), [F.desc("version")])
+    return ch.upsert_profiles(profiles, _twice(sent, "resume"), [F.desc("version")], "2024-02-01")
 
 
 _FRESH = """SELECT owning_user, 'role 1' AS role_normalized, lower(title) AS title_normalized, 'low' AS score
@@ -321,9 +327,11 @@ def backfill_clearance(s: Source) -> DataFrame:
     FROM <<job_details>>""",
 )
 def fill_missing_scores(s: Source) -> DataFrame:
+    """Scores of all titles; those without the word are of owners who have no postings."""
     jobs = s.view("job_details")
-    found = ti.unique_titles(ti.without_score(jobs), "owning_user").where(F.col("title").contains("Data"))
-    scores = found.withColumn(
+    found = ti.unique_titles(ti.without_score(jobs), "owning_user")
+    owner = F.when(F.col("title").contains("Data"), F.col("owning_user")).otherwise(F.concat(F.lit("former "), "owning_user"))
+    scores = found.withColumn("owning_user", owner).withColumn(
         "role", F.explode(F.array(F.struct(F.lit("a").alias("desired_role"), F.lit("high").alias("score")),
                                   F.struct(F.lit("b").alias("desired_role"), F.lit("low").alias("score"))))
     ).select("owning_user", "title", "role.*")
