@@ -34,6 +34,12 @@ def posted_since(date_range: str | None, as_of: dt.date | str | Column) -> Colum
     return None if days is None else F.col("date_posted") >= F.date_sub(day(as_of), days)
 
 
+def by_date_range(postings: DataFrame, as_of: dt.date | str | Column) -> DataFrame:
+    """Postings once for each range word whose range they are in, as ``date_range``."""
+    words = [F.when(posted_since(w, as_of), F.lit(w)) for w in fv.DATE_RANGE_DAYS]
+    return postings.withColumn("date_range", F.explode(F.array_compact(F.array(*words))))
+
+
 def search_postings(
     postings: DataFrame,
     owner: str,

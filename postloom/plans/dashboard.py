@@ -9,7 +9,7 @@ from postloom import fixed_values as fv
 from postloom.operators import analytics as an
 from postloom.operators import postings as po
 from postloom.operators import search as se
-from postloom.operators.ranking import board_slice
+from postloom.operators.ranking import board_slice, places
 from postloom.plans.registry import Source, query
 
 OWNER = "FURNITURE"
@@ -43,6 +43,14 @@ def keyword_quality(s: Source) -> DataFrame:
     return an.keyword_quality(s.view("job_details"), OWNER)
 
 
+@query(
+    "keyword_quality_order",
+    f"SELECT *, row_number() OVER (ORDER BY high_compat DESC, total DESC, keyword) - 1 AS place FROM ({_QUALITY}) q",
+)
+def keyword_quality_order(s: Source) -> DataFrame:
+    return places(an.keyword_quality(s.view("job_details"), OWNER))
+
+
 @query(
     "keyword_quality_by_owner",
     f"""SELECT owning_user, search_term AS keyword, {_TIERS} FROM <<job_details>>
@@ -164,9 +172,9 @@ _BY_RUN = """SELECT run_id, min(log_ts) AS started_at, count(*) AS call_count,
 FROM <<llm_usage_log>> WHERE call_type = 'title_scoring' GROUP BY run_id"""
 
 
-@query("usage_by_run", _BY_RUN)
+@query("usage_by_run", f"SELECT *, row_number() OVER (ORDER BY started_at, run_id) - 1 AS place FROM ({_BY_RUN}) r")
 def usage_by_run(s: Source) -> DataFrame:
-    return an.usage_by_run(s.view("llm_usage_log"), "title_scoring", "log_ts")
+    return places(an.usage_by_run(s.view("llm_usage_log"), "title_scoring", "log_ts"))
 
 
 def _series_sql(value: str) -> str:
@@ -242,13 +250,8 @@ def search_company_keyword(s: Source) -> DataFrame:
     ),
 )
 def search_date_ranges(s: Source) -> DataFrame:
-    jobs = s.view("job_details")
-    out = None
-    for word in fv.DATE_RANGE_DAYS:
-        found = se.search_postings(jobs, OWNER, AS_OF, date_range=word)
-        one = found.withColumn("date_range", F.lit(word))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All ranges in one scan: a posting is in every range that reaches back to it."""
+    return se.by_date_range(s.view("job_details").where(F.col("owning_user") == OWNER), AS_OF)
 
 
 @query(
@@ -302,9 +305,13 @@ def open_applications(s: Source) -> DataFrame:
     )
 
 
-@query("status_timeline", "SELECT * FROM <<applied_job_status_history>>")
+@query(
+    "status_timeline",
+    """SELECT *, row_number() OVER (ORDER BY applied_job_id, changed_at DESC NULLS LAST, id DESC) - 1 AS place
+    FROM <<applied_job_status_history>>""",
+)
 def status_timeline(s: Source) -> DataFrame:
-    return se.status_timeline(s.view("applied_job_status_history"))
+    return places(se.status_timeline(s.view("applied_job_status_history")))
 
 
 def _page_sql(source: str, order: str, number: int) -> str:
@@ -365,10 +372,11 @@ def page_summary(s: Source) -> DataFrame:
 
 @query(
     "result_order",
-    """SELECT id, job_url, site, date_posted FROM <<job_details>>""",
+    """SELECT id, job_url, site, date_posted,
+    row_number() OVER (ORDER BY site NULLS FIRST, date_posted DESC NULLS LAST, job_url) - 1 AS place FROM <<job_details>>""",
 )
 def result_order(s: Source) -> DataFrame:
-    return po.result_order(s.view("job_details").select("id", "job_url", "site", "date_posted"))
+    return places(po.result_order(s.view("job_details").select("id", "job_url", "site", "date_posted")))
 
 
 @query(
@@ -399,20 +407,24 @@ def key_lookup(s: Source) -> DataFrame:
     return se.lookup(s.view("job_details"), id=42, owning_user=OWNER)
 
 
-@query("local_users", "SELECT * FROM <<users>> WHERE auth_provider = 'local'")
+@query(
+    "local_users",
+    """SELECT *, row_number() OVER (ORDER BY display_name NULLS FIRST, username) - 1 AS place
+    FROM <<users>> WHERE auth_provider = 'local'""",
+)
 def local_users(s: Source) -> DataFrame:
-    return se.lookup(s.view("users"), auth_provider="local").orderBy("display_name", "username")
+    return places(se.lookup(s.view("users"), auth_provider="local").orderBy("display_name", "username"))
 
 
 @query(
     "listing_columns",
-    "SELECT username, display_name, email FROM <<users>>",
+    """SELECT username, display_name, email, row_number() OVER (ORDER BY display_name NULLS FIRST, username) - 1 AS place
+    FROM <<users>>""",
 )
 def listing_columns(s: Source) -> DataFrame:
     users = s.view("users").withColumn("picture_blob", F.encode("picture_url", "UTF-8"))
-    return se.without_blobs(users).select("username", "display_name", "email").orderBy(
-        "display_name", "username"
-    )
+    listed = se.without_blobs(users).select("username", "display_name", "email")
+    return places(listed.orderBy("display_name", "username"))
 
 
 @query(

@@ -196,8 +196,10 @@ def stored_rows(s: Source) -> DataFrame:
     )
 
 
-_SAVED = """SELECT run_id, search_term, scraper, CAST(sum(jobs_found) % 97 AS BIGINT) AS saved
-FROM <<scraping_logs>> WHERE scraper <> 'workday' AND search_term <> 'nurse' GROUP BY run_id, search_term, scraper"""
+# counts of a board and a term that the logs do not have go to no row
+_SAVED = """SELECT run_id, CASE search_term WHEN 'nurse' THEN 'doctor' ELSE search_term END AS search_term,
+  CASE scraper WHEN 'workday' THEN 'monster' ELSE scraper END AS scraper, CAST(sum(jobs_found) % 97 AS BIGINT) AS saved
+FROM <<scraping_logs>> GROUP BY 1, 2, 3"""
 
 
 @query(
@@ -214,7 +216,8 @@ FROM <<scraping_logs>> WHERE scraper <> 'workday' AND search_term <> 'nurse' GRO
 def reconcile_logs(s: Source) -> DataFrame:
     saved = (
         s.view("scraping_logs")
-        .where((F.col("scraper") != "workday") & (F.col("search_term") != "nurse"))
+        .replace({"workday": "monster"}, subset=["scraper"])
+        .replace({"nurse": "doctor"}, subset=["search_term"])
         .groupBy("run_id", "search_term", "scraper")
         .agg((F.sum("jobs_found") % 97).cast("bigint").alias("saved"))
     )

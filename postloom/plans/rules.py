@@ -437,7 +437,9 @@ def job_sources(s: Source) -> DataFrame:
     """SELECT page_id, regexp_replace(url, '\\?[^#]*', '') AS without_query,
     nullif(regexp_extract(url, '[?&]page=([^&#]+)', 1), '') AS page_no,
     regexp_extract(url, '^([a-z]+)://', 1) || '://' || regexp_extract(url, '://([^/?#]*)', 1) AS base_url,
-    CASE WHEN contains(url, 'workday') THEN 'workday' ELSE 'generic' END AS route FROM <<pages>>""",
+    CASE WHEN contains(url, 'workday') THEN 'workday' ELSE 'generic' END AS route,
+    regexp_extract(url, '^([a-z]+)://', 1) || '://' || regexp_extract(url, '://([^/?#]*)', 1) || '/wday/cxs/'
+      || split_part(regexp_extract(url, '://([^/?#]*)', 1), '.', 1) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS workday_api FROM <<pages>>""",
 )
 def url_facts(s: Source) -> DataFrame:
     return s.table("pages").select(
@@ -446,6 +448,7 @@ def url_facts(s: Source) -> DataFrame:
         urls.first_param("url", "page").alias("page_no"),
         urls.base_url(F.col("url")).alias("base_url"),
         urls.download_route("url").alias("route"),
+        urls.workday_api_url("url").alias("workday_api"),
     )
 
 
@@ -556,14 +559,28 @@ def config_conflicts(s: Source) -> DataFrame:
 
 @query(
     "config_forms",
-    """SELECT s_suppkey, '{"company_name":"' || s_name || '","base_url":"https://a.example.com","siteNumber":"CX_' || CAST(s_nationkey AS VARCHAR)
-    || '","radius":' || CAST(s_nationkey AS VARCHAR) || ',"sortBy":"RELEVANCY"}' AS config_json FROM <<supplier>>""",
+    """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 4 THEN CASE WHEN s_nationkey % 2 = 0 THEN '{"kept":1}' ELSE '{}' END ELSE
+      '{"company_name":"' || s_name || '","base_url":"https://a.example.com"' || CASE s_suppkey % 5
+        WHEN 0 THEN ',"siteNumber":"CX_' || CAST(s_nationkey AS VARCHAR) || '","radius":' || CAST(s_nationkey AS VARCHAR) || ',"sortBy":"RELEVANCY"'
+        WHEN 1 THEN ',"tenant_site":"CX_' || CAST(s_nationkey AS VARCHAR) || '"' || CASE WHEN s_nationkey % 3 = 0 THEN ',"search_params":{"q":["x"]}' ELSE '' END
+        WHEN 2 THEN ',"domain":"CX_' || CAST(s_nationkey AS VARCHAR) || '"' || CASE WHEN s_nationkey % 3 = 0 THEN ',"q":["x"]' ELSE '' END
+        ELSE ',"l":["Reston, VA","Paris"]' || CASE WHEN s_nationkey % 3 = 0 THEN ',"q":["x"]' ELSE '' END END || '}' END AS config_json FROM <<supplier>>""",
 )
 def config_forms(s: Source) -> DataFrame:
-    nation = F.col("s_nationkey").cast("string")
+    """All five kinds of form, with blank fields and JSON that is none."""
+    nation, kind = F.col("s_nationkey").cast("string"), F.col("s_suppkey") % 5
+    more = F.when(F.col("s_nationkey") % 3 == 0, '{"q":["x"]}').when(F.col("s_nationkey") % 3 == 1, "{bad").otherwise("  ")
+    kinds = F.array(*[F.lit(k) for k in ("oraclecloud", "workday", "eightfold", "usajobs", "google")])
     forms = s.table("supplier").select(
         "s_suppkey",
-        F.lit("oraclecloud").alias("config_type"),
+        F.get(kinds, kind.cast("int")).alias("config_type"),
+        F.concat(F.lit("CX_"), nation).alias("tenant_site"),
+        more.alias("search_params"),
+        F.concat(F.lit("CX_"), nation).alias("domain"),
+        F.lit(" ").alias("location"),
+        more.alias("extra_params"),
+        F.lit(" Reston, VA\n\n  Paris \n").alias("usajobs_l"),
+        F.when(F.col("s_nationkey") % 2 == 0, '{"kept":1}').otherwise("").alias("config_json"),
         F.col("s_name").alias("company_name"),
         F.lit("https://a.example.com").alias("base_url"),
         F.concat(F.lit("CX_"), nation).alias("siteNumber"),
