@@ -46,9 +46,10 @@ def remove_pii(c: Column | str) -> Column:
         return F.concat(masked, F.lit("\n"), rest)
 
     text = F.when(col(c) == "", F.lit("")).otherwise(let(lines, rejoin))
+    # an address has no line break, so only the lines with its sign are searched for one
+    text = let(text, lambda t: F.when(t.contains("@"), _in_lines(t, "@", _PII_EMAIL, f"$1{fv.PII_EMAIL_TEXT}")).otherwise(t))
     # each pattern needs one of these marks, and finding a mark is far cheaper than a failed match
     for marks, pattern, mask in (
-        (["@"], _PII_EMAIL, f"$1{fv.PII_EMAIL_TEXT}"),
         ([], fv.PII_PHONE_PATTERN, fv.PII_PHONE_TEXT),
         (["<a"], fv.PII_ANCHOR_PATTERN, "$1"),
         (["http", "www"], fv.PII_URL_PATTERN, fv.PII_URL_TEXT),
@@ -57,6 +58,13 @@ def remove_pii(c: Column | str) -> Column:
     return text
 
 
+def _in_lines(text: Column, mark: str, pattern: str, mask: str) -> Column:
+    def line(t: Column) -> Column:
+        return F.when(t.contains(mark), F.regexp_replace(t, pattern, mask)).otherwise(t)
+
+    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+
+
 def _replace_where(text: Column, marks: list[str], pattern: str, mask: str) -> Column:
     if not marks:
         return F.regexp_replace(text, pattern, mask)

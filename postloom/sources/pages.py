@@ -130,18 +130,13 @@ def routed_description(pages: DataFrame) -> DataFrame:
 # --- card lists ----------------------------------------------------------------------------------------
 
 
-def _cards(pages: DataFrame, pick: Column) -> DataFrame:
-    """One row per card with the elements inside it."""
-    return (
-        with_elements(pages)
-        .withColumn("_cards", pick)
-        .select(
-            "payload_id", *[c for c in SEARCH if c in pages.columns], "html", "_els",
-            F.posexplode("_cards").alias("_pos", "_card"),
-        )
-        .withColumn("_in", m.within(F.col("_els"), F.col("_card")))
-        .drop("_els")
+def _cards(pages: DataFrame, options: list[m.Selector], picks: list[m.Pick]) -> DataFrame:
+    """One row per card with its place in the page and what is picked of it; neither page nor elements go along."""
+    found = pages.select(
+        "payload_id", *[c for c in SEARCH if c in pages.columns], m.cards("html", options, picks).alias("_found")
     )
+    there = [c for c in found.columns if c != "_found"]
+    return found.select(*there, F.posexplode("_found").alias("_pos", "_card")).select(*there, "_pos", "_card.*")
 
 
 def _search(df: DataFrame) -> list[str]:
@@ -164,50 +159,35 @@ def _landed(pages: DataFrame) -> Column:
     return (F.col("payload_id") if there else F.lit(0)).cast("long").alias("_landed")
 
 
+# fixed values: tags, classes and attributes of the boards' cards
+
+_LINKEDIN_COMPANY = (("h4", "class", "word", "base-search-card__subtitle"), ("a", None, "", ""))
+_LINKEDIN_META = ("div", "class", "word", "base-search-card__metadata")
+_LINKEDIN_CARD = [
+    m.Pick({"href": "@href"}, ((("a", "class", "word", "base-card__full-link"),),)),
+    m.Pick({"title": "inner"}, ((("span", "class", "word", "sr-only"),),)),
+    m.Pick({"company": "inner", "company_href": "@href"}, (_LINKEDIN_COMPANY,)),
+    m.Pick({"place": "inner"}, ((_LINKEDIN_META, ("span", "class", "word", "job-search-card__location")),)),
+    m.Pick({"day": "@datetime"}, ((_LINKEDIN_META, ("time", "class", "word", "job-search-card__listdate")),)),
+    m.Pick({"salary": "inner"}, ((("span", "class", "word", "job-search-card__salary-info"),),)),
+]
+
+
 def linkedin_cards(pages: DataFrame) -> DataFrame:
     """Cards of search pages; the id is the last dash part of the link."""
-    html, inside = F.col("html"), F.col("_in")
-    els = F.col("_els")
-    cards = _cards(pages, m.select(els, m.is_tag("div"), m.has("class", "word", "base-search-card")))
-    href = F.split_part(
-        m.first_attr(inside, "href", m.is_tag("a"), m.has("class", "word", "base-card__full-link")),
-        F.lit("?"), F.lit(1),
-    )
-    subtitle = m.first(inside, m.is_tag("h4"), m.has("class", "word", "base-search-card__subtitle"))
-    meta = m.first(inside, m.is_tag("div"), m.has("class", "word", "base-search-card__metadata"))
-    staged = (
-        cards.withColumn("job_id", F.element_at(F.split(href, "-"), -1))
-        .where(F.col("job_id").isNotNull())
-        .withColumn("_company", m.first(m.within(inside, subtitle), m.is_tag("a")))
-        .withColumn("_meta", m.within(inside, meta))
-    )
-    company, around = F.col("_company"), F.col("_meta")
-    staged = staged.withColumn(
-        "_text",
-        m.texts(
-            html,
-            m.first(inside, m.is_tag("span"), m.has("class", "word", "sr-only")),
-            company,
-            m.first(around, m.is_tag("span"), m.has("class", "word", "job-search-card__location")),
-            m.first(inside, m.is_tag("span"), m.has("class", "word", "job-search-card__salary-info")),
-        ),
-    )
-    title, company_name, place, salary = (F.get("_text", F.lit(i)) for i in range(4))
+    cards = _cards(pages, [("div", "class", "word", "base-search-card")], _LINKEDIN_CARD)
+    href = F.split_part("href", F.lit("?"), F.lit(1))
+    staged = cards.withColumn("job_id", F.element_at(F.split(href, "-"), -1)).where(F.col("job_id").isNotNull())
     rows = staged.select(
         *_search(staged),
         *ARRIVAL,
         "job_id",
-        F.coalesce(title, F.lit("N/A")).alias("title"),
-        F.coalesce(company_name, F.lit("N/A")).alias("company_name"),
-        F.coalesce(urls.drop_query(m.attr(company, "href")), F.lit("")).alias("company_url"),
-        place.alias("location_text"),
-        dates.plain_date(
-            m.first_attr(
-                around, "datetime", m.is_tag("time"),
-                m.has("class", "word", "job-search-card__listdate"),
-            )
-        ).alias("date_posted"),
-        salary.alias("salary_text"),
+        F.coalesce(text.html_to_text("title"), F.lit("N/A")).alias("title"),
+        F.coalesce(text.html_to_text("company"), F.lit("N/A")).alias("company_name"),
+        F.coalesce(urls.drop_query("company_href"), F.lit("")).alias("company_url"),
+        text.html_to_text("place").alias("location_text"),
+        dates.plain_date("day").alias("date_posted"),
+        text.html_to_text("salary").alias("salary_text"),
     )
     return _distinct(rows, "job_id")
 
@@ -287,51 +267,43 @@ def linkedin(cards: DataFrame, details: DataFrame, base_url: str = fv.LINKEDIN_B
     )
 
 
+# fixed values: tags, classes and attributes of the boards' cards
+
+
+def _marked(name: str, tag: str | None = None) -> tuple[m.Selector, ...]:
+    return ((tag, "data-testid", "equals", name),)
+
+
+_ZIP_OPTIONS = [
+    ("article", "id", "starts", "job-card-"),
+    ("article", "data-job-id", "present", ""),
+    (None, "class", "word", "job_result_two_pane_v2"),
+    (None, "class", "word", "job_result"),
+]
+_ZIP_LINKS = (
+    _marked("job-title", "a"),
+    (("h2", None, "", ""), ("a", None, "", "")),
+    ((None, "class", "word", "job_link"), ("a", None, "", "")),
+    (("a", "class", "word", "title"),),
+)
+_ZIP_COMPANY = (_marked("job-card-company", "a"), _marked("job-card-company"), (("a", "href", "contains", "/co/"),))
+_ZIP_CARD = [
+    m.Pick({"own_id": "@id", "own_job_id": "@data-job-id"}),
+    m.Pick({"link": "inner", "href": "@href"}, _ZIP_LINKS, earliest=True),
+    m.Pick({"heading": "inner"}, ((("h2", None, "", ""),),)),
+    m.Pick({"company": "inner"}, _ZIP_COMPANY),
+    m.Pick({"place": "inner"}, (_marked("job-card-location", "a"), _marked("job-card-location"))),
+    m.Pick({"paragraphs": "inner"}, ((("p", None, "", ""),),), every=True),
+]
+
+
 def zip_cards(pages: DataFrame) -> DataFrame:
     """Cards of list pages: the first selector that finds any is used for the page.
 
     A card repeats one of its page that has the same id; cards without an id repeat nothing.
     """
-    html, els, inside, card = F.col("html"), F.col("_els"), F.col("_in"), F.col("_card")
-    options = [
-        m.select(els, m.is_tag("article"), m.has("id", "starts", "job-card-")),
-        m.select(els, m.is_tag("article"), m.has("data-job-id", "present")),
-        m.select(els, m.has("class", "word", "job_result_two_pane_v2")),
-        m.select(els, m.has("class", "word", "job_result")),
-    ]
-    pick = F.coalesce(*[F.when(F.size(o) > 0, o) for o in options])
-    card_id = F.coalesce(m.attr(card, "id"), m.attr(card, "data-job-id"), F.lit(""))
-    staged = _cards(pages, pick).withColumn("card_id", card_id)
-
-    def marked(name: str) -> m.Test:
-        return m.has("data-testid", "equals", name)
-
-    def inner(outer: Column, *tests: m.Test) -> Column:
-        return m.first(m.within(inside, outer), *tests)
-
-    h2 = m.first(inside, m.is_tag("h2"))
-    links = [
-        m.first(inside, m.is_tag("a"), marked("job-title")),
-        inner(h2, m.is_tag("a")),
-        inner(m.first(inside, m.has("class", "word", "job_link")), m.is_tag("a")),
-        m.first(inside, m.is_tag("a"), m.has("class", "word", "title")),
-    ]
-    by_place = F.array_sort(
-        F.array_compact(F.array(*links)), lambda a, b: a["start"] - b["start"]
-    )
-    staged = staged.withColumn("_link", F.get(by_place, F.lit(0)))
-    link = F.col("_link")
-
-    def choice(*tests: list[m.Test]) -> Column:
-        return F.coalesce(
-            *[m.first_text(html, inside, *t) for t in tests], F.lit("")
-        )
-
-    money = F.filter(
-        F.transform(m.select(inside, m.is_tag("p")), lambda e: m.text_of(html, e)),
-        lambda t: t.startswith("$"),
-    )
-    # the fields go to the exchange, not the page
+    staged = _cards(pages, _ZIP_OPTIONS, _ZIP_CARD).withColumn("card_id", F.coalesce("own_id", "own_job_id", F.lit("")))
+    money = F.filter(F.transform("paragraphs", lambda t: text.html_to_text(t)), lambda t: t.startswith("$"))
     rows = staged.select(
         *_search(staged),
         *ARRIVAL,
@@ -339,20 +311,10 @@ def zip_cards(pages: DataFrame) -> DataFrame:
         F.when(F.col("card_id").startswith("job-card-"), F.replace("card_id", F.lit("job-card-"), F.lit("")))
         .otherwise(F.lit(""))
         .alias("job_id"),
-        F.coalesce(
-            F.when(link.isNotNull(), m.text_of(html, link)),
-            F.when(h2.isNotNull(), m.text_of(html, h2)),
-            F.lit(""),
-        ).alias("title"),
-        _absolute(fv.ZIP_BASE, F.coalesce(m.attr(link, "href"), F.lit(""))).alias("job_url"),
-        choice(
-            [m.is_tag("a"), marked("job-card-company")],
-            [marked("job-card-company")],
-            [m.is_tag("a"), m.has("href", "contains", "/co/")],
-        ).alias("company_name"),
-        choice([m.is_tag("a"), marked("job-card-location")], [marked("job-card-location")]).alias(
-            "location_text"
-        ),
+        F.coalesce(text.html_to_text("link"), text.html_to_text("heading"), F.lit("")).alias("title"),
+        _absolute(fv.ZIP_BASE, F.coalesce("href", F.lit(""))).alias("job_url"),
+        F.coalesce(text.html_to_text("company"), F.lit("")).alias("company_name"),
+        F.coalesce(text.html_to_text("place"), F.lit("")).alias("location_text"),
         F.coalesce(F.get(money, F.lit(0)), F.lit("")).alias("salary_text"),
     ).withColumn("_own", F.when(F.col("card_id") == "", F.col("_pos")).otherwise(-1))
     first = _distinct(rows, "payload_id", "card_id", "_own")
@@ -413,6 +375,8 @@ def zip_recruiter(cards: DataFrame, panes: DataFrame) -> DataFrame:
 
 # --- marriott ------------------------------------------------------------------------------------------
 
+# fixed values: outer tag and class, tag and class of the blocks that may hold the description
+
 _MARRIOTT_BLOCKS = [
     ("section", "job-description", "div", "description"),
     ("div", "job-description-grid", "div", "description"),
@@ -422,32 +386,34 @@ _MARRIOTT_BLOCKS = [
 ]
 
 
-def marriott_cards(pages: DataFrame, base_url: str = fv.MARRIOTT_BASE) -> DataFrame:
-    """List items with a title link."""
-    html, els, inside = F.col("html"), F.col("_els"), F.col("_in")
-    cards = _cards(pages, m.select(els, m.is_tag("li"), m.has("class", "word", "results-list__item")))
-    head = m.first(inside, m.is_tag("h3"), m.has("class", "word", "results-list__item-title"))
-    link = m.first(
-        m.within(inside, head), m.is_tag("a"), m.has("class", "word", "results-list__item-title--link")
-    )
+# fixed values: tags, classes and attributes of the boards' cards
+
+_MARRIOTT_LINK = (
+    ("h3", "class", "word", "results-list__item-title"),
+    ("a", "class", "word", "results-list__item-title--link"),
+)
+_MARRIOTT_CARD = [
+    m.Pick({"title": "inner", "href": "@href"}, (_MARRIOTT_LINK,)),
+    m.Pick({"reference": "inner"}, (((None, "class", "word", "reference"),),)),
+    m.Pick({"owner": "inner"}, (((None, "class", "word", "results-list__item-ownership--label"),),)),
+    m.Pick({"street": "inner"}, (((None, "class", "word", "results-list__item-street--label"),),)),
+]
 
-    def labelled(name: str) -> Column:
-        return m.first_text(html, inside, m.has("class", "word", name))
 
-    staged = cards.withColumn("_link", link).where(F.col("_link").isNotNull())
-    href = m.attr(F.col("_link"), "href")
+def marriott_cards(pages: DataFrame, base_url: str = fv.MARRIOTT_BASE) -> DataFrame:
+    """List items with a title link."""
+    cards = _cards(pages, [("li", "class", "word", "results-list__item")], _MARRIOTT_CARD)
+    staged = cards.where(F.col("title").isNotNull())
     return staged.select(
         *_search(staged),
         *ARRIVAL,
         F.coalesce(
-            nonblank(labelled("reference")), F.get(F.split(href, "/job/"), F.lit(1))
+            nonblank(text.html_to_text("reference")), F.get(F.split("href", "/job/"), F.lit(1))
         ).alias("job_id"),
-        m.text_of(html, F.col("_link")).alias("title"),
-        _absolute(base_url, href).alias("job_url"),
-        F.coalesce(labelled("results-list__item-ownership--label"), F.lit("Marriott")).alias(
-            "company_name"
-        ),
-        labelled("results-list__item-street--label").alias("location_text"),
+        text.html_to_text("title").alias("title"),
+        _absolute(base_url, F.col("href")).alias("job_url"),
+        F.coalesce(text.html_to_text("owner"), F.lit("Marriott")).alias("company_name"),
+        text.html_to_text("street").alias("location_text"),
     )
 
 
