@@ -18,11 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +34,10 @@ WINDOW = 8
 #: A boundary about every 2 ^ RARE bytes; strings without one use boundaries about every 2 ^ DENSE bytes.
 RARE, DENSE = 6, 3
 FACTORS = {RARE: 0x9E3779B97F4A7C15, DENSE: 0xC2B2AE3D27D4EB4F}
+#: Bases of the polynomials that cores and contexts are hashed by.
+BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
+#: Bytes of texts that are parsed together.
+PART = 1 << 18
 #: Starts of a context lie within this many bytes, so its strings share a core of the length less this.
 STEP = 100
 #: Contexts of a core that are sorted in one piece; a cell has two pieces at most.
@@ -42,76 +46,142 @@ CHUNK = 2048
 MOST_BITS = 1 << 28
 
 
-def boundaries(data: np.ndarray, rare: int) -> np.ndarray:
-    """Phrase boundaries: ends of the windows whose hash begins with ``rare`` zero bits."""
-    count = len(data) - WINDOW + 1
-    if count < 1:
-        return np.empty(0, dtype=np.int64)
-    word = np.zeros(count, dtype=np.uint64)
-    for k in range(WINDOW):
-        word |= data[k : k + count].astype(np.uint64) << np.uint64(8 * k)
-    return np.flatnonzero((word * np.uint64(FACTORS[rare])) >> np.uint64(64 - rare) == 0) + WINDOW
+@lru_cache(maxsize=1)
+def _tables(size: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """A number for each byte, and for both polynomials the powers of their bases and of the inverses modulo 2^64."""
+    numbers = np.random.default_rng(8).integers(1, 1 << 63, 256, dtype=np.uint64)
 
+    def powers(base: int) -> np.ndarray:
+        factors = np.full(size, base, dtype=np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors, dtype=np.uint64)
 
-def contexts(data: bytes, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Core hash, context hash, first start and number of starts of every context of a text.
+    return numbers, [(powers(b), powers(pow(b, -1, 1 << 64))) for b in BASES]
+
+
+class _Sums:
+    """Prefix sums of the two polynomials of a text, from which the hash of any stretch follows at once.
+
+    A text longer than ``PART`` bytes is summed in parts of that size, which overlap by another.
+    """
+
+    def __init__(self, raw: np.ndarray) -> None:
+        self.raw, self.made = raw, {}
+
+    def _part(self, which: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        if (which, k) not in self.made:
+            if len(self.made) > 8:
+                self.made.clear()
+            part = self.raw[k * PART : (k + 2) * PART]
+            numbers, powers = _tables(2 * PART)
+            sums = np.zeros(len(part) + 1, dtype=np.uint64)
+            np.cumsum(numbers[part] * powers[which][0][: len(part)], out=sums[1:])
+            self.made[which, k] = sums, powers[which][1]
+        return self.made[which, k]
+
+    def hashes(self, which: int, start: np.ndarray, end: np.ndarray, mark: np.ndarray | int) -> np.ndarray:
+        out = np.empty(len(start), dtype=np.uint64)
+        at = start // PART
+        for k in np.unique(at).tolist():
+            sums, inverse = self._part(which, k)
+            here = slice(None) if len(self.raw) <= PART else at == k
+            s, e = start[here] - k * PART, end[here] - k * PART
+            out[here] = (sums[e] - sums[s]) * inverse[s]
+        return mixed(out ^ mixed(np.atleast_1d(np.asarray(mark, dtype=np.uint64)))).view(np.int64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def boundaries(raw: np.ndarray, rare: int, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase boundaries (ends of the windows whose hash begins with ``rare`` zero bits) and the texts they are in."""
+    found = [np.empty(0, dtype=np.int64)]
+    for a in range(0, len(raw) - WINDOW + 1, PART):
+        part = raw[a : a + PART + WINDOW - 1]
+        word = np.ndarray(len(part) - WINDOW + 1, dtype="<u8", buffer=part.data, strides=(1,)).copy()
+        found.append(np.flatnonzero((word * np.uint64(FACTORS[rare])) >> np.uint64(64 - rare) == 0) + a)
+    start = np.concatenate(found)
+    text = np.searchsorted(first, start, side="right") - 1
+    inside = start + WINDOW <= end[text]
+    return start[inside] + WINDOW, text[inside]
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an array of texts without nulls in one run, and where each begins, with the end of the last."""
+    texts = texts.cast(pa.binary()).cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.empty(0, dtype=np.uint8)
+    return raw[edges[0] : edges[-1]], edges - edges[0]
+
+
+def parse(raw: np.ndarray, edges: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Core hash, context hash, text, first start and number of starts of every context of some texts.
 
     A string's boundary is the first one at least a window after its start, if it ends within the string;
-    its place depends on the string alone. Strings without any boundary are contexts of their own.
+    its place depends on the string alone. Strings without any boundary are contexts of their own. The texts are
+    parsed as one run of bytes, in which nothing crosses the end of a text.
     """
-    raw = np.frombuffer(data, dtype=np.uint8)
-    last = len(raw) - length
-    if last < 0:
-        return
-    rare = boundaries(raw, RARE)
-    before = np.concatenate((np.array([-1 << 40]), rare[:-1])) if len(rare) else rare
-    low = np.maximum(np.maximum(before - WINDOW + 1, 0), rare - length)
-    high = np.minimum(rare - WINDOW, last)
-    held = low <= high
-    low, high, at = low[held], high[held], rare[held]
-    yield from _split(data, low, high, at, length, 0)
-
-    # starts that no context holds: gaps between the ranges, which come in order
-    edges_low = np.concatenate(([0], high + 1))
-    edges_high = np.concatenate((low - 1, [last]))
-    gaps = [np.arange(a, b + 1) for a, b in zip(edges_low, edges_high, strict=True) if a <= b]
-    if not gaps:
-        return
-    starts = np.concatenate(gaps)
-    dense = np.append(boundaries(raw, DENSE), 1 << 40)
-    at = dense[np.searchsorted(dense, starts + WINDOW)]
-    bare = at > starts + length
-    for start in starts[bare].tolist():
-        string = data[start : start + length]
-        yield _signed(xxhash.xxh3_64_intdigest(string, 1)), _signed(xxhash.xxh3_64_intdigest(string, 2)), start, 1
-    starts, at = starts[~bare], at[~bare]
-    if len(starts):
-        cut = np.flatnonzero((at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
-        firsts, lasts = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(starts) - 1]))
-        yield from _split(data, starts[firsts], starts[lasts], at[firsts], length, 1)
-
-
-def _split(data: bytes, low, high, at, length: int, level: int) -> Iterator[tuple[int, int, int, int]]:
-    digest = xxhash.xxh3_64_intdigest
-    for step in range(length // STEP + 1):
-        near = np.maximum(at - high, step * STEP)
-        far = np.minimum(at - low, step * STEP + STEP - 1)
-        held = near <= far
-        mark = 4 + 2 * step + level
-        for a, n, f in zip(at[held].tolist(), near[held].tolist(), far[held].tolist(), strict=True):
-            core = a - step * STEP
-            start, count = a - f, f - n + 1
-            yield (
-                _signed(digest(data[core : core + length - STEP], mark)),
+    first, end = edges[:-1], edges[1:]
+    last = end - length
+    sums, found = _Sums(raw), []
+
+    def split(low, high, at, level: int) -> None:
+        for step in range(length // STEP + 1):
+            near = np.maximum(at - high, step * STEP)
+            far = np.minimum(at - low, step * STEP + STEP - 1)
+            held = near <= far
+            if not held.any():
+                continue
+            here, near, far = at[held], near[held], far[held]
+            core, start, count = here - step * STEP, here - far, far - near + 1
+            mark = 4 + 2 * step + level
+            found.append((
+                sums.hashes(0, core, core + length - STEP, mark),
                 # where the starts stand to the boundary is part of the context
-                _signed(digest(data[start : start + count - 1 + length], (f << 32) + (count << 16) + mark)),
+                sums.hashes(1, start, start + count - 1 + length, (far << 32) + (count << 16) + mark),
                 start,
                 count,
-            )
-
+            ))
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
+    at, text = boundaries(raw, RARE, first, end)
+    before = np.concatenate(([-1], at[:-1]))
+    before[np.concatenate(([True], text[1:] != text[:-1]))[: len(before)]] = -1
+    low = np.maximum(np.maximum(before[: len(at)] - WINDOW + 1, first[text]), at - length)
+    high = np.minimum(at - WINDOW, last[text])
+    held = low <= high
+    low, high, at = low[held], high[held], at[held]
+    split(low, high, at, 0)
+
+    # starts that no context holds
+    valid, taken = np.zeros(len(raw) + 1, dtype=np.int8), np.zeros(len(raw) + 1, dtype=np.int8)
+    whole = last >= first
+    valid[first[whole]] += 1
+    valid[last[whole] + 1] -= 1
+    taken[low] += 1
+    taken[high + 1] -= 1
+    starts = np.flatnonzero((np.cumsum(valid, dtype=np.int8) > 0) & (np.cumsum(taken, dtype=np.int8) == 0))
+    if len(starts):
+        dense = np.append(boundaries(raw, DENSE, first, end)[0], 1 << 60)
+        at = dense[np.searchsorted(dense, starts + WINDOW)]
+        bare = at > starts + length
+        alone = starts[bare]
+        if len(alone):
+            one = np.ones(len(alone), dtype=np.int64)
+            found.append((sums.hashes(0, alone, alone + length, 1), sums.hashes(1, alone, alone + length, 2), alone, one))
+        starts, at = starts[~bare], at[~bare]
+    if len(starts):
+        cut = np.flatnonzero((at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)) + 1
+        firsts, lasts = np.concatenate(([0], cut)), np.concatenate((cut - 1, [len(starts) - 1]))
+        split(starts[firsts], starts[lasts], at[firsts], 1)
+    if not found:
+        return (np.empty(0, dtype=np.int64),) * 5
+    core, context, start, count = (np.concatenate(c) for c in zip(*found, strict=True))
+    text = np.searchsorted(first, start, side="right") - 1
+    return core, context, text, start - first[text], count
 
 
 @dataclass
@@ -142,6 +212,15 @@ def bitmap(keys: DataFrame, key: str) -> Bitmap:
     return Bitmap(bits)
 
 
+def _parts(edges: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes."""
+    at = 0
+    while at < len(edges) - 1:
+        end = max(at + 1, int(np.searchsorted(edges, edges[at] + size, side="right")) - 1)
+        yield at, end
+        at = end
+
+
 _PARSE = pa.schema(
     [("core", pa.int64()), ("context", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("starts", pa.int32())]
 )
@@ -159,22 +238,17 @@ def _parse(docs: DataFrame, length: int, cores: Bitmap | None = None) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = held.value
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text", "text_key")]
-            for doc, text, key in zip(*columns, strict=True):
-                found = list(contexts(text.encode(), length))
-                if not found:
-                    continue
-                core, context, start, starts = (np.array(c) for c in zip(*found, strict=True))
+            raw, edges = bytes_of(batch.column("text"))
+            for a, b in _parts(edges, PART):
+                core, context, text, start, starts = parse(raw[edges[a] : edges[b]], edges[a : b + 1] - edges[a], length)
                 if wanted is not None:
                     kept = wanted.holds(core)
-                    core, context, start, starts = core[kept], context[kept], start[kept], starts[kept]
-                n = len(core)
-                if n:
-                    ids, keys = pa.array([doc] * n, pa.int64()), pa.array(np.full(n, key, dtype=np.int64))
-                    yield pa.record_batch(
-                        [pa.array(core), pa.array(context), ids, keys, pa.array(start, pa.int32()), pa.array(starts, pa.int32())],
-                        schema=_PARSE,
-                    )
+                    core, context, text, start, starts = (c[kept] for c in (core, context, text, start, starts))
+                if len(core):
+                    places = pa.array(text + a)
+                    ids, keys = (batch.column(c).take(places) for c in ("doc_id", "text_key"))
+                    columns = [pa.array(core), pa.array(context), ids, keys, pa.array(start.astype(np.int32)), pa.array(starts.astype(np.int32))]
+                    yield pa.record_batch(columns, schema=_PARSE)
 
     return docs.mapInArrow(run, "core long, context long, doc_id long, text_key long, start int, starts int")
 
@@ -274,21 +348,37 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     )
 
 
-def covered(size: int, spans, length: int) -> np.ndarray:
-    """Which bytes of a text the strings of its spans cover."""
-    change = np.zeros(size + 1, dtype=np.int32)
-    for span in spans:
-        start, only = span["start"], span["only"]
-        if only is None:
-            change[start] += 1
-            change[start + span["starts"] - 1 + length] -= 1
-        else:
-            for k in only:
-                change[start + k] += 1
-                change[start + k + length] -= 1
+def covered(size: int, base: np.ndarray, spans: pa.ListArray, length: int) -> np.ndarray:
+    """Which of ``size`` bytes the strings of the spans cover; the spans of text i count from ``base[i]``."""
+    count = spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = spans.flatten()
+    start = flat.field("start").to_numpy(zero_copy_only=False) + np.repeat(base, count)
+    starts, only = flat.field("starts").to_numpy(zero_copy_only=False), flat.field("only")
+    whole = only.is_null().to_numpy(zero_copy_only=False)
+    some = only.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.repeat(start, some) + only.flatten().to_numpy(zero_copy_only=False)
+    begin = np.concatenate((start[whole], at))
+    end = np.concatenate((start[whole] + starts[whole] - 1 + length, at + length))
+    change = np.bincount(begin.astype(np.int64), minlength=size + 1) - np.bincount(end.astype(np.int64), minlength=size + 1)
     return np.cumsum(change[:-1]) > 0
 
 
+def _cut(batch: pa.RecordBatch, length: int, kind: pa.Schema) -> pa.RecordBatch:
+    """What is left of some texts without the bytes that their spans cover."""
+    raw, edges = bytes_of(batch.column("text"))
+    gone = covered(len(raw), edges[:-1], batch.column("spans"), length)
+    before = np.concatenate(([False], gone[:-1]))
+    before[edges[:-1][edges[:-1] < len(raw)]] = False
+    removed = np.concatenate(([0], np.cumsum(gone)))[edges]
+    runs = np.concatenate(([0], np.cumsum(gone & ~before)))[edges]
+    left = edges - removed
+    kept = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(left.astype(np.int64).tobytes()), pa.py_buffer(raw[~gone].tobytes())]
+    )
+    columns = [batch.column("doc_id"), pa.array(np.diff(edges)), pa.array(np.diff(removed)), pa.array(np.diff(runs)), kept.cast(pa.binary())]
+    return pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=kind)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """One row per document: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (the bytes left).
 
@@ -312,14 +402,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part, out = batch.slice(at, 512), []
-                columns = [part.column(c).to_pylist() for c in ("doc_id", "text", "spans")]
-                for doc, text, spans in zip(*columns, strict=True):
-                    data = np.frombuffer(text.encode(), dtype=np.uint8)
-                    gone = covered(len(data), spans or [], length)
-                    runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    out.append((doc, len(data), int(gone.sum()), runs, data[~gone].tobytes()))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kind.types, strict=True)], schema=kind)
+                yield _cut(batch.slice(at, 512), length, kind)
 
     joined = texts.where(may).join(lists, _same_document("id", "key"), "left").select("doc_id", "text", "spans")
     cut = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from postloom.llm import prefixfree
@@ -57,14 +58,23 @@ def test_equals_brute_force(docs, monkeypatch, length, chunk):
     assert run(docs(rows), length) == slow(rows, length)
 
 
-def test_every_start_is_in_one_context_that_its_string_decides():
+def test_every_start_is_in_one_context_that_its_string_decides(monkeypatch):
     rng = random.Random(2)
     text = words(rng, 900, ["alpha", "be", "gamma", "de"]).encode() + b"a" * 900 + bytes(rng.randrange(97, 123) for _ in range(2000))
-    starts = sorted(s + k for _, _, s, n in prefixfree.contexts(text, 400) for k in range(n))
+    def contexts(*texts, at=0):
+        raw, edges = prefixfree.bytes_of(pa.array(list(texts), pa.binary()))
+        return [(c, s, n) for c, _, t, s, n in zip(*prefixfree.parse(raw, edges, 400), strict=True) if t == at]
+
+    starts = sorted(s + k for _, s, n in contexts(text) for k in range(n))
     assert starts == list(range(len(text) - 399))
-    where = {s + k: core for core, _, s, n in prefixfree.contexts(text, 400) for k in range(n)}
+    where = {s + k: core for core, s, n in contexts(text) for k in range(n)}
     moved = b"other text before it" + text[300:1400] + b"and after"
-    there = {s + k: core for core, _, s, n in prefixfree.contexts(moved, 400) for k in range(n)}
+    # other texts of the run make no difference
+    there = {s + k: core for core, s, n in contexts(text[:500], b"short", moved, text, at=2) for k in range(n)}
+    monkeypatch.setattr(prefixfree, "PART", 1024)
+    prefixfree._tables.cache_clear()
+    assert sorted(contexts(text)) == sorted((where[s], s, n) for _, s, n in contexts(text))
+    prefixfree._tables.cache_clear()
     assert all(there[20 + i] == where[300 + i] for i in range(1100 - 399))
 
 
