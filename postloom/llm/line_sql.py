@@ -11,26 +11,30 @@ parsed AS (
     lambda x: x <> '') AS tokens FROM written),
 masked AS (
   SELECT doc_id, text, line, list_transform(tokens, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
-  FROM parsed WHERE len(tokens) >= 3),
+  FROM parsed WHERE len(tokens) >= 1),
 leafed AS (
-  SELECT *, len(tokens) || ' ' || tokens[1] || ' ' || tokens[2] || ' ' || tokens[3] AS leaf FROM masked),
+  SELECT *, concat_ws(' ', len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM masked),
 fields AS (
   SELECT doc_id, line, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM leafed),
+leaves AS (SELECT leaf, count(*) AS n FROM leafed GROUP BY leaf),
 common AS (
-  SELECT leaf, place, token FROM fields WHERE token <> '<*>' GROUP BY ALL HAVING count(*) >= 5),
+  SELECT f.leaf, f.place, f.token, 100 * count(*) >= 10 * any_value(l.n) AS wide
+  FROM fields f JOIN leaves l ON f.leaf = l.leaf WHERE f.token <> '<*>' GROUP BY f.leaf, f.place, f.token HAVING count(*) >= 5),
 templates AS (
-  SELECT f.doc_id, f.line, string_agg(CASE WHEN c.token IS NULL THEN '<*>' ELSE f.token END, ' ' ORDER BY f.place) AS template,
-    count(c.token) AS constants, count(*) AS n
+  SELECT f.doc_id, f.line, r.rule,
+    string_agg(CASE WHEN c.wide IS NULL OR r.rule = 'wide' AND NOT c.wide THEN '<*>' ELSE f.token END, ' ' ORDER BY f.place) AS template,
+    count(*) FILTER (WHERE c.wide OR r.rule = 'known' AND c.wide IS NOT NULL) AS constants, count(*) AS n
   FROM fields f LEFT JOIN common c ON f.leaf = c.leaf AND f.place = c.place AND f.token = c.token
-  GROUP BY f.doc_id, f.line),
+    CROSS JOIN (VALUES ('known'), ('wide')) r(rule)
+  GROUP BY f.doc_id, f.line, r.rule),
 placed AS (
-  SELECT l.doc_id, l.line, l.text, l.leaf, t.template FROM leafed l JOIN templates t ON l.doc_id = t.doc_id AND l.line = t.line
-  WHERE t.constants >= 0.5 * t.n),
+  SELECT DISTINCT l.doc_id, l.line, l.text, l.leaf, t.template
+  FROM leafed l JOIN templates t ON l.doc_id = t.doc_id AND l.line = t.line WHERE t.constants >= 0.5 * t.n),
 again AS (
   SELECT leaf, template, min(struct_pack(doc_id := doc_id, line := line)) AS first
   FROM placed GROUP BY leaf, template HAVING count(DISTINCT text) >= 5),
 gone AS (
-  SELECT p.doc_id, list(p.line) AS lines FROM placed p JOIN again a ON p.leaf = a.leaf AND p.template = a.template
+  SELECT p.doc_id, list(DISTINCT p.line) AS lines FROM placed p JOIN again a ON p.leaf = a.leaf AND p.template = a.template
   WHERE struct_pack(doc_id := p.doc_id, line := p.line) <> a.first GROUP BY p.doc_id),
 kept AS (
   SELECT w.doc_id, string_agg(w.written, chr(10) ORDER BY w.line) AS text

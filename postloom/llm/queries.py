@@ -98,10 +98,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     marked = templates.with_dropped(_table(spark, folder, "documents"))
     return marked.select(
-        "doc_id",
-        F.size(F.split("text", "\n")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.sha2(templates.cut(F.col("text"), F.col("_dropped")), 256).alias("kept_sha256"),
+        "row.doc_id",
+        F.size(F.split("row.text", "\n")).cast("long").alias("n_lines"),
+        F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(templates.cut(F.col("row.text"), F.col("dropped")), 256).alias("kept_sha256"),
     )
 
 
@@ -136,7 +136,11 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op8_prefix_free_parsing")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     cut = prefixfree.remove_repeats(_table(spark, folder, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # bytes of a character that was cut through are replaced; the digest is of the bytes themselves
+    kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
+    return cut.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), kept
+    )
 
 
 @_query("op11_parallel_viterbi")

@@ -2,8 +2,10 @@
 
 As in a fixed-depth parse tree for logs (Drain, He et al., 2017), a line descends by its token count and
 its leading tokens, tokens with digits standing for any value; lines of one leaf are then generalised
-together: a token that few lines of the leaf have at its place is a variable field. Lines whose
-template recurs across different texts are boilerplate, and all but the first occurrence are dropped.
+together: a token that few lines of the leaf have at its place is a variable field. What is few goes by a
+number and by a share of the leaf, and a line has a template by each: by the share, as the values of a field come
+to many lines when a leaf grows, and by the number, as a template may be rare among the lines of a large leaf. Lines
+of which a template recurs across different texts are boilerplate, and all but the first occurrence are dropped.
 
 Only built-in functions. Leaves are told apart by a 64-bit hash, templates of a leaf by another. Texts
 are read where they lie until the lines of recurring leaves are known; only these are moved.
@@ -43,18 +45,16 @@ def _lines(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
 
 
 def recurring_lines(
-    docs: DataFrame, least_texts: int = 5, depth: int = 3, constant: float = 0.5, least_tokens: int = 3, share: float = 0.0
+    docs: DataFrame, least_texts: int = 5, depth: int = 3, constant: float = 0.5, least_tokens: int = 1, share: int = 10
 ) -> DataFrame:
     """Lines to drop: ``doc_id``, ``text_key`` (hash of the whole text) and ``line`` (number from 0).
 
     A template recurs when ``least_texts`` different texts hold it, so that exact copies of a document do
     not make its lines boilerplate. A token is constant where ``least_texts`` lines of its leaf have it
-    at its place, and a template needs a share ``constant`` of constant tokens; shorter lines than
-    ``least_tokens`` tokens are left alone. The first line of a template by document id stays.
-
-    As a leaf grows, the values of a field come to be in ``least_texts`` lines each and look constant. With a
-    ``share``, a line also has the template of those constants that this share of the leaf's lines hold, and goes
-    if either template recurs; the first line of the wider one stays.
+    at its place, and widely so where ``share`` percent of the leaf's lines do as well; a line has a template of the
+    constants and one of the wide constants, and each needs a share ``constant`` of such tokens. Lines of fewer
+    than ``least_tokens`` tokens are left alone. The first line of a template by document id stays, unless it goes
+    by its other template.
     """
     lines = _lines(docs, depth, least_tokens)
     leaves = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_texts).select("leaf")
@@ -68,11 +68,11 @@ def recurring_lines(
     fields = shapes.select("leaf", "shape", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     common = fields.groupBy("leaf", "place", "token").agg(F.sum("n").alias("lines"))
     common = common.where((F.col("lines") >= least_texts) & (F.col("token") != ANY))
-    if share:
-        whole = shapes.groupBy("leaf").agg(F.sum("n").alias("all"))
-        common = common.join(whole, "leaf").withColumn("wide", F.when(F.col("lines") >= share * F.col("all"), True)).drop("all")
-    held = fields.join(common.drop("lines").withColumn("known", F.lit(True)), ["leaf", "place", "token"], "left")
-    rules = ["known", "wide"] if share else ["known"]
+    whole = shapes.groupBy("leaf").agg(F.sum("n").alias("all"))
+    wide = F.when(100 * F.col("lines") >= share * F.col("all"), True)
+    common = common.join(whole, "leaf").select("leaf", "place", "token", F.lit(True).alias("known"), wide.alias("wide"))
+    held = fields.join(common, ["leaf", "place", "token"], "left")
+    rules = ["known", "wide"]
     named = [F.when(F.col(r), F.col("token")).otherwise(F.lit(ANY)).alias(r) for r in rules]
     forms = held.groupBy("shape", "leaf").agg(
         F.sort_array(F.collect_list(F.struct("place", *named))).alias("fields"), *[F.count(r).alias(f"n_{r}") for r in rules]
@@ -97,18 +97,19 @@ def recurring_lines(
         & (F.col("first.text_key") == F.col("text_key"))
         & (F.col("first.line") == F.col("line"))
     )
-    gone = placed.join(again, ["leaf", "template"]).where(~stays).select("doc_id", "text_key", "line")
-    return gone.distinct() if share else gone
+    return placed.join(again, ["leaf", "template"]).where(~stays).select("doc_id", "text_key", "line").distinct()
 
 
 def with_dropped(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` with ``_dropped``: the numbers of the lines to drop, or null."""
+    """``row`` (a document with all its columns) and ``dropped``: the numbers of the lines to drop, or null.
+
+    Documents are carried whole, so that columns of any name may be there. Repeated rows have the same numbers; rows
+    that share an id are told apart by their text, null or not.
+    """
     gone = recurring_lines(docs, **settings)
-    lists = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.collect_set("line").alias("_dropped")
-    )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    return docs.join(lists, same, "left").drop("_id", "_key")
+    lists = gone.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("line").alias("dropped"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("key"))
+    return rows.join(lists, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left").select("row", "dropped")
 
 
 def cut(text: Column, dropped: Column) -> Column:
@@ -126,4 +127,5 @@ def drop_lines(docs: DataFrame, **settings) -> DataFrame:
     empty. Repeated rows lose the same lines; rows that share an id are told apart by their text. Blank
     lines stay. An empty table gives no rows.
     """
-    return with_dropped(docs, **settings).withColumn("text", cut(F.col("text"), F.col("_dropped"))).drop("_dropped")
+    text = cut(F.col("row.text"), F.col("dropped")).alias("text")
+    return with_dropped(docs, **settings).select(*[text if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
