@@ -36,9 +36,9 @@ from postloom.session import cut_lineage
 DEPTH = 4
 BETWEEN_WORDS, BETWEEN_PIECES = b" \t", b".,;:!?\n\x0b\x0c\r"
 #: Bytes of text hashed in one piece, and words whose suffixes are sorted and sent together.
-PIECE, SLICE = 1 << 18, 1 << 21
+PIECE, SLICE = 1 << 18, 1 << 20
 #: Suffixes of one bucket, and the pointers below which a partition is sorted at once.
-BUCKET, SMALL = 1 << 20, 1 << 13
+BUCKET, SMALL = 1 << 19, 1 << 13
 #: A word is very common from this share of all words on, so there are at most so many of them.
 COMMON = 1024
 
