@@ -32,9 +32,17 @@ class Leaf:
     weight: float = 1.0
 
 
-def tree(shards: int) -> list[Leaf]:
-    """``shards`` shards of equal weight, filled rack by rack, region by region."""
-    return [Leaf(s // (RACK * REGION), s // RACK, s) for s in range(shards)]
+def tree(shards: int, built: int = 8) -> list[Leaf]:
+    """``shards`` shards of equal weight: the first ``built`` rack by rack and region by region, each later one alone.
+
+    A shard added to a region would make it heavier and move rows to its neighbours as well; a region of its own takes
+    rows only into itself, however many have been added before. ``built`` is a number of whole regions.
+    """
+    full = RACK * REGION
+    return [
+        Leaf(s // full, s // RACK, s) if s < built else Leaf(built // full + s - built, built // RACK + s - built, s)
+        for s in range(shards)
+    ]
 
 
 def _draw(key: Column, level: str, node: int, weight: float) -> Column:

@@ -63,3 +63,14 @@ def test_weights_move_rows_only_where_they_change(spark):
 
 def test_empty_table(docs):
     assert hashtree.shard(docs([]), hashtree.tree(8), None).collect() == []
+
+
+def test_one_more_shard_takes_rows_only_into_itself_at_every_count(spark):
+    ids = spark.range(20_000).select("id")
+    counts = range(8, 16)
+    placed = ids.select(*[hashtree.place(F.col("id"), hashtree.tree(n)).alias(f"s{n}") for n in counts]).collect()
+    for n in list(counts)[:-1]:
+        moved = [(r[f"s{n}"], r[f"s{n + 1}"]) for r in placed if r[f"s{n}"] != r[f"s{n + 1}"]]
+        assert {b for _, b in moved} == {n}
+        # from all others alike
+        assert abs(len(moved) / len(placed) - 1 / (n + 1)) < 0.01 and len({a for a, _ in moved}) == n
