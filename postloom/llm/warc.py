@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom.session import cut_lineage
@@ -38,10 +38,14 @@ LEAST_SHARED = 100
 
 @dataclass(frozen=True)
 class Layout:
-    """How files are cut. ``range_bytes`` of payload make a range, with ``least_ranges`` in any case."""
+    """How files are cut. ``range_bytes`` of payload make a range, with ``least_ranges`` in any case.
+
+    Beyond ``most_ranges`` ranges grow, as the driver holds a bound for each; files do not.
+    """
 
     range_bytes: int = 128 << 20
     least_ranges: int = 64
+    most_ranges: int = 1 << 16
     #: Page ids picked for each range; one in so many is a bound.
     picked: int = 8
     #: A file is closed when its compressed size reaches this.
@@ -53,6 +57,20 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark resolves it to, so that archives and tables lie in one store.
+
+    On a cluster a folder of the machine itself is refused unless it is named as such.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if not full.startswith("file:"):
+        return full
+    if path.toUri().getScheme() is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} is a folder of this machine; name one that all executors share")
+    return "file:///" + full.removeprefix("file:").lstrip("/")
+
+
 def _record_id(page_id: int | None, digest: str, number: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{number}')}>"
 
@@ -167,6 +185,7 @@ def write(pages: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame
     smallest page id is the response. Rows without an id are responses unless an id has their payload,
     rows repeated whole are a response and revisits of it. An empty table gives no files.
     """
+    folder = qualified(pages.sparkSession, folder)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256)).withColumn("size", F.octet_length("html").cast("long"))
@@ -211,13 +230,13 @@ def write(pages: DataFrame, folder: str, layout: Layout = Layout()) -> DataFrame
 def _bounds(narrow: DataFrame, layout: Layout) -> list[int]:
     """First page ids of all ranges but the first; ids are picked by a hash, about ``picked`` for a range."""
     facts = narrow.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("page_id")).first()
-    ranges = max(layout.least_ranges, -(-facts[0] // layout.range_bytes))
+    ranges = min(layout.most_ranges, max(layout.least_ranges, -(-facts[0] // layout.range_bytes)))
     share = min(1.0, ranges * layout.picked / max(1, facts[1]))
     limit = int(share * (1 << 30))
     chosen = narrow.where(
         F.col("page_id").isNotNull() & (F.pmod(F.xxhash64("page_id", F.lit("bound")), F.lit(1 << 30)) <= limit)
     )
-    # as many numbers as there are ranges, times a constant
+    # ``most_ranges`` * ``picked`` numbers at most
     ids = sorted({row[0] for row in chosen.select("page_id").distinct().collect()})
     return ids[layout.picked :: layout.picked]
 
@@ -234,7 +253,16 @@ def _commit(manifest: DataFrame, folder: str) -> DataFrame:
                     store.move(f"{root}/{row.temporary}", target)
             yield batch
 
-    return manifest.repartition("file").mapInPandas(run, _MANIFEST)
+    return _spread(manifest).mapInPandas(run, _MANIFEST)
+
+
+def _spread(manifest: DataFrame, piece: int = 64 << 20, least: int = 256) -> DataFrame:
+    """The files in even shares: one for every ``piece`` bytes, and for every file up to ``least``.
+
+    The number is stated, as rows so small would else be taken for one task's work.
+    """
+    files, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return manifest.repartitionByRange(max(1, min(files, max(least, -(-size // piece)))), "file")
 
 
 def _records(stream, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -275,8 +303,10 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
     Columns: ``page_id``, ``url``, ``record_type``, ``payload_bytes`` and ``payload_digest`` (of the full
     payload, for revisits as well), ``refers_to`` (the response's page id of a revisit) and ``payload``
-    (null for revisits).
+    (null for revisits). Files are read side by side, a record at a time. An empty manifest gives no rows, an empty
+    payload an empty one, a missing id a null; equal records stay.
     """
+    folder = qualified(manifest.sparkSession, folder)
     kind = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
          ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())]
@@ -301,7 +331,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
         "page_id long, url string, record_type string, payload_bytes long, payload_digest string, "
         "refers_to long, payload binary"
     )
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    return _spread(manifest).select("file").mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:

@@ -4,6 +4,7 @@ import random
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from postloom.llm import warc
 
@@ -91,3 +92,15 @@ def test_empty_table(pages, tmp_path):
 
 def test_query_equals_sql(spark, folder):
     assert oracle.difference(spark, oracle.connect(folder), "op5_warc_writer", folder) is None
+
+
+def test_files_are_read_and_committed_side_by_side(spark, pages, tmp_path):
+    given = [(i, f"http://e.org/{i}", f"<p>{i}</p>" * 40) for i in range(1200)]
+    manifest = warc.write(pages(given), f"{tmp_path}/many", warc.Layout(least_ranges=300, picked=2, file_bytes=100))
+    assert manifest.count() >= 1000
+    spread = warc.read(manifest, f"{tmp_path}/many").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 200 and sum(r["count"] for r in spread) == 1200 and max(r["count"] for r in spread) < 30
+
+
+def test_folder_is_qualified(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file://{tmp_path}" == warc.qualified(spark, f"file:{tmp_path}")
