@@ -160,8 +160,9 @@ def keep_one(
     A group is what links of Jaccard ``threshold`` or more reach, on the sets of ``width``-word shingles of the
     lower-case words; each link is verified. Fingerprints of texts at that threshold differ in more bits than
     covering tables can hold apart, so pairs are held against each other that meet in a covering table of
-    ``radius`` or in a MinHash band, tuned for ``recall`` at the threshold. Texts without words are one group.
-    Rows without an id come last; of rows repeated whole one stays.
+    ``radius`` or in a MinHash band, tuned for ``recall`` at the threshold. Texts without words, null ones among
+    them, are one group. Rows without an id come last; of rows repeated whole one stays. Columns of any name are
+    carried. An empty table gives no rows.
     """
     seen = cut_lineage(_sketches(docs, width, threshold, recall, radius), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
@@ -183,6 +184,7 @@ def keep_one(
     known = nodes.join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     kept = known.groupBy(F.coalesce("root", "cid").alias("root")).agg(F.min("first").alias("first"))
     kept = kept.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    same = docs["doc_id"].cast("long").eqNullSafe(kept["_id"]) & (F.col("_text_key") == kept["_key"])
-    marked = docs.withColumn("_text_key", F.xxhash64("text"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    # rows are carried whole, so that no column of theirs meets a name used here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("key"))
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")

@@ -9,6 +9,7 @@ Only built-in functions. What a step brings to the driver is one number for each
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -25,10 +26,9 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 @dataclass(frozen=True)
 class Settings:
-    """Bounds and parameters. ``labelled`` and ``features`` bound the model; every document is scored and fitted."""
+    """Bounds and parameters. ``labelled`` bounds the model; every document is scored and fitted."""
 
     labelled: int = 20_000
-    features: int = 1024
     least_texts: int = 3
     #: Least likelihood-ratio statistic of a feature, so that words which differ by chance stay out.
     least_told: float = 30.0
@@ -39,7 +39,11 @@ class Settings:
     least_cover: float = 0.02
     #: Weight of staying at rate 1, against meeting the targets.
     stay: float = 1e-4
-    steps: int = 60
+    #: Largest rate; None sets no bound.
+    most: float | None = None
+    #: The fit ends when no domain misses its target by more than this share of its supply, or when a step changes the
+    #: misses by less than a twentieth of it; at the latest after so many steps. Misses are returned.
+    steps: int = 100
     tolerance: float = 1e-4
     #: Steps between two writings of the rates.
     piece: int = 12
@@ -94,10 +98,11 @@ def sample(labels: DataFrame, most: int) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, domains: list[str], settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Weights of a naive Bayes model: ``feature`` and ``w0``, ``w1``, ... for the domains.
 
-    Learned from the labelled sample, whose size is bounded; keeps the features that tell most about the
-    domain, if beyond chance. The absence of a feature counts only against a domain that it marks: the
+    Learned from the labelled sample, whose size is bounded; keeps all features that tell about the
+    domain beyond chance. The absence of a feature counts only against a domain that it marks: the
     absence of ordinary words would count against short texts. The row of ``ALWAYS`` holds the prior and
-    the absence of all marks, which a mark's own weight takes back. At most ``settings.features`` + 1 rows of numbers.
+    the absence of all marks, which a mark's own weight takes back. A feature needs several of the labelled texts
+    to be beyond chance, so the model is bounded by the words of ``settings.labelled`` texts.
     """
     # bounded by settings.labelled rows of an id and a name
     known = F.broadcast(sample(labels, settings.labelled))
@@ -129,10 +134,8 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], settings: Sett
         counts.where((F.col("feature") != always) & (held_by >= settings.least_texts))
         .select("feature", told.alias("told"), *apart)
         .where(2 * whole * F.col("told") >= settings.least_told)
-        # a feature whose weights are all left out would only lengthen the join
+        # a feature whose weights are all left out would only lengthen the model
         .where(F.greatest(*[F.abs(x) for x in ratio], F.lit(0.0)) >= settings.least_weight)
-        .orderBy(F.desc("told"), "feature")
-        .limit(settings.features)
     )
     chosen = cut_lineage(chosen, "model")
     weights = [f"w{k}" for k in range(len(domains))]
@@ -142,20 +145,66 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str], settings: Sett
     return cut_lineage(chosen.select("feature", *weights).unionByName(base.withColumn("feature", always)), "model")
 
 
+def _constant(values: list, kind: str) -> Column:
+    """An array as one constant of the plan."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
+def _perfect(features: list[int]) -> tuple[list[int], list[int | None]]:
+    """Shifts and slots of a hash table without clashes: feature f is in slot (f >> 20) ^ shift of its low bits."""
+    groups, size = 1 << len(features).bit_length(), 1 << (4 * len(features) + 1).bit_length()
+    while True:
+        held: dict[int, list[int]] = {}
+        for number, feature in enumerate(features):
+            held.setdefault(feature & (groups - 1), []).append(number)
+        shifts, slots = [0] * groups, [None] * size
+        for group, numbers in sorted(held.items(), key=lambda g: -len(g[1])):
+            places = [(features[n] % (1 << 64) >> 20) & (size - 1) for n in numbers]
+            shift = next((s for s in range(size) if all(slots[p ^ s] is None for p in places)), None)
+            if shift is None or len(set(places)) < len(places):
+                break
+            shifts[group] = shift
+            for n, p in zip(numbers, places, strict=True):
+                slots[p ^ shift] = n
+        else:
+            return shifts, slots
+        size *= 2
+
+
+def _lookup(model: DataFrame, keys: range):
+    """How a feature is looked up: its slot, whether it is what stands there, and the weights by slot.
+
+    The features are a hash table that is a constant of the plan.
+    """
+    rows = sorted(tuple(r) for r in model.select("feature", *[f"w{k}" for k in keys]).collect())
+    shifts, slots = _perfect([r[0] for r in rows])
+    shift, table = _constant(shifts, "int"), _constant([None if n is None else rows[n][0] for n in slots], "bigint")
+    numbers, weights = _constant(slots, "int"), [_constant([r[1 + k] for r in rows], "double") for k in keys]
+
+    def slot(feature: Column) -> Column:
+        own = F.shiftrightunsigned(feature, 20).bitwiseAND(F.lit(len(slots) - 1)).cast("int")
+        return own.bitwiseXOR(F.get(shift, feature.bitwiseAND(F.lit(len(shifts) - 1)).cast("int")))
+
+    def there(feature: Column, at: Column) -> Column:
+        return F.get(table, at) == feature
+
+    return slot, there, [lambda at, w=w: F.get(w, F.get(numbers, at)) for w in weights]
+
+
 def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFrame:
-    """``doc_id``, ``text_key``, ``tokens`` and the posterior ``p0``, ``p1``, ... of every row."""
+    """``doc_id``, ``text_key``, ``tokens`` and the posterior ``p0``, ``p1``, ... of every row.
+
+    The words of a text are looked up in the model where they lie; what leaves a task is a row of sums for each text.
+    """
     keys = range(len(domains))
-    # bounded by settings.features rows of numbers
-    scored = (
-        _featured(docs)
-        .join(F.broadcast(model), "feature")
-        .groupBy("row")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("text_key").alias("text_key"),
-            F.first("tokens").alias("tokens"),
-            *[F.sum(f"w{k}").alias(f"s{k}") for k in keys],
-        )
+    slot, there, weights = _lookup(model, keys)
+    placed = _featured(docs).withColumn("slot", slot(F.col("feature")))
+    met = placed.where(there(F.col("feature"), F.col("slot")))
+    scored = met.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("text_key").alias("text_key"),
+        F.first("tokens").alias("tokens"),
+        *[F.sum(w(F.col("slot"))).alias(f"s{k}") for k, w in zip(keys, weights, strict=True)],
     )
     best = F.greatest(*[F.col(f"s{k}") for k in keys]) if len(domains) > 1 else F.col("s0")
     raised = scored.select("doc_id", "text_key", "tokens", *[F.exp(F.col(f"s{k}") - best).alias(f"e{k}") for k in keys])
@@ -163,30 +212,39 @@ def posteriors(docs: DataFrame, model: DataFrame, domains: list[str]) -> DataFra
     return raised.select("doc_id", "text_key", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in keys])
 
 
-def fit_rates(soft: DataFrame, targets: list[float], settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """``soft`` with ``rate``: nonnegative rates whose expected domain tokens come nearest to ``targets``.
+def fit_rates(soft: DataFrame, targets: list[float], settings: Settings = Settings()) -> tuple[DataFrame, list[float]]:  # noqa: B008
+    """``soft`` with ``rate``: rates from 0 to ``settings.most`` whose expected domain tokens come nearest to ``targets``.
 
     Minimises the squared misses, each over the domain's supply, plus ``settings.stay`` times the squared
-    distance from rate 1, weighted by tokens. In that scale the curvature is at most 1 + stay, which sets
-    the step. Each step sums the domains' expected tokens in one pass; rates are written every few steps.
+    distance from rate 1, weighted by tokens, by projected gradients with momentum (Nesterov). In that scale the
+    curvature is at most 1 + stay, which sets the step. Each step sums the domains' expected tokens in one pass; rates are
+    written every few steps. Returned with the misses that are left, each as a share of the domain's supply: targets
+    that the bounds put out of reach are missed by the least squares.
     """
-    keys = range(len(targets))
+    keys, base = range(len(targets)), soft.columns
     step = 1 / (1 + settings.stay)
-    rows = soft.withColumn("rate", F.lit(1.0))
+    rows = soft.withColumns({"rate": F.lit(1.0), "last": F.lit(1.0)})
     supply = _expected(rows, F.col("rate"), keys)
     scale = [max(x, 1e-9 * sum(supply), 1e-300) for x in supply]
-    rate, waiting = F.col("rate"), 0
-    for _ in range(settings.steps):
-        got = _expected(rows, rate, keys)
-        miss = [(x - t) / s for x, t, s in zip(got, targets, scale, strict=True)]
-        if max(abs(m) for m in miss) < settings.tolerance:
+
+    def misses(column: Column) -> list[float]:
+        return [(x - t) / s for x, t, s in zip(_expected(rows, column, keys), targets, scale, strict=True)]
+
+    miss = [math.inf for _ in keys]
+    for done in range(settings.steps):
+        rows = rows.select(*base, "rate", (F.col("rate") + (F.col("rate") - F.col("last")) * (done / (done + 3))).alias("ahead"))
+        before, miss = miss, misses(F.col("ahead"))
+        moved = max(abs(m - b) for m, b in zip(miss, before, strict=True))
+        if max(map(abs, miss)) < settings.tolerance or moved < settings.tolerance / 20:
             break
         pull = sum((F.col(f"p{k}") * (step * m) for k, m in zip(keys, miss, strict=True)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * settings.stay) + step * settings.stay - pull)
-        waiting += 1
-        if waiting == settings.piece:
-            rows, rate, waiting = cut_lineage(rows.withColumn("rate", rate), "rates"), F.col("rate"), 0
-    return rows.withColumn("rate", rate)
+        rate = F.greatest(F.lit(0.0), F.col("ahead") * (1 - step * settings.stay) + step * settings.stay - pull)
+        if settings.most is not None:
+            rate = F.least(F.lit(settings.most), rate)
+        rows = rows.select(*base, rate.alias("next"), F.col("rate").alias("last")).withColumnRenamed("next", "rate")
+        if done % settings.piece == settings.piece - 1:
+            rows = cut_lineage(rows, "rates")
+    return rows.select(*base, "rate"), misses(F.col("rate"))
 
 
 def _expected(rows: DataFrame, rate: Column, keys: range) -> list[float]:
@@ -213,13 +271,14 @@ def mix(
     anchor: str,
     settings: Settings = Settings(),  # noqa: B008
 ) -> DataFrame:
-    """One row per document: ``doc_id``, ``text_key``, ``tokens``, ``p_<domain>``, ``rate``, ``copies``.
+    """One row per document: ``doc_id``, ``text_key``, ``tokens``, ``p_<domain>``, ``rate``, ``copies``, ``missed``.
 
     ``labels`` has ``doc_id`` and ``domain``; ``weights`` the wanted share of tokens of each domain. The
     total is chosen so that the domain ``anchor`` keeps the tokens it has. Null and empty texts have no
     tokens and the prior for a posterior; without labels every posterior is even. Labels that are null
     or of other domains say nothing, an id labelled twice counts once. Repeated rows are fitted each; a
-    null ``doc_id`` passes through; an empty table gives no rows; other columns are ignored.
+    null ``doc_id`` passes through; an empty table gives no rows; other columns are ignored. ``missed`` is the
+    largest share of a domain's tokens by which the rates miss its target, the same in all rows.
     """
     domains = sorted(weights)
     known = labels.where(F.col("domain").isin(domains)).select(F.col("doc_id").cast("long").alias("doc_id"), "domain")
@@ -228,21 +287,27 @@ def mix(
     soft = cut_lineage(posteriors(plain, model, domains), "soft")
     supply = _expected(soft, F.lit(1.0), range(len(domains)))
     total = supply[domains.index(anchor)] / weights[anchor]
-    fitted = fit_rates(soft, [total * weights[d] for d in domains], settings)
+    fitted, misses = fit_rates(soft, [total * weights[d] for d in domains], settings)
     named = [F.col(f"p{k}").alias(f"p_{d}") for k, d in enumerate(domains)]
     return fitted.select(
-        "doc_id", "text_key", "tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id"), settings.snap).alias("copies")
+        "doc_id", "text_key", "tokens", *named, "rate", copies(F.col("rate"), F.col("doc_id"), settings.snap).alias("copies"),
+        F.lit(max(map(abs, misses), default=0.0)).alias("missed"),
     )
 
 
 def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """The rows of ``docs``, each as many times as ``rates`` has copies for it, with their columns."""
+    """The rows of ``docs``, each as many times as ``rates`` has copies for it, with their columns.
+
+    Rows are told apart by ``doc_id`` and text, null or not; of repeated rows each is written as often. Columns of
+    any name are carried. An empty table gives no rows.
+    """
     wanted = rates.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
         F.max("copies").alias("_copies")
     )
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_key"))
-    held = docs.join(wanted.where("_copies > 0"), same)
-    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # rows are carried whole, so that no column of theirs meets a name used here
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), F.xxhash64(docs["text"]).alias("key"))
+    held = rows.join(wanted.where("_copies > 0"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")))
+    return held.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def domain_of(labels: DataFrame) -> DataFrame:

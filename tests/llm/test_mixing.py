@@ -1,4 +1,6 @@
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -45,17 +47,23 @@ def test_expected_tokens_meet_the_targets_and_equal_plain_descent(spark):
     )
     targets = [t.sum() * 0.3, t.sum() * 0.1, t.sum() * 0.5]
     settings = mixing.Settings(piece=7)
-    got = np.array([r.rate for r in mixing.fit_rates(soft, targets, settings).orderBy("doc_id").collect()])
+    fitted, misses = mixing.fit_rates(soft, targets, settings)
+    got = np.array([r.rate for r in fitted.orderBy("doc_id").collect()])
     rate, supply = np.ones(n), (t[:, None] * p).sum(axis=0)
-    step = 1 / (1 + settings.stay)
-    for _ in range(settings.steps):
-        miss = ((rate * t) @ p - targets) / supply
-        if np.abs(miss).max() < settings.tolerance:
+    step, miss, last = 1 / (1 + settings.stay), np.full(3, np.inf), np.ones(n)
+    for k in range(settings.steps):
+        ahead = rate + (rate - last) * (k / (k + 3))
+        before, miss = miss, ((ahead * t) @ p - targets) / supply
+        if np.abs(miss).max() < settings.tolerance or np.abs(miss - before).max() < settings.tolerance / 20:
             break
-        rate = np.maximum(0, rate - step * (p @ miss + settings.stay * (rate - 1)))
+        last, rate = rate, np.maximum(0, ahead - step * (p @ miss + settings.stay * (ahead - 1)))
     assert got == pytest.approx(rate, abs=1e-9)
     assert (got >= 0).all()
     assert (got * t) @ p == pytest.approx(targets, rel=0.01)
+    assert misses == pytest.approx(((got * t) @ p - targets) / supply, abs=1e-9)
+    # out of reach: every rate at its bound, and the miss says so
+    bounded, misses = mixing.fit_rates(soft, list(3 * supply), mixing.Settings(most=1.5))
+    assert {r.rate for r in bounded.collect()} == {1.5} and misses == pytest.approx([-1.5] * 3)
 
 
 def test_copies(spark):
@@ -77,6 +85,7 @@ def test_odd_rows(spark, docs):
     assert len(found) == len(texts)
     assert {r.tokens for r in found if r.doc_id in (500, 501, 502)} == {0}
     assert all(r.rate >= 0 and abs(r.p_good + r.p_poor - 1) < 1e-9 for r in found)
+    assert {r.missed for r in found} == {found[0].missed} and found[0].missed < 1e-2
     assert all(p.dataType.typeName() in ("long", "double", "integer") for p in rates.schema)
     out = mixing.mixed(given, rates)
     assert out.columns == given.columns
@@ -88,6 +97,85 @@ def test_odd_rows(spark, docs):
     assert out.count() == sum(r.copies for r in found)
 
 
+def slow_posteriors(rows, labels, domains, settings=mixing.Settings()):  # noqa: B008
+    """The classifier, written out for one text after the other."""
+
+    def marks(text):
+        words = [w for w in re.split(r"[\s.,;:!?]+", (text or "").lower()) if w]
+        found, n = set(words), len(words)
+        signs = sum(c in mixing.SYMBOLS for c in text or "")
+        shouts, caps = (text or "").count("!"), sum("A" <= c <= "Z" for c in text or "")
+        for name, top, bottom in [("variety", len(found), n), ("symbols", min(signs, n), n), ("marks", min(shouts, n), n), ("capitals", caps, len(text or ""))]:
+            found.add(f"\x00{name} {math.floor(10 * top / max(bottom, 1))}")
+        return found
+
+    seen = [(marks(t), domains.index(labels[i])) for i, t in rows if i in labels]
+    n = [sum(d == k for _, d in seen) for k in range(len(domains))]
+    base = [math.log((x + 1) / (sum(n) + len(domains))) for x in n]
+    weights = {}
+    for word in set().union(*[m for m, _ in seen]):
+        held = [sum(word in m for m, d in seen if d == k) for k in range(len(domains))]
+        rate, mean = [(c + 0.5) / (x + 1) for c, x in zip(held, n, strict=True)], (sum(held) + 0.5) / (sum(n) + 1)
+        share = [(x + 1) / (sum(n) + len(domains)) for x in n]
+        told = sum(s * (r * math.log(r / mean) + (1 - r) * math.log((1 - r) / (1 - mean))) for s, r in zip(share, rate, strict=True))
+        ratio = [math.log(r / mean) for r in rate]
+        if sum(held) < settings.least_texts or 2 * sum(n) * told < settings.least_told or max(map(abs, ratio)) < settings.least_weight:
+            continue
+        absent = [math.log((1 - r) / (1 - mean)) if x >= settings.least_weight and r >= settings.least_cover else 0.0 for x, r in zip(ratio, rate, strict=True)]
+        base = [b + a for b, a in zip(base, absent, strict=True)]
+        weights[word] = [(x if abs(x) >= settings.least_weight else 0.0) - a for x, a in zip(ratio, absent, strict=True)]
+    out = {}
+    for i, t in rows:
+        score = [b + sum(weights[w][k] for w in marks(t) if w in weights) for k, b in enumerate(base)]
+        raised = [math.exp(s - max(score)) for s in score]
+        out[i] = [x / sum(raised) for x in raised]
+    return out, weights
+
+
+def test_posteriors_equal_plain_arithmetic(spark, docs):
+    rows = corpus(3, 300)
+    texts = [(i, t + " " + "$ " * (i % 3) + "A! " * (i % 5)) for i, t, _ in rows] + [(900, None), (901, ""), (902, "fine " * 9), (903, "Bad!!! #")]
+    domains = {i: d for i, _, d in rows[:200]}
+    rates = mixing.mix(docs(texts), labels_of(spark, list(domains.items())), {"good": 0.9, "poor": 0.1}, "good").collect()
+    expected, weights = slow_posteriors(texts, domains, ["good", "poor"])
+    assert len(weights) >= 4 and len(rates) == len(expected)
+    for r in rates:
+        assert (r.p_good, r.p_poor) == pytest.approx(expected[r.doc_id], abs=1e-9)
+
+
+def test_model_is_a_constant(spark, docs):
+    """Features are found by their number, and the plan has neither a join nor a parse for each row."""
+    rows = corpus(3, 200)
+    labels = labels_of(spark, [(i, d) for i, _, d in rows])
+    plain = docs([(i, t) for i, t, _ in rows]).select("doc_id", "text")
+    model = mixing.learn(plain, labels, ["good", "poor"])
+    slot, there, weights = mixing._lookup(model, range(2))
+    asked = model.select("feature", "w1").unionAll(spark.range(500).select(F.xxhash64("id"), F.lit(None)))
+    at = asked.withColumn("at", slot(F.col("feature"))).where(there(F.col("feature"), F.col("at")))
+    found = at.select("w1", weights[1](F.col("at")).alias("w")).collect()
+    assert all(r["w"] == r["w1"] for r in found) and len(found) == model.count()
+    plan = mixing.posteriors(plain, model, ["good", "poor"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "Join" not in plan
+
+
+def test_hash_table_has_no_clashes():
+    rng = random.Random(2)
+    for n in (0, 1, 2, 700):
+        features = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)]
+        shifts, slots = mixing._perfect(features)
+        for k, f in enumerate(features):
+            assert slots[((f % (1 << 64) >> 20) & (len(slots) - 1)) ^ shifts[f & (len(shifts) - 1)]] == k
+
+
+def test_columns_of_any_name_are_carried(spark):
+    names = ["_copies", "_copy", "_id", "_key", "row", "id", "key", "copies", "col", "text_key"]
+    rows = spark.createDataFrame([(1, "a b", *range(10)), (1, "a b", *range(10)), (None, None, *range(10))], ["doc_id", "text", *names])
+    labels = labels_of(spark, [(1, "good")])
+    rates = mixing.mix(rows, labels, {"good": 0.5, "poor": 0.5}, "good")
+    out = mixing.mixed(rows, rates.withColumn("copies", F.lit(2)))
+    assert out.columns == rows.columns and sorted(map(tuple, out.collect()), key=str) == sorted(list(map(tuple, rows.collect())) * 2, key=str)
+
+
 def test_empty_tables(spark, docs):
     none = labels_of(spark, [])
     assert mixing.mix(docs([]), none, {"good": 0.5, "poor": 0.5}, "good").collect() == []
