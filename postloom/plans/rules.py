@@ -577,7 +577,7 @@ def config_forms(s: Source) -> DataFrame:
         F.concat(F.lit("CX_"), nation).alias("tenant_site"),
         more.alias("search_params"),
         F.concat(F.lit("CX_"), nation).alias("domain"),
-        F.lit(" ").alias("location"),
+        F.lit("").alias("location"),
         more.alias("extra_params"),
         F.lit(" Reston, VA\n\n  Paris \n").alias("usajobs_l"),
         F.when(F.col("s_nationkey") % 2 == 0, '{"kept":1}').otherwise("").alias("config_json"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom.operators import ledger, ranking, scoring
 from postloom.plans.registry import Source, query
-from postloom.session import shared_folder
+from postloom.session import cut_lineage, shared_folder
 from postloom.sources import exports, pages, tables
 
 
@@ -108,7 +108,7 @@ def scores_resumed(s: Source) -> DataFrame:
     prompts = s.table("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("prompt"))
     # the first attempt got as far as the texts of some languages
     scoring.score_postings(prompts.join(s.table("documents").where("lang <> 'en'").select(F.col("doc_id").alias("id")), "id"), _measure, folder).count()
-    scored = scoring.score_postings(prompts, _measure, folder)
+    scored = cut_lineage(scoring.score_postings(prompts, _measure, folder), "scored")
     asked = ledger.entries(s.spark, folder).groupBy("key").agg(F.count(F.lit(1)).alias("asked"))
     keyed = prompts.select("id", ledger.content_key("prompt").alias("key")).join(asked, "key")
     return scored.select("id", "answer").join(keyed.select("id", "asked"), "id")
