@@ -22,8 +22,16 @@ ANY = "<*>"
 BLANKS = "\t\x0b\x0c\r"
 
 
+def _spaced(text: Column) -> Column:
+    """The text with spaces for all blanks but line ends; few texts have any others."""
+    other = F.contains(text, F.lit(BLANKS[0]))
+    for blank in BLANKS[1:]:
+        other = other | F.contains(text, F.lit(blank))
+    return F.when(other, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
+
+
 def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(F.translate(line, BLANKS, " " * len(BLANKS)), " "), "")
+    return F.array_remove(F.split(line, " "), "")
 
 
 def _mask(token: Column) -> Column:
@@ -36,7 +44,7 @@ def _lines(docs: DataFrame, depth: int, least_tokens: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("text").alias("text_key"),
         # the outer form, as the plain one splits each text once more to filter by the size
-        F.posexplode_outer(F.split("text", "\n")).alias("line", "written"),
+        F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "written"),
     )
     parsed = rows.withColumn("tokens", _tokens(F.col("written"))).where(F.size("tokens") >= least_tokens)
     leading = [_mask(F.get("tokens", F.lit(i))) for i in range(depth)]
