@@ -1,10 +1,14 @@
 """A costly service is asked once for each content, also when a task dies half way."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import ledger, scoring
 from postloom.operators import titles as ti
+from postloom.session import shared_folder
+from postloom.sources import files
 
 
 def requests(spark, n):
@@ -84,3 +88,13 @@ def test_posting_answers_keep_their_usage(spark, tmp_path):
     assert sorted((r["id"], r["answer"], r["usage"]) for r in found) == [
         (1, '<say "x"\n>', {"total_tokens": 3}), (2, '<say "x"\n>', {"total_tokens": 3}), (3, "<None>", {}),
     ]
+
+
+def test_a_cluster_may_name_its_shared_folder_without_a_scheme(spark, tmp_path):
+    """A stand-in for a session on a cluster; the store it asks is this machine's."""
+    conf = SimpleNamespace(get=lambda name, default=None: str(tmp_path / "kept"))
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://head:7077"), _jvm=spark._jvm, _jsc=spark._jsc)
+    assert files.qualified(cluster, f"{shared_folder(cluster)}/ledger") == f"file://{tmp_path}/kept/ledger"
+    # a folder that nobody called shared is refused as before
+    with pytest.raises(ValueError, match="folder of this machine"):
+        files.qualified(cluster, str(tmp_path / "other"))
