@@ -216,7 +216,8 @@ def manual_history(s: Source) -> DataFrame:
     stored = cut_lineage(ch.manual_postings(forms, AS_OF, applied=True, first_id=500), "manual")
     history = ch.manual_history(stored, AS_OF)
     named = stored.select(F.col("id").alias("applied_job_id"), "job_url")
-    return history.join(named, "applied_job_id").select("job_url", "status", "notes", "changed_at")
+    # both sides are as long as the forms; their files are small for their rows, and by these the planner would broadcast one
+    return history.join(named.hint("merge"), "applied_job_id").select("job_url", "status", "notes", "changed_at")
 
 
 _FEED = """SELECT CASE l_returnflag WHEN 'N' THEN 'I' WHEN 'R' THEN 'U' ELSE 'D' END AS op, l_orderkey * 10 + l_linenumber AS id,

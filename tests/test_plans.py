@@ -59,3 +59,10 @@ def test_save_counts_take_few_exchanges(source):
     frame.collect()
     final = frame._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert final.count("Exchange hashpartitioning") + final.count("Exchange SinglePartition") <= 6
+
+
+def test_history_of_all_forms_is_not_broadcast(source):
+    from postloom.plans.catalog import QUERIES
+
+    text = plan(QUERIES["manual_history"](source))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
