@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom import fixed_values as fv
+from postloom.operators import ranking
 from postloom.session import shared_folder
 
+#: Rows of a page that one task may put in order; a longer page is taken from a list sorted in ranges.
+MOST_IN_TASK = 100_000
+
 
 @dataclass(frozen=True)
 class Key:
@@ -43,7 +47,8 @@ def page_after(
     """The page behind the row whose sort values are ``last``; the first page without it.
 
     Rows up to the last page are filtered where they lie, so a deep page costs a task no more than the first one. Rows
-    that came or went since the last page shift nothing.
+    that came or went since the last page shift nothing. A page of more than ``MOST_IN_TASK`` rows is written in ranges
+    with what lies behind it, and no task holds it whole; its rows are in no order then.
     """
     if last is not None:
         behind, same = F.lit(False), F.lit(True)
@@ -51,7 +56,10 @@ def page_after(
             behind = behind | (same & key.behind(last[key.column]))
             same = same & F.col(key.column).eqNullSafe(F.lit(last[key.column]))
         df = df.where(behind)
-    return df.orderBy(*[k.order() for k in keys]).limit(size)
+    order = [k.order() for k in keys]
+    if size > MOST_IN_TASK:
+        return ranking.numbered(df, order, "_place").where(F.col("_place") < size).select(*df.columns)
+    return df.orderBy(*order).limit(size)
 
 
 class Ranged:
