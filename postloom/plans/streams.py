@@ -25,10 +25,13 @@ def _land(s: Source, rows: DataFrame, name: str) -> tuple[str, DataFrame]:
     return root, ingest.landed(s.spark, f"{root}/landed", rows.schema, per_batch)
 
 
-def _landings(rows: DataFrame, root: str) -> Iterator[int]:
+def _landings(s: Source, rows: DataFrame, root: str) -> Iterator[int]:
     """Land the rows one ``landing`` after the other; what happens in between is up to the caller."""
+    # made once, in a folder for each landing
+    rows.write.partitionBy("landing").parquet(f"{root}/made")
+    made = s.spark.read.schema(rows.schema).parquet(f"{root}/made").select(*rows.columns)
     for landing in range(BATCHES):
-        rows.where(F.col("landing") == landing).drop("landing").write.mode("append").parquet(f"{root}/landed")
+        made.where(F.col("landing") == landing).drop("landing").write.mode("append").parquet(f"{root}/landed")
         yield landing
 
 
@@ -36,7 +39,7 @@ def _admitted(s: Source, rows: DataFrame, name: str, ts: str, delay: str) -> Ite
     """After every landing: the folder, and the stream of the rows that came in time."""
     root = f"{shared_folder(s.spark)}/{name}-{uuid.uuid4().hex}"
     kind = rows.drop("landing").schema
-    for _ in _landings(rows, root):
+    for _ in _landings(s, rows, root):
         stream = ingest.landed(s.spark, f"{root}/landed", kind)
         lateness.admit(stream, root, f"{root}/admit-checkpoint", ts, delay).awaitTermination()
         yield root, lateness.on_time(s.spark, root, kind)
@@ -137,16 +140,11 @@ _POSTS = _in_time("landed_postings", "CAST(date_posted AS TIMESTAMP)", "60 DAY")
 )
 def stream_distinct(s: Source) -> DataFrame:
     """The first posting of every url and owner; one that comes late with a smaller number corrects it."""
-    ingest.use_rocksdb(s.spark)
     posts = s.view("landed_postings").withColumn("landed_at", F.col("date_posted").cast("timestamp"))
+    day = 86_400_000
     for root, stream in _admitted(s, posts, "distinct", "landed_at", "60 days"):
-        changes = ingest.first_postings(stream, "landed_at", keep_ms=20 * 366 * 86_400_000, delay="60 days")
-        job = (
-            changes.writeStream.format("parquet").option("path", f"{root}/changes").outputMode("append")
-            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        )
+        job = ingest.keep_first_postings(stream, f"{root}/firsts", f"{root}/checkpoint", "landed_at", keep_ms=20 * 366 * day, delay_ms=60 * day)
         job.awaitTermination()
-    found = s.spark.read.schema(changes.schema).parquet(f"{root}/changes")
-    return found.groupBy("job_url", "owning_user").agg(
+    return ingest.first_changes(s.spark, f"{root}/firsts", stream.schema).groupBy("job_url", "owning_user").agg(
         F.min("arrival_id").alias("arrival_id"), F.count("replaces").alias("corrections")
     )

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from postloom.operators import ingest as ig
 from postloom.operators import titles as ti
+from postloom.session import cut_lineage
 from postloom.streaming import parts
 
 #: Buckets of the stored keys. It is a property of a sink: a sink with keys keeps the number it began with.
@@ -164,6 +165,87 @@ def first_postings(stream: DataFrame, ts: str, keep_ms: int, delay: str, arrival
     return keyed.transformWithState(processor, kind, "append", "EventTime")
 
 
+# --- the same changes with the state in a sink ----------------------------------------------------
+
+_ROW, _SEEN = "_row", "_seen_ms"
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """The newest state of every key."""
+    newest = F.max_by(F.struct("least", _SEEN), "part_to").alias("_held")
+    return rows.groupBy(*ig.POSTING_KEY).agg(newest, F.max("part_to").alias("part_to")).select(*ig.POSTING_KEY, "_held.*", "part_to")
+
+
+def _change_kind(kind: T.StructType) -> T.StructType:
+    return T.StructType([*kind.fields, T.StructField("replaces", T.LongType())])
+
+
+def _state_kind(kind: T.StructType) -> T.StructType:
+    return T.StructType([*(kind[k] for k in ig.POSTING_KEY), T.StructField("least", T.LongType()), T.StructField(_SEEN, T.LongType())])
+
+
+def save_firsts(rows: DataFrame, sink: str, batch: int, ts: str, keep_ms: int, delay_ms: int, arrival: str = "arrival_id") -> None:
+    """Save the changes of one batch and the state of its keys; see ``keep_first_postings``."""
+    spark, kind = rows.sparkSession, rows.schema
+    state = _state_kind(kind)
+    earlier = parts.read(spark, f"{sink}/state", state, before=batch)
+    newest = earlier.agg(F.max(_SEEN)).first()[0]
+    due = None if newest is None else newest - delay_ms - keep_ms
+
+    def live(held: DataFrame) -> DataFrame:
+        # an older state of a key that is gone was seen before that and is gone too
+        return held if due is None else held.where(F.coalesce(F.col(_SEEN) > due, F.lit(True)))
+
+    parts.merge(spark, f"{sink}/state", state, batch, fold=lambda held: live(_held(held)))
+    parts.merge(spark, f"{sink}/changes", _change_kind(kind), batch)
+    earlier = live(parts.read(spark, f"{sink}/state", state, before=batch))
+    none = F.lit(None)
+    # new rows and states meet in one shuffle, where equal keys may be null too
+    met = rows.select(
+        *ig.POSTING_KEY, F.struct(*kind.names).alias(_ROW), F.col(arrival).alias("least"), F.unix_millis(ts).alias(_SEEN), none.cast("long").alias("part_to")
+    ).unionByName(earlier.withColumn(_ROW, none.cast(kind)))
+    new = F.col("part_to").isNull()
+    touched = met.groupBy(*ig.POSTING_KEY).agg(
+        F.min_by(_ROW, F.when(new, F.col("least"))).alias(_ROW),
+        F.max(F.when(new, F.col(_SEEN))).alias(_SEEN),
+        F.max_by(F.struct("least", _SEEN), "part_to").alias("_held"),
+    ).where(F.col(_ROW).isNotNull())
+    written = cut_lineage(touched, "touched")
+    first, before = F.col(_ROW)[arrival], F.col("_held.least")
+    smaller = before.isNull() | (first < before)
+    parts.write(written.where(smaller).select(f"{_ROW}.*", before.cast("long").alias("replaces")), f"{sink}/changes", batch)
+    after = written.select(*ig.POSTING_KEY, F.least(first, before).cast("long").alias("least"), F.greatest(_SEEN, f"_held.{_SEEN}").alias(_SEEN))
+    # last, as a batch is done when its state is there
+    parts.write(after, f"{sink}/state", batch)
+
+
+def keep_first_postings(
+    stream: DataFrame, sink: str, checkpoint: str, ts: str, keep_ms: int, delay_ms: int, arrival: str = "arrival_id"
+) -> StreamingQuery:
+    """Write the changes of ``first_postings`` batch by batch to a sink of numbered parts, and stop when all files are done.
+
+    The state is a sink too: smallest arrival and last time of every key, joined to a batch by one shuffle of Spark's own,
+    so a batch of very many keys costs what its rows do and not a call for each key. A key whose last time lies ``keep_ms``
+    behind the newest time of earlier batches less the delay is new when it is seen again. The stream's rows are to come from
+    ``lateness.admit``; none is dropped here. A batch that runs again replaces its own parts.
+    """
+
+    def save(rows: DataFrame, batch: int) -> None:
+        save_firsts(rows, sink, batch, ts, keep_ms, delay_ms, arrival)
+
+    return (
+        stream.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def first_changes(spark: SparkSession, sink: str, schema: T.StructType) -> DataFrame:
+    """The changes that ``keep_first_postings`` has written: the stream's columns and ``replaces``."""
+    return parts.read(spark, f"{sink}/changes", _change_kind(schema)).drop("part_to")
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """State with timers is kept in RocksDB; a setting of the session, read when a stream starts."""
     spark.conf.set(

@@ -5,6 +5,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from postloom.operators import ingest as ig
+from postloom.plans.catalog import QUERIES
 from postloom.streaming import ingest, lateness, parts, usage
 
 
@@ -158,6 +159,39 @@ def test_first_posting_is_corrected_and_state_goes(spark, tmp_path):
     assert ("u1", 901, 0) in found
 
 
+def test_first_postings_in_a_sink_are_those_of_the_processor(spark, tmp_path):
+    kind, day, root = "arrival_id long, job_url string, owning_user string, t string", 86_400_000, str(tmp_path)
+    batches = [
+        [(5, "u1", "a", "2024-01-01 00:00:00"), (9, "u1", "a", "2024-01-01 00:01:00"), (6, "u2", "a", "2024-01-01 00:02:00"), (4, None, "a", "2024-01-01 00:00:00")],
+        [(7, "u1", "a", "2024-01-01 01:00:00"), (3, "u2", "a", "2024-01-01 01:00:00"), (2, None, "a", "2024-01-01 01:00:00")],
+        [(8, "u2", "a", "2024-01-01 02:00:00")],
+        [(9, "v", "a", "2024-01-01 03:00:00")],
+        [(1, "u2", "a", "2024-01-01 04:00:00"), (900, "w", "a", "2024-01-05 00:00:00")],
+        [(901, "u1", "a", "2024-01-05 00:10:00"), (902, "w", "a", "2024-01-05 00:10:00")],
+    ]
+
+    def save(number):
+        rows = spark.createDataFrame(batches[number], kind).withColumn("at", F.col("t").cast("timestamp"))
+        ingest.save_firsts(rows, root, number, "at", keep_ms=day, delay_ms=day // 24)
+        return rows.schema
+
+    for number in range(len(batches)):
+        for _ in range(2):  # a batch that runs again
+            schema = save(number)
+    found = sorted((str(r["job_url"]), r["arrival_id"], r["replaces"] or 0) for r in ingest.first_changes(spark, root, schema).collect())
+    assert found == [
+        ("None", 2, 4), ("None", 4, 0), ("u1", 5, 0), ("u1", 901, 0), ("u2", 1, 3), ("u2", 3, 6), ("u2", 6, 0), ("v", 9, 0), ("w", 900, 0),
+    ]
+    assert ingest.first_changes(spark, root, schema).columns == [*schema.names, "replaces"]
+    assert len(parts.live(spark, f"{root}/state")) <= 4
+
+
+def test_the_query_of_first_postings_calls_no_python_for_a_key(source, monkeypatch):
+    """One call of a processor for each key took longer than its limit over 1 GB."""
+    monkeypatch.setattr(ingest, "first_postings", None)
+    assert "stream_distinct" in QUERIES and QUERIES["stream_distinct"](source).count() > 1000
+
+
 CALLS = (
     "run_id string, call_type string, prompt_tokens long, completion_tokens long, "
     "total_tokens long, cache_hit_tokens long, cache_miss_tokens long, duration_ms long, t string"
