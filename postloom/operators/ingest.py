@@ -15,12 +15,16 @@ from postloom.operators.keys import absent, known
 from postloom.operators.ranking import keep_first
 
 POSTING_KEY = ["job_url", "owning_user"]
+#: Parts that an owner's keywords are dealt over to meet the tenants of a board.
+DEAL = 16
 
 
 def work_list(profiles: DataFrame, configs: DataFrame, sites: Sequence[str] = tuple(fv.SITES)) -> DataFrame:
     """One row per owner, keyword and board, and per configured tenant for multi-tenant boards.
 
-    Keyword and board lists are exploded inside a row; tenants come from an equi join.
+    Keyword and board lists are exploded inside a row; tenants come from an equi join. An owner's list is its keywords
+    times its tenants, far more than either, so an owner's keywords are dealt over ``DEAL`` parts, which meet a copy of
+    the tenants each, in as many tasks as a shuffle has whatever the size of what they read.
     """
     wanted = (
         profiles.where((F.col("is_default") == 1) & (F.size("keywords") > 0))
@@ -32,7 +36,11 @@ def work_list(profiles: DataFrame, configs: DataFrame, sites: Sequence[str] = tu
         "owning_user", F.col("config_type").alias("site"), F.col("config_key").alias("site_config")
     )
     single = wanted.where(~multi).withColumn("site_config", F.lit(None).cast("string"))
-    return single.unionByName(wanted.where(multi).join(tenants, ["owning_user", "site"]))
+    keys, tasks = ["owning_user", "site", "_deal"], int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # rows alike in all columns come from different profiles, so they are dealt by number
+    dealt = wanted.where(multi).withColumn("_deal", F.pmod(F.monotonically_increasing_id(), F.lit(DEAL)).cast("int")).repartition(tasks, *keys)
+    copies = tenants.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1)))).repartition(tasks, *keys)
+    return single.unionByName(dealt.join(copies, keys).drop("_deal"))
 
 
 def distinct_postings(incoming: DataFrame, *order: Column) -> DataFrame:

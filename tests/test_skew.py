@@ -77,3 +77,15 @@ def test_hot_posting_history(forced):
     # the long history is sorted by several tasks
     parts = se.status_timeline(history).where("applied_job_id = 0").select(F.spark_partition_id().alias("p"))
     assert parts.distinct().count() > 1
+
+
+def test_work_list_of_one_owner_is_made_in_many_tasks(spark):
+    profiles = spark.range(0, 600, 1, 2).select(
+        F.lit("ann").alias("owning_user"), F.lit("Reston").alias("location"), F.lit(1).alias("is_default"), F.array(F.lit("a"), F.lit("b")).alias("keywords")
+    )
+    configs = spark.range(30).select(F.lit("ann").alias("owning_user"), F.lit("workday").alias("config_type"), F.col("id").cast("string").alias("config_key"))
+    made = ig.work_list(profiles, configs).where("site = 'workday'")
+    assert made.count() == 600 * 2 * 30
+    assert made.groupBy("search_term", "site_config").count().where("count <> 600").count() == 0
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) <= 600 * 2 * 30 / 2
