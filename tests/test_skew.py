@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from postloom.operators import ingest as ig
 from postloom.operators import search as se
 from postloom.operators import titles as ti
+from postloom.streaming import parts
 
 ROWS = 120_000
 
@@ -89,3 +90,22 @@ def test_work_list_of_one_owner_is_made_in_many_tasks(spark):
     assert made.groupBy("search_term", "site_config").count().where("count <> 600").count() == 0
     sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) >= 4 and max(sizes) <= 600 * 2 * 30 / 2
+
+
+def test_a_large_bucket_is_written_by_many_tasks(forced, tmp_path):
+    rows = forced.range(0, ROWS, 1, 8).select("id", F.lit(3).alias("bucket"))
+    parts.write(rows, str(tmp_path), 0, by="bucket")
+    assert len(list(tmp_path.rglob("bucket=3/part-*.parquet"))) >= 4
+    assert forced.read.parquet(parts.path_of(str(tmp_path), (0, 0))).count() == ROWS
+
+
+def test_reject_words_are_sent_as_one_text(spark, monkeypatch):
+    sent = []
+    context = type(spark.sparkContext)
+    real = context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    words = spark.range(3000).select(F.concat(F.lit("ann"), (F.col("id") % 2).cast("string")).alias("owning_user"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("word"))
+    jobs = spark.createDataFrame([(1, "ann1", "A WORD 77"), (2, "ann0", "a word 77"), (3, "ann0", None)], "id long, owning_user string, title string")
+    assert sorted((r["id"], r["rejected"]) for r in ti.rejected_by_owner(jobs, words).collect()) == [(1, True), (2, False), (3, False)]
+    text, _, _, owners = sent[0]
+    assert isinstance(text, bytes) and len(text) < 3000 * 10 and len(owners) == 2
