@@ -1,6 +1,7 @@
 """Plans: what is pushed down, what is combined before a shuffle, and what never happens."""
 
 import __spark_entry__ as entry
+import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import search as se
@@ -66,3 +67,11 @@ def test_history_of_all_forms_is_not_broadcast(source):
 
     text = plan(QUERIES["manual_history"](source))
     assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+@pytest.mark.parametrize("board", ["eightfold", "oraclecloud", "workday"])
+def test_details_of_all_cards_are_not_broadcast(source, board):
+    from postloom.plans.catalog import QUERIES
+
+    text = plan(QUERIES[f"board_{board}"](source))
+    assert "SortMergeJoin" in text and "Broadcast" not in text
