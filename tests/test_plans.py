@@ -75,3 +75,16 @@ def test_details_of_all_cards_are_not_broadcast(source, board):
 
     text = plan(QUERIES[f"board_{board}"](source))
     assert "SortMergeJoin" in text and "Broadcast" not in text
+
+
+def test_details_are_dealt_before_they_are_sorted(spark, source):
+    from postloom.sources.payloads import one_detail
+
+    rows = [("u1", 2, "late"), ("u1", 1, "b"), ("u1", 1, "a"), ("u2", None, "none"), ("u2", 7, "seven"), (None, 3, "x")]
+    details = spark.createDataFrame(rows, "url string, payload_id long, payload string")
+    first = one_detail(details, "url")
+    text = plan(first)
+    # read upwards: the rows are dealt by content, then sorted for the limit, then moved by key
+    assert text.index("Exchange hashpartitioning(url") < text.index("WindowGroupLimit [url", text.index("Exchange hashpartitioning(url"))
+    assert text.rindex("Sort [url") < text.index("Exchange hashpartitioning(payload_id")
+    assert sorted(map(tuple, first.collect()), key=str) == sorted([("u1", 1, "a"), ("u2", None, "none"), (None, 3, "x")], key=str)
