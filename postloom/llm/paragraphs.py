@@ -17,6 +17,7 @@ alike linked, neighbours within one text would be repeats of each other.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -52,11 +53,21 @@ def shingles(words: list[bytes], width: int) -> np.ndarray:
     joined = b" ".join(words)
     if len(words) <= width:
         return np.array([xxhash.xxh3_64_intdigest(joined, SEED)], dtype=np.uint64)
+    starts, ends = _edges(words)
+    return np.unique(_hashes(joined, starts[: 1 - width], ends[width - 1 :]))
+
+
+def _edges(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where words that are joined by a blank start and end."""
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh3_64_intdigest
-    spans = zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64))
+    return np.concatenate(([0], ends[:-1] + 1)), ends
+
+
+def _hashes(joined: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of a text."""
+    digest = xxhash.xxh3_64_digest
+    found = [digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), dtype=">u8").astype(np.uint64)
 
 
 @lru_cache(maxsize=4)
@@ -72,11 +83,13 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     least = np.full(bands * rows, np.iinfo(np.uint64).max, dtype=np.uint64)
     mixed = hashes ^ (hashes >> np.uint64(31))
     for at in range(0, len(mixed), PIECE):
-        permuted = mixed[at : at + PIECE, None] * odd + shift
-        # the high half of the product is what the multiplication mixes
-        permuted ^= permuted >> np.uint64(32)
+        permuted = mixed[at : at + PIECE, None] * odd
+        permuted += shift
         least = np.minimum(least, permuted.min(axis=0))
-    keys = [xxhash.xxh3_64_intdigest(part.tobytes(), band) for band, part in enumerate(least.reshape(bands, rows))]
+    # the high half of the product is what the multiplication mixes, and it is what decides the least
+    least ^= least >> np.uint64(32)
+    raw, size = least.tobytes(), 8 * rows
+    keys = [xxhash.xxh3_64_intdigest(raw[band * size : (band + 1) * size], band) for band in range(bands)]
     return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
@@ -92,29 +105,6 @@ def identity(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-_OCCURRENCE = "doc_id long, paragraph int, n_words int, p1 long, p2 long"
-
-
-def _occurrences(docs: DataFrame, least_words: int, width: int, bands: int, rows: int) -> DataFrame:
-    kind = pa.schema(
-        [("doc_id", pa.int64()), ("paragraph", pa.int32()), ("n_words", pa.int32()), ("p1", pa.int64()), ("p2", pa.int64()), ("bands", pa.list_(pa.int64()))]
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = []
-                for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    for number, words in _paragraphs(text, least_words):
-                        keys = band_keys(shingles(words, width), bands, rows)
-                        found.append((doc, number, len(words), *identity(words), keys))
-                if found:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found, strict=True), kind.types, strict=True)], schema=kind)
-
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, f"{_OCCURRENCE}, bands array<long>")
-
-
 def _shingles_of(docs: DataFrame, wanted: DataFrame, least_words: int, width: int) -> DataFrame:
     """``cid`` and ``shingles`` of the wanted paragraphs (``doc_id``, ``paragraph``, ``cid``, ``p1``, ``p2``)."""
     lists = wanted.groupBy(F.col("doc_id").alias("wanted_id")).agg(
@@ -162,37 +152,115 @@ def _verify(threshold: float):
     return work
 
 
-def _ordered(joined: bytes, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the shingles in their order, and where words start and end; ``width`` words at least."""
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh3_64_intdigest
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.fromiter((digest(joined[a:b], SEED) for a, b in spans), dtype=np.uint64), starts, ends
-
-
 def anchors(hashes: np.ndarray, window: int) -> np.ndarray:
     """Places that are the first least one of some ``window`` neighbouring hashes."""
     if len(hashes) < window:
         return np.empty(0, dtype=np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(hashes, window)
-    return np.unique(np.arange(len(views)) + views.argmin(axis=1))
+    at, size = np.arange(len(hashes)), 1
+    while size < window:
+        # the least of a window is that of its first and its last part, which may overlap
+        step = min(size, window - size)
+        less = hashes[step:] < hashes[:-step]
+        at = np.where(less, at[step:], at[:-step])
+        hashes = np.where(less, hashes[step:], hashes[:-step])
+        size += step
+    return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def pieces(text: str | None, least: int, length: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line and number of the first word, and the identity (two longs a row), of the pieces of a text."""
-    lines = [line.split() for line in (text or "").encode().split(b"\n")]
-    words = [w for line in lines for w in line]
-    if len(words) < least:
-        return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int32), np.empty((0, 2), dtype=np.int64)
-    joined = b" ".join(words)
-    hashes, starts, ends = _ordered(joined, words, width)
-    # every window that lies with its pieces in a passage of the least size gives one
-    at = anchors(hashes[: len(words) - length + 1], least - length + 1)
-    spans = zip(starts[at].tolist(), ends[at + length - 1].tolist(), strict=True)
-    same = np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[a:b]) for a, b in spans), dtype="<i8").reshape(-1, 2)
-    line = np.searchsorted(np.cumsum([len(x) for x in lines]), at, side="right")
-    return line.astype(np.int32), at.astype(np.int32), same
+@dataclass(frozen=True)
+class Lines:
+    """Which lines are sketched, and how."""
+
+    least_words: int
+    bands: int
+    rows: int
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Least words of a passage, and words of a piece."""
+
+    least: int
+    length: int
+
+
+def sketch(text: str | None, width: int, lines: Lines | None, pieces: Pieces | None) -> tuple[list[tuple], list[np.ndarray]]:
+    """The long lines of a text (number, words, identity, band keys) and its pieces, from one run over its shingles.
+
+    Pieces are arrays: line and number of the first word, and the identity in two longs.
+    """
+    cut = [line.split() for line in (text or "").encode().split(b"\n")]
+    counts = [len(words) for words in cut]
+    wanted = [k for k, n in enumerate(counts) if n >= lines.least_words] if lines is not None else []
+    whole = pieces is not None and sum(counts) >= pieces.least
+    none = np.empty(0, dtype=np.int64)
+    if not wanted and not whole:
+        return [], [none, none, none, none]
+    words = [w for line in cut for w in line]
+    joined, (starts, ends), last = b" ".join(words), _edges(words), np.cumsum(counts)
+    hashes = _hashes(joined, starts[: max(0, len(words) - width + 1)], ends[width - 1 :])
+    digest = xxhash.xxh3_128_digest
+
+    found = []
+    for k in wanted:
+        b, n = int(last[k]), counts[k]
+        line = joined[starts[b - n] : ends[b - 1]]
+        # the shingles that lie in the line; what is repeated among them does not matter to the least
+        inside = hashes[b - n : b - width + 1] if n > width else shingles(cut[k], width)
+        found.append((k, n, *np.frombuffer(digest(line), dtype="<i8").tolist(), band_keys(inside, lines.bands, lines.rows)))
+
+    at, same = none, none.reshape(0, 2)
+    if whole:
+        # every window that lies with its pieces in a passage of the least size gives one
+        at = anchors(hashes[: len(words) - pieces.length + 1], pieces.least - pieces.length + 1)
+        spans = zip(starts[at].tolist(), ends[at + pieces.length - 1].tolist(), strict=True)
+        same = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in spans]), dtype="<i8").reshape(-1, 2)
+    return found, [np.searchsorted(last, at, side="right"), at, same[:, 0], same[:, 1]]
+
+
+_LINE = "paragraph: int, n_words: int, p1: long, p2: long, bands: array<long>"
+_PIECE = "paragraph: int, word: int, p1: long, p2: long"
+
+
+def _lists(counts: list[int], columns: dict[str, pa.Array]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(
+        pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    )
+
+
+def _sketches(docs: DataFrame, width: int, lines: Lines | None, pieces: Pieces | None) -> DataFrame:
+    """``doc_id``, ``lines`` and ``pieces`` of every text that has any, written: texts are read once for both."""
+    bands = lines.bands if lines is not None else 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [sketch(t, width, lines, pieces) for t in part.column("text").to_pylist()]
+                held = [k for k, (of_lines, of_pieces) in enumerate(found) if of_lines or len(of_pieces[0])]
+                if not held:
+                    continue
+                found = [found[k] for k in held]
+                rows = [row for of_lines, _ in found for row in of_lines]
+                number, words, p1, p2, keys = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                flat = pa.array(np.concatenate(keys) if keys else [], pa.int64())
+                edges = pa.array(np.arange(len(keys) + 1) * bands, pa.int32())
+                first, word, same, same2 = (np.concatenate(c) for c in zip(*(of_pieces for _, of_pieces in found), strict=True))
+                yield pa.record_batch({
+                    "doc_id": part.column("doc_id").take(pa.array(held)),
+                    "lines": _lists([len(of_lines) for of_lines, _ in found], {
+                        "paragraph": pa.array(number, pa.int32()), "n_words": pa.array(words, pa.int32()),
+                        "p1": pa.array(p1, pa.int64()), "p2": pa.array(p2, pa.int64()),
+                        "bands": pa.ListArray.from_arrays(edges, flat),
+                    }),
+                    "pieces": _lists([len(of_pieces[0]) for _, of_pieces in found], {
+                        "paragraph": pa.array(first, pa.int32()), "word": pa.array(word, pa.int32()),
+                        "p1": pa.array(same, pa.int64()), "p2": pa.array(same2, pa.int64()),
+                    }),
+                })
+
+    schema = f"doc_id long, lines array<struct<{_LINE}>>, pieces array<struct<{_PIECE}>>"
+    return cut_lineage(docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, schema), "sketches")
 
 
 def passages(docs: DataFrame, least: int = 50, length: int = 40, width: int = 5) -> DataFrame:
@@ -205,23 +273,11 @@ def passages(docs: DataFrame, least: int = 50, length: int = 40, width: int = 5)
     and empty texts have no pieces; repeated rows and repeats within a document count as occurrences; a null
     ``doc_id`` comes last in the order. An empty table gives no rows; other columns are ignored.
     """
-    kind = pa.schema([("doc_id", pa.int64()), ("paragraph", pa.int32()), ("word", pa.int32()), ("p1", pa.int64()), ("p2", pa.int64())])
+    return _recurring(_sketches(docs, width, None, Pieces(least, length)), length)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [pieces(t, least, length, width) for t in part.column("text").to_pylist()]
-                sizes = [len(f[0]) for f in found]
-                if not sum(sizes):
-                    continue
-                ids = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-                line, word, same = (np.concatenate(c) for c in zip(*found, strict=True))
-                columns = [ids, pa.array(line), pa.array(word), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy())]
-                yield pa.record_batch(columns, schema=kind)
 
-    cut = docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, "doc_id long, paragraph int, word int, p1 long, p2 long")
-    seen = cut_lineage(cut, "pieces")
+def _recurring(sketches: DataFrame, length: int) -> DataFrame:
+    seen = sketches.select("doc_id", F.inline("pieces"))
     # half of the identity finds what may recur, so that little goes on to be told apart by the whole of it
     again = seen.groupBy("p1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p1")
     met = cut_lineage(seen.join(again, "p1"), "met")
@@ -275,8 +331,20 @@ def repeats(
     repeats within a document count as occurrences; a null ``doc_id`` comes last in the order. An empty
     table gives no rows; other columns are ignored.
     """
-    bands, rows = tune(threshold, recall)
-    seen = cut_lineage(_occurrences(docs, least_words, width, bands, rows), "paragraphs")
+    lines = Lines(least_words, *tune(threshold, recall))
+    return _linked(docs, _sketches(docs, width, lines, None), threshold, width, least_words)
+
+
+def repeats_and_passages(
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, least_words: int = 40, recall: float = 0.999, least: int = 50, length: int = 40
+) -> tuple[DataFrame, DataFrame]:
+    """``repeats`` and ``passages`` of the same texts, which are read and hashed once for both."""
+    sketches = _sketches(docs, width, Lines(least_words, *tune(threshold, recall)), Pieces(least, length))
+    return _linked(docs, sketches, threshold, width, least_words), _recurring(sketches, length)
+
+
+def _linked(docs: DataFrame, sketches: DataFrame, threshold: float, width: int, least_words: int) -> DataFrame:
+    seen = sketches.select("doc_id", F.inline("lines"))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "paragraph")
     classes = seen.groupBy("p1", "p2").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")

@@ -112,3 +112,30 @@ def test_passages_are_found_wherever_lines_break(docs):
         line = dict(rows)[r.doc_id].split("\n")
         assert sum(len(x.split()) for x in line[: r.paragraph]) <= r.word < sum(len(x.split()) for x in line[: r.paragraph + 1])
     assert paragraphs.passages(docs([])).collect() == []
+
+
+def test_texts_are_hashed_once_for_lines_and_passages(docs, monkeypatch):
+    rng = random.Random(12)
+    line = [" ".join(rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(60)) for _ in range(4)]
+    rows = [(1, f"{line[0]}\n{line[1]}"), (2, f"short\n{line[0]}\n{line[2]}"), (3, line[3]), (3, line[3]), (None, None), (5, "")]
+    apart = [sorted(map(str, f(docs(rows)).collect())) for f in (paragraphs.repeats, paragraphs.passages)]
+    read, cut = [], paragraphs.cut_lineage
+
+    def noted(df, name="rows"):
+        text = df._jdf.queryExecution().analyzed().toString()
+        read.extend([name] if "MapInArrow" in text else [])
+        return cut(df, name)
+
+    monkeypatch.setattr(paragraphs, "cut_lineage", noted)
+    found = paragraphs.repeats_and_passages(docs(rows))
+    assert [sorted(map(str, f.collect())) for f in found] == apart
+    assert len(apart[0]) == 4 and len(apart[1]) > 4
+    assert read == ["sketches"]
+
+
+def test_anchors_are_the_first_least_of_some_window():
+    rng = np.random.default_rng(4)
+    for size, window in itertools.product((0, 1, 5, 11, 12, 40, 300), (1, 2, 3, 8, 11)):
+        hashes = rng.integers(0, 20, size, dtype=np.uint64)
+        expected = {at + int(hashes[at : at + window].argmin()) for at in range(size - window + 1)}
+        assert paragraphs.anchors(hashes, window).tolist() == sorted(expected)
