@@ -24,10 +24,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.groups import by_run, cells, components, forest
+from postloom.llm.prefixfree import bitmap
 from postloom.session import cut_lineage
 
 SEED = 20000717
@@ -93,40 +94,59 @@ def band_keys(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return np.array(keys, dtype=np.uint64).view(np.int64)
 
 
-def _paragraphs(text: str | None, least_words: int) -> Iterator[tuple[int, list[bytes]]]:
-    for number, line in enumerate((text or "").encode().split(b"\n")):
-        words = line.split()
-        if len(words) >= least_words:
-            yield number, words
-
-
 def identity(words: list[bytes]) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(b" ".join(words))
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def _place(doc_id, paragraph):
+    """A number for the place of a paragraph, the same of columns and of arrays; places may share one."""
+    return doc_id ^ (paragraph * 1000003) if isinstance(paragraph, np.ndarray) else doc_id.bitwiseXOR(paragraph.cast("long") * 1000003)
+
+
 def _shingles_of(docs: DataFrame, wanted: DataFrame, least_words: int, width: int) -> DataFrame:
-    """``cid`` and ``shingles`` of the wanted paragraphs (``doc_id``, ``paragraph``, ``cid``, ``p1``, ``p2``)."""
-    lists = wanted.groupBy(F.col("doc_id").alias("wanted_id")).agg(
-        F.collect_list(F.struct("p1", "p2", "cid")).alias("wanted")
-    )
-    texts = docs.select(docs["doc_id"].cast("long"), "text")
-    joined = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("text", "wanted")
+    """``cid`` and ``shingles`` of the wanted paragraphs (``doc_id``, ``paragraph``, ``cid``, ``p1``, ``p2``).
+
+    Texts stay where they lie: a bitmap of the wanted places says which lines may be meant, and only their shingles
+    go on to the join that decides.
+    """
+    wanted = cut_lineage(wanted, "wanted")
+    place = _place(F.coalesce("doc_id", F.lit(0)), F.col("paragraph")).alias("place")
+    held = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(place), "place"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, wanted in zip(batch["text"], batch["wanted"], strict=True):
-                cids = {(w["p1"], w["p2"]): w["cid"] for w in wanted}
-                for _, words in _paragraphs(text, least_words):
-                    # each once, and only from the row that holds it, should rows share an id
-                    cid = cids.pop(identity(words), None)
-                    if cid is not None:
-                        out.append((cid, shingles(words, width).view(np.int64)))
+            for doc_id, text in zip(batch["doc_id"].to_numpy(), batch["text"], strict=True):
+                lines = (text or "").encode().split(b"\n")
+                for k in np.flatnonzero(held.value.holds(_place(doc_id, np.arange(len(lines))))).tolist():
+                    words = lines[k].split()
+                    if len(words) >= least_words:
+                        out.append((*identity(words), shingles(words, width).view(np.int64)))
             if out:
-                yield pd.DataFrame(out, columns=["cid", "shingles"])
+                yield pd.DataFrame(out, columns=["p1", "p2", "shingles"])
+
+    texts = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(0)).alias("doc_id"), "text")
+    # each once, should rows share an id
+    found = texts.mapInPandas(run, "p1 long, p2 long, shingles array<long>").dropDuplicates(["p1", "p2"])
+    return found.join(wanted.select("p1", "p2", "cid"), ["p1", "p2"]).select("cid", "shingles")
 
-    return joined.mapInPandas(run, "cid long, shingles array<long>")
+
+def _recur(keys: DataFrame, key: str) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The values of a column that stand in two rows or more, written; and which ones of a list may be among them.
+
+    Values are counted by themselves. Where few recur, the bitmap behind the second spares the rest of a row the way to
+    a join that decides.
+    """
+    counts = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    again = cut_lineage(counts.where("n > 1").select(key), "again")
+    held = keys.sparkSession.sparkContext.broadcast(bitmap(again, key))
+
+    @F.pandas_udf("array<boolean>")
+    def may(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda values: held.value.holds(values))
+
+    return again, may
 
 
 def _verify(threshold: float):
@@ -277,10 +297,10 @@ def passages(docs: DataFrame, least: int = 50, length: int = 40, width: int = 5)
 
 
 def _recurring(sketches: DataFrame, length: int) -> DataFrame:
-    seen = sketches.select("doc_id", F.inline("pieces"))
     # half of the identity finds what may recur, so that little goes on to be told apart by the whole of it
-    again = seen.groupBy("p1").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("p1")
-    met = cut_lineage(seen.join(again, "p1"), "met")
+    _, may = _recur(sketches.select(F.explode("pieces.p1").alias("p1")), "p1")
+    marked = sketches.select("doc_id", "pieces", may(F.col("pieces.p1")).alias("may"))
+    met = cut_lineage(marked.select("doc_id", F.inline(F.filter("pieces", lambda _, k: F.get("may", k)))), "met")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "word", "paragraph")
     groups = met.groupBy("p1", "p2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n_occurrences"))
     return met.join(groups.where("n_occurrences > 1"), ["p1", "p2"]).select(
@@ -296,6 +316,14 @@ def _recurring(sketches: DataFrame, length: int) -> DataFrame:
     )
 
 
+def _banded(nodes: DataFrame) -> DataFrame:
+    """``bucket`` and ``cid`` of the bands that two nodes or more share, written."""
+    again, may = _recur(nodes.select(F.explode("bands").alias("bucket")), "bucket")
+    marked = nodes.select("cid", "bands", may("bands").alias("may"))
+    banded = marked.select("cid", F.explode(F.filter("bands", lambda _, k: F.get("may", k))).alias("bucket"))
+    return cut_lineage(banded.join(again, "bucket", "left_semi"), "banded")
+
+
 def alike(
     nodes: DataFrame, shingled: Callable[[DataFrame], DataFrame], threshold: float, chunk: int | None = None
 ) -> DataFrame:
@@ -303,13 +331,13 @@ def alike(
 
     ``shingled`` gets the ``cid`` of the nodes that meet in a band, and returns them with their ``shingles``.
     """
-    banded = nodes.select(F.explode("bands").alias("bucket"), "cid")
+    banded = _banded(nodes)
     sizes = banded.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"),
         F.bit_xor(F.xxhash64("cid")).alias("mark"),
         F.bit_xor(F.xxhash64("cid", F.lit("again"))).alias("mark2"),
     )
-    once = sizes.where("members > 1").groupBy("members", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
+    once = sizes.groupBy("members", "mark", "mark2").agg(F.min("bucket").alias("bucket"))
     dealt = cells(banded.join(once.select("bucket"), "bucket"), ["bucket"], F.col("cid"), chunk or CHUNK)
     met = cut_lineage(dealt, "bands")
     runs = met.select("bucket", "cell_a", "cell_b", "cid").join(shingled(met.select("cid").distinct()), "cid")
@@ -352,7 +380,7 @@ def _linked(docs: DataFrame, sketches: DataFrame, threshold: float, width: int,
     nodes = cut_lineage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def shingled(met: DataFrame) -> DataFrame:
-        wanted = nodes.join(met, "cid", "left_semi").select("first.doc_id", "cid", "p1", "p2")
+        wanted = nodes.join(met, "cid", "left_semi").select("first.doc_id", "first.paragraph", "cid", "p1", "p2")
         return _shingles_of(docs, wanted, least_words, width)
 
     roots = alike(nodes, shingled, threshold)

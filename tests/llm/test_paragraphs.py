@@ -139,3 +139,32 @@ def test_anchors_are_the_first_least_of_some_window():
         hashes = rng.integers(0, 20, size, dtype=np.uint64)
         expected = {at + int(hashes[at : at + window].argmin()) for at in range(size - window + 1)}
         assert paragraphs.anchors(hashes, window).tolist() == sorted(expected)
+
+
+def test_only_what_may_recur_is_sent(docs, monkeypatch):
+    rng = random.Random(17)
+    prose = [[rng.choice("abcdefghij") * rng.randrange(1, 9) for _ in range(60)] for _ in range(200)]
+    near = [[*words[:-1], "other"] for words in prose[:5]]
+    rows = [*enumerate(" ".join(words) for words in [*prose, *near]), (None, " ".join(prose[0])), (7, " ".join(prose[7])), (7, None)]
+    written, plans, cut = {}, {}, paragraphs.cut_lineage
+
+    def noted(df, name="rows"):
+        plans[name] = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        written[name] = cut(df, name)
+        return written[name]
+
+    monkeypatch.setattr(paragraphs, "cut_lineage", noted)
+    monkeypatch.setattr(paragraphs, "components", lambda edges, found=paragraphs.components: found(noted(edges, "links")))
+    whole, pieces = (f.collect() for f in paragraphs.repeats_and_passages(docs(rows)))
+    assert {(r.doc_id, r.n_occurrences) for r in whole} == {(0, 3), (200, 3), (None, 3), (7, 2), *((d, 2) for k in range(1, 5) for d in (k, 200 + k))}
+    assert {r.doc_id for r in pieces} == {None, 7, *range(5), *range(200, 205)}
+    # all that goes to the joins: bands that two nodes share, pieces that recur but for few, the ten lines that met
+    bands, _ = paragraphs.tune(0.8, 0.999)
+    assert 0 < written["banded"].count() <= 10 * bands
+    assert len(pieces) <= written["met"].count() <= len(pieces) + 200
+    assert written["wanted"].count() == 10
+    # texts are read where they lie
+    at = max(k for k, line in enumerate(plans["links"]) if "MapInPandas" in line and "shingles" in line)
+    depth = plans["links"][at].index("MapIn")
+    below = list(itertools.takewhile(lambda line: len(line) - len(line.lstrip(" :+-")) > depth, plans["links"][at + 1 :]))
+    assert below and not any("Join" in line for line in below)
