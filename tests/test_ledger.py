@@ -1,5 +1,6 @@
 """A costly service is asked once for each content, also when a task dies half way."""
 
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -98,3 +99,21 @@ def test_a_cluster_may_name_its_shared_folder_without_a_scheme(spark, tmp_path):
     # a folder that nobody called shared is refused as before
     with pytest.raises(ValueError, match="folder of this machine"):
         files.qualified(cluster, str(tmp_path / "other"))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    from postloom.session import CLEANUP, cut_lineage
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "/shuffle_" in f}
+
+    before, setting = files(), spark.conf.get(CLEANUP, None)
+    # the frame is held, so that no garbage collection frees its files
+    rows = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    assert len(cut_lineage(rows).collect()) == 10
+    until = time.monotonic() + 20
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(CLEANUP, None) == setting
