@@ -133,13 +133,13 @@ def _shingles_of(docs: DataFrame, wanted: DataFrame, least_words: int, width: in
 
 
 def _recur(keys: DataFrame, key: str) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """The values of a column that stand in two rows or more, written; and which ones of a list may be among them.
+    """The values of a column that stand in ``n`` rows, two or more, written; and which ones of a list may be among them.
 
     Values are counted by themselves. Where few recur, the bitmap behind the second spares the rest of a row the way to
     a join that decides.
     """
     counts = keys.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    again = cut_lineage(counts.where("n > 1").select(key), "again")
+    again = cut_lineage(counts.where("n > 1"), "again")
     held = keys.sparkSession.sparkContext.broadcast(bitmap(again, key))
 
     @F.pandas_udf("array<boolean>")
@@ -331,7 +331,13 @@ def alike(
 
     ``shingled`` gets the ``cid`` of the nodes that meet in a band, and returns them with their ``shingles``.
     """
-    banded = _banded(nodes)
+    return components(linked(_banded(nodes), shingled, threshold, chunk))
+
+
+def linked(
+    banded: DataFrame, shingled: Callable[[DataFrame], DataFrame], threshold: float, chunk: int | None = None
+) -> DataFrame:
+    """Links (``a``, ``b``) that connect what links of Jaccard ``threshold`` or more in buckets (``bucket``, ``cid``: written) do."""
     sizes = banded.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("members"),
         F.bit_xor(F.xxhash64("cid")).alias("mark"),
@@ -341,7 +347,7 @@ def alike(
     dealt = cells(banded.join(once.select("bucket"), "bucket"), ["bucket"], F.col("cid"), chunk or CHUNK)
     met = cut_lineage(dealt, "bands")
     runs = met.select("bucket", "cell_a", "cell_b", "cid").join(shingled(met.select("cid").distinct()), "cid")
-    return components(by_run(runs, ["bucket", "cell_a", "cell_b"], _verify(threshold), "a long, b long"))
+    return by_run(runs, ["bucket", "cell_a", "cell_b"], _verify(threshold), "a long, b long")
 
 
 def repeats(

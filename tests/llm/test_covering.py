@@ -2,6 +2,9 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pandas as pd
+import pytest
 import xxhash
 
 from postloom.llm import covering
@@ -112,3 +115,50 @@ def test_keeps_one_of_near_copies_that_differ_in_many_bits(docs):
             group[max(root(i), root(j))] = min(root(i), root(j))
     kept = {r.doc_id for r in covering.keep_one(docs(rows)).collect()}
     assert kept == {i for i in group if root(i) == i}
+
+
+def test_near_copies_are_found_by_the_covering_tables(docs, monkeypatch):
+    """With tables that hide no difference, pairs that differ in many bits stay apart: nothing beside the tables finds them."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        rows.append((2 * g, " ".join(base)))
+        base[30] = "changed"
+        rows.append((2 * g + 1, " ".join(base)))
+    assert sorted(r.doc_id for r in covering.keep_one(docs(rows)).collect()) == list(range(0, 60, 2))
+    monkeypatch.setattr(covering, "masks", lambda radius, bits=64: [(1 << bits) - 1])
+    assert covering.keep_one(docs(rows)).count() > 30
+
+
+@pytest.mark.parametrize(("common", "one", "two"), [(4, 0, 1), (8, 1, 1), (12, 0, 3), (32, 4, 4), (400, 50, 50), (400, 0, 100)])
+@pytest.mark.parametrize("rows", [100, 250_000])
+def test_pairs_at_the_threshold_meet_in_a_table(rows, common, one, two):
+    parts, bits = covering.tune(rows, 0.8, 0.999, 3)
+    masks = np.array(covering.masks(3, bits), dtype=np.uint64)
+    rng = np.random.default_rng(common + two)
+    met = 0
+    for _ in range(400):
+        hashes = rng.integers(0, 1 << 64, size=common + one + two, dtype=np.uint64)
+        a, near_a = covering.wide(hashes[: common + one], parts, bits, 0.8)
+        b, near_b = covering.wide(np.concatenate([hashes[:common], hashes[common + one :]]), parts, bits, 0.8)
+        met += bool(((a ^ b).view(np.uint64)[:, None] & masks == 0).any())
+        assert np.bitwise_count((near_a ^ near_b).view(np.uint64)).sum() <= covering.far(0.8)
+    assert met >= 397
+
+
+def test_sets_that_can_link_with_none_but_their_equals():
+    hashes = np.array([5, 7, 9], dtype=np.uint64)
+    one, two = (covering.wide(h, 16, 32, 0.8)[1] for h in (hashes, hashes[:2]))
+    assert np.bitwise_count((one ^ two).view(np.uint64)).sum() > covering.far(0.8)
+    assert covering.wide(hashes, 16, 32, 0.8)[1].tolist() == one.tolist()
+
+
+def test_rows_beside_a_stranger_are_kept():
+    close, other = 0b1011, -1
+    rows = pd.DataFrame(
+        [(1, 0, 0, 10, 1, close), (1, 0, 0, 11, 1, close), (2, 0, 0, 10, 1, close), (2, 0, 0, 12, 2, 0), (2, 0, 0, 13, 3, other), (3, 0, 0, 14, 4, 0), (3, 0, 0, 15, 5, other)],
+        columns=["bucket", "cell_a", "cell_b", "cid", "root", "near1"],
+    ).assign(near2=lambda f: f["near1"] // 2)
+    found = covering._strangers(40)(rows)
+    assert list(zip(found["bucket"], found["cid"], strict=True)) == [(2, 10), (2, 12)]
