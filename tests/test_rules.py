@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from postloom import fixed_values as fv
 from postloom.functions import dates, jobtypes, pay, places, results, text, urls
+from postloom.functions.expr import strip
 
 
 def test_normalize(one):
@@ -376,3 +377,22 @@ def test_long_runs_and_tags_take_linear_time(one, spark):
     start = time.perf_counter()
     assert len(markup._spans("<b>" * 20_000 + "</i>" * 20_000)) == 20_000
     assert time.perf_counter() - start < 2
+
+
+def test_markdown_steps_that_are_passed_over_find_nothing(spark):
+    """Searching for a tag first changes no text: the same as all steps, one after the other."""
+    tags = [
+        "<p>", "</P>", "<B>", "</b>", "<BR/>", "<Hr>", "<h1 x='a'>", "</H1>", '<a href="u">', "</A>", "<li>", "</LI>", "<em>", "</I>",
+        "<code>", "<td>", "</TD>", "</th>", "<!-- x -->", "<SCRIPT>a<b</script>", "<!", "<", "<x:y>", "<ul>", "&lt;b&gt;", "&#10;&#10;&#10;",
+    ]
+    texts = [f"{a} w\n {b}x  {a}" for a in tags for b in tags] + ["plain", "", None]
+
+    def plain(c):
+        out = F.regexp_replace(F.regexp_replace(c, text._HIDDEN, ""), r"(?U)\s+", " ")
+        for pattern, mark in text.markdown_steps():
+            out = F.regexp_replace(out, pattern, mark)
+        out = F.regexp_replace(F.regexp_replace(text.unescape(out), r"\n[ \t]+", "\n"), r"\n{3,}", "\n\n")
+        return strip(out)
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.where(~text.html_to_markdown("t").eqNullSafe(plain(F.col("t")))).count() == 0
